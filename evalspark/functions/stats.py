@@ -73,14 +73,15 @@ def exact_quantile(
         F.percentile_approx("_v", [max(0.0, q - margin), min(1.0, q + margin)], accuracy).alias("_b"),
     )
     at = F.lit(q) * (F.col("_n") - 1)
+    small = F.col("_n") <= 4 * accuracy  # above that the margin spans 16 ranks or more
     bracket = bracket.select(
         *by, "_n",
         F.floor(at).cast("bigint").alias("_r0"),
         F.ceil(at).cast("bigint").alias("_r1"),
         (at - F.floor(at)).alias("_w"),
-        # where the margin runs past an end, the end itself is the bound
-        (F.col("_min") if q - margin <= 0 else F.col("_b")[0]).alias("_lo"),
-        (F.col("_max") if q + margin >= 1 else F.col("_b")[1]).alias("_hi"),
+        # a group of few rows, or a margin past an end, is bounded by its own ends
+        (F.col("_min") if q - margin <= 0 else F.when(small, F.col("_min")).otherwise(F.col("_b")[0])).alias("_lo"),
+        (F.col("_max") if q + margin >= 1 else F.when(small, F.col("_max")).otherwise(F.col("_b")[1])).alias("_hi"),
     )
     if by:
         near = rows.join(bracket, by)
