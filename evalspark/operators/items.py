@@ -29,7 +29,7 @@ REQUIRED_CATEGORIES = ("time_series", "ratio_or_delta", "multi_condition", "rank
 # ----------------------------------------------------------------------------
 
 ITEM_FIELDS = ("question", "expected_sql", "expected_shape", "category", "difficulty", "why_non_trivial")
-REPLY_SCHEMA = "struct<questions:array<struct<" + ",".join(f"{f}:string" for f in ITEM_FIELDS) + ">>>"
+REPLY_SCHEMA = "struct<questions:array<struct<" + ",".join(f"{f}:string" for f in ITEM_FIELDS) + ">>,_corrupt:string>"
 
 
 def drop_contaminated(history: DataFrame, prior: DataFrame, question: str = "question", on: tuple[str, ...] = ()) -> DataFrame:
@@ -112,8 +112,8 @@ def prompts(plan: DataFrame, profiles: DataFrame, on: list[str], template: str =
 
 def parse_replies(replies: DataFrame, content: str = "content") -> tuple[DataFrame, DataFrame]:
     """Items of the parseable replies in order, and the replies that failed with the reason."""
-    parsed = replies.withColumn("_p", F.from_json(content, REPLY_SCHEMA))
-    failed = F.col("_p").isNull() | F.col(content).isNull()
+    parsed = replies.withColumn("_p", F.from_json(content, REPLY_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"}))
+    failed = F.col("_p").isNull() | F.col("_p._corrupt").isNotNull()
     meta = [c for c in replies.columns if c != content]
     good = (
         parsed.where(~failed)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from decimal import Decimal, InvalidOperation
+from functools import reduce
+from operator import or_
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType
@@ -23,38 +24,43 @@ def _number(cell: str) -> Decimal | None:
     return d if d.is_finite() else None
 
 
-def _close_table(left: list[str], right: list[str], numbers: dict[str, Decimal | None]) -> np.ndarray:
-    """Boolean table: may cell i of one column stand for cell j of the other?"""
-    table = np.zeros((len(left), len(right)), dtype=bool)
-    for i, a in enumerate(left):
+def _close_masks(left: list[str], right: list[str], numbers: dict[str, Decimal | None]) -> list[int]:
+    """Per cell of one column, a bit set of the cells of the other it may stand for."""
+    seen: dict[str, int] = {}
+    for a in left:
+        if a in seen:
+            continue
+        mask, x = 0, numbers[a]
         for j, b in enumerate(right):
             if a == b:
-                table[i, j] = True
-            elif "." in a or "." in b:
-                x, y = numbers[a], numbers[b]
-                if x is not None and y is not None:
+                mask |= 1 << j
+            elif x is not None and ("." in a or "." in b):
+                y = numbers[b]
+                if y is not None:
                     gap = abs(x - y)
-                    table[i, j] = gap <= _ABS or gap <= _REL * max(abs(x), abs(y))
-    return table
+                    if gap <= _ABS or gap <= _REL * max(abs(x), abs(y)):
+                        mask |= 1 << j
+        seen[a] = mask
+    return [seen[a] for a in left]
 
 
-def _greedy_cover(pairs: np.ndarray) -> bool:
+def _greedy_cover(masks: list[int]) -> bool:
     """Each expected row, in captured order, takes the first free actual row it may match."""
-    free = np.ones(pairs.shape[1], dtype=bool)
-    for row in pairs:
-        hits = np.flatnonzero(row & free)
-        if not hits.size:
+    taken = 0
+    for mask in masks:
+        free = mask & ~taken
+        if not free:
             return False
-        free[hits[0]] = False
+        taken |= free & -free
     return True
 
 
 def _columns_agree(expected: list[list[str]], actual: list[list[str]]) -> bool:
     """Is there one assignment of actual to expected columns under which the rows match?
 
-    Depth-first over expected columns.  The row-pair table of a partial
-    assignment is the AND of its columns' tables, so a branch ends as soon as
-    some expected row has no partner left; 7! is never enumerated blindly.
+    Depth-first over expected columns.  The row pairs left by a partial
+    assignment are the AND of its columns' pairs, so a branch ends as soon as
+    some row has no partner left; 7! is never enumerated blindly.
     An exact match is also a tolerant one for columns of equal cells, but the
     greedy cover is order dependent, so exact equality is tried on its own.
     """
@@ -76,18 +82,22 @@ def _columns_agree(expected: list[list[str]], actual: list[list[str]]) -> bool:
         return True
 
     numbers = {v: _number(v) for col in (*e_cols, *g_cols) for v in col}
-    tables = [[_close_table(e, g, numbers) for g in g_cols] for e in e_cols]
+    every = (1 << len(actual)) - 1
+    masks = [[_close_masks(e, g, numbers) for g in g_cols] for e in e_cols]
 
-    def tolerant(c: int, used: frozenset, pairs: np.ndarray) -> bool:
-        if not (pairs.any(axis=1).all() and pairs.any(axis=0).all()):
+    def tolerant(c: int, used: frozenset, rows: list[int]) -> bool:
+        # a branch needs a partner left for every row, expected and actual
+        if not all(rows) or reduce(or_, rows) != every:
             return False
         if c == width:
-            return _greedy_cover(pairs)
+            return _greedy_cover(rows)
         return any(
-            tolerant(c + 1, used | {i}, pairs & tables[c][i]) for i in range(width) if i not in used
+            tolerant(c + 1, used | {i}, [r & m for r, m in zip(rows, masks[c][i])])
+            for i in range(width)
+            if i not in used
         )
 
-    return tolerant(0, frozenset(), np.ones((len(expected), len(actual)), dtype=bool))
+    return tolerant(0, frozenset(), [every] * len(expected))
 
 
 @F.arrow_udf(BooleanType())
@@ -111,9 +121,14 @@ def _ragged(rows: Column, width: Column) -> Column:
 
 
 def match_permutation(pairs: DataFrame, expected: str, actual: str, verdict: str = "verdict") -> DataFrame:
-    """Row sets of equal length and width compared under one column permutation."""
-    e, g = canon_rows(expected), canon_rows(actual)
-    return pairs.withColumn(verdict, _match_permutation(e, g))
+    """Do the row sets match under one column permutation?  False where length or width differ."""
+    staged = pairs.withColumn("_e", canon_rows(expected)).withColumn("_g", canon_rows(actual))
+    width = F.size(F.get("_e", F.lit(0)))
+    square = (
+        (F.size("_e") == F.size("_g")) & (F.size("_e") > 0) & ~_ragged(F.col("_e"), width) & ~_ragged(F.col("_g"), width)
+    )
+    found = _match_permutation(F.when(square, F.col("_e")), F.when(square, F.col("_g")))
+    return staged.withColumn(verdict, F.coalesce(found, F.lit(False))).drop("_e", "_g")
 
 
 def rows_match(
@@ -144,7 +159,7 @@ def rows_match(
         .withColumn("_e", F.when(F.col("_state").isNull(), canon_rows(e)))
         .withColumn("_g", F.when(F.col("_state").isNull(), canon_rows(g)))
     )
-    width = F.size(F.col("_e")[0])
+    width = F.size(F.get("_e", F.lit(0)))
     staged = sized.withColumn(
         "_state",
         F.when(F.col("_state").isNotNull(), F.col("_state"))
@@ -169,17 +184,18 @@ def rows_match_json(pairs: DataFrame, expected: str, actual: str, verdict: str =
     return rows_match(parsed, "_pe", "_pg", verdict, **kw).drop("_pe", "_pg")
 
 
-def multiset_diff(left: DataFrame, right: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Distinct canonical rows of two whole tables with their multiplicity on each side.
+def multiset_diff(left: DataFrame, right: DataFrame, columns: list[str] | None = None, canonical: bool = True) -> DataFrame:
+    """Distinct rows, cells as canonical (or plain) text, of two whole tables with their multiplicity on each side.
 
     One shuffle: the sides are stacked and counted together, and map-side
     partial counts keep a row repeated billions of times cheap.
     """
     names = list(columns or left.columns)
+    form = canon_cell if canonical else lambda c: c.cast("string")
 
     def side(df: DataFrame, l: int, r: int) -> DataFrame:
         return df.select(
-            *[canon_cell(c).alias(n) for n, c in zip(names, df.columns)],
+            *[form(F.col(f"`{c}`")).alias(n) for n, c in zip(names, df.columns)],
             F.lit(l).cast("bigint").alias("_l"),
             F.lit(r).cast("bigint").alias("_r"),
         )
@@ -215,4 +231,5 @@ def deterministic(first: DataFrame, second: DataFrame) -> DataFrame:
 
     Pass two separately built, uncached DataFrames so that both really run.
     """
-    return diff_summary(multiset_diff(first, second)).select(F.col("equal").alias("sql_deterministic"), "n_left", "n_right")
+    plain = [f"c{i}" for i in range(len(first.columns))]
+    return diff_summary(multiset_diff(first, second, plain, canonical=False)).select(F.col("equal").alias("sql_deterministic"), "n_left", "n_right")
