@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.stats import exact_quantile
 
-Tables = dict[str, DataFrame]
+Tables = Mapping[str, DataFrame]
 _MONEY = "decimal(18,2)"
 
 
@@ -175,7 +177,7 @@ def with_cte(t: Tables) -> DataFrame:
 def pivot_table(t: Tables) -> DataFrame:
     """Orders per priority with a column per status; the values are given, so no extra pass finds them."""
     return (
-        t["orders"].groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("*"))
+        t["orders"].groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1)))
         .select("o_orderpriority", *[F.coalesce(F.col(s), F.lit(0)).cast("bigint").alias(f"n_{s.lower()}") for s in "FOP"])
     )
 

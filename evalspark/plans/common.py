@@ -8,6 +8,7 @@ view.  Every view covers its tables whole.
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -223,6 +224,22 @@ def tables(spark: SparkSession, sf_dir: str, names=TABLES) -> dict[str, DataFram
     return {n: table(spark, sf_dir, n) for n in names}
 
 
+class LazyTables(Mapping):
+    """The test tables, each opened when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._open = lambda name: table(spark, sf_dir, name)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._open(name)
+
+    def __iter__(self):
+        return iter(TABLES)
+
+    def __len__(self) -> int:
+        return len(TABLES)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name].replace('"table"', "`table`").replace('"column"', "`column`")
     refs = {r: view(spark, sf_dir, r) if r in VIEWS else table(spark, sf_dir, r) for r in set(_REF.findall(text))}
