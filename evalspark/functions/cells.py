@@ -14,9 +14,11 @@ ROW_CAP = 50
 MAX_WIDTH = 7
 # ----------------------------------------------------------------------------
 
-_PLAIN = r"^[+-]?([0-9]+(\.[0-9]+)?|\.[0-9]+)$"
-_SCIENTIFIC = r"^[+-]?([0-9]+(\.[0-9]+)?|\.[0-9]+)[eE][+-]?[0-9]+$"
-_CODE = r"^[+-]?0[^.]"  # 007, 01234, 00.5, 0e5: kept as written
+# A number may not open with a zero unless "0" or "0." does: 007, 01234, 00.5
+# and 0e5 are codes and stay as written.
+_PLAIN = r"^[+-]?(?:(?:0|[1-9][0-9]*)(?:\.[0-9]+)?|\.[0-9]+)$"
+_CANONICAL = r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]*[1-9])?$"
+_SCIENTIFIC = r"^[+-]?(?:0\.[0-9]+|[1-9][0-9]*(?:\.[0-9]+)?|\.[0-9]+)[eE][+-]?[0-9]+$"
 _MAX_EXPONENT = 999_999
 
 
@@ -26,10 +28,15 @@ def _bind(value: Column, body) -> Column:
 
 
 def _plain_number(s: Column) -> Column:
-    s = F.regexp_replace(s, r"^\+", "")
-    s = F.regexp_replace(s, r"^(-?)\.", "$10.")
-    s = F.regexp_replace(s, r"\.0+$|(\.[0-9]*[1-9])0+$", "$1")
-    return F.regexp_replace(s, r"^-0$", "0")
+    """No plus sign, no trailing zeros after the point, a digit before it, no minus zero."""
+    cut = F.when(s.contains("."), F.rtrim(F.rtrim(s, F.lit("0")), F.lit("."))).otherwise(s)
+    return _bind(
+        F.ltrim(cut, F.lit("+")),
+        lambda x: F.when(x.isin("", "-", "-0"), "0")
+        .when(x.startswith("."), F.concat(F.lit("0"), x))
+        .when(x.startswith("-."), F.concat(F.lit("-0"), F.substr(x, F.lit(2))))
+        .otherwise(x),
+    )
 
 
 def _expand_exponent(s: Column) -> Column:
@@ -61,18 +68,19 @@ def _expand_exponent(s: Column) -> Column:
 
 
 def _canon_stripped(s: Column) -> Column:
-    number = ~s.rlike(_CODE)
     return (
         F.when(s.isNull(), F.lit(NULL_CELL))
-        .when(number & s.rlike(_PLAIN), _plain_number(s))
-        .when(number & s.rlike(_SCIENTIFIC), _expand_exponent(s))
-        .otherwise(F.regexp_replace(s, r'^"(NaN|-?Infinity)"$', "$1"))
+        .when(s.rlike(_CANONICAL) & (s != "-0"), s)
+        .when(s.rlike(_PLAIN), _plain_number(s))
+        .when(s.rlike(_SCIENTIFIC), _expand_exponent(s))
+        .when(s.isin('"NaN"', '"Infinity"', '"-Infinity"'), F.btrim(s, F.lit('"')))
+        .otherwise(s)
     )
 
 
 def canon_cell(c) -> Column:
     """One text cell in canonical form; typed cells are cast to string first."""
-    return _canon_stripped(strip(col_of(c).cast("string")))
+    return _bind(strip(col_of(c).cast("string")), _canon_stripped)
 
 
 def parse_rows(c) -> Column:
@@ -95,15 +103,15 @@ def canon_rows(rows) -> Column:
 
 def cells_close(a, b) -> Column:
     """Equal canonical cells, or two numbers, one with a fraction, within tolerance."""
-    a, b = col_of(a), col_of(b)
 
-    def within(kind: str) -> Column:
-        x, y = a.try_cast(kind), b.try_cast(kind)
+    def within(p: Column, kind: str) -> Column:
+        x, y = p["a"].try_cast(kind), p["b"].try_cast(kind)
         gap = F.abs(x - y)
         return (gap <= F.lit(ABS_TOL).cast(kind)) | (gap <= F.greatest(F.abs(x), F.abs(y)) / 1000)
 
-    return (
-        F.when(a == b, True)
-        .when(~(a.contains(".") | b.contains(".")), False)
-        .otherwise(F.coalesce(within("decimal(38,18)"), within("double"), F.lit(False)))
+    return _bind(
+        F.struct(col_of(a).alias("a"), col_of(b).alias("b")),
+        lambda p: F.when(p["a"] == p["b"], True)
+        .when(~(p["a"].contains(".") | p["b"].contains(".")), False)
+        .otherwise(F.coalesce(within(p, "decimal(38,18)"), within(p, "double"), F.lit(False))),
     )

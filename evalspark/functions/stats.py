@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .text import col_of
 
 Z95 = 1.96  # fixed value
 MAX_SAMPLE = 100_000  # fixed value
+BINS = 4096
 
 
 def _num(x) -> Column:
@@ -58,8 +59,9 @@ def exact_quantile(
     """Exact linear-interpolated quantile of ``value`` per group, safe for huge groups.
 
     A sketch brackets the two order statistics that matter (its rank error is
-    bounded by n / accuracy); a second pass counts what lies below the bracket
-    and ranks only the distinct values inside it.  No group is ever gathered
+    bounded by n / accuracy).  A histogram of the bracket, with a fixed number
+    of bins, then finds the one or two bins that hold them, and only the
+    distinct values of those bins are ranked.  No group is ever gathered
     whole.  NULLs are skipped.
     """
     by = list(by or [])
@@ -88,21 +90,29 @@ def exact_quantile(
     else:
         near = rows.join(F.broadcast(bracket), F.lit(True))  # a single row
     keys = [*by, "_n", "_r0", "_r1", "_w"]
-    # values below the bracket collapse to one counter, values inside to one row each
-    spot = F.when(F.col("_v") < F.col("_lo"), F.lit(None).cast("double")).otherwise(F.col("_v"))
-    counted = (
-        near.where(F.col("_v") <= F.col("_hi"))
-        .groupBy(*keys, spot.alias("_v"))
-        .agg(F.count("*").alias("_c"))
-    )
-    from pyspark.sql import Window
-
-    upto = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_end", F.sum("_c").over(upto))
-    begin = F.col("_end") - F.col("_c")
+    width = F.col("_hi") - F.col("_lo")
+    inside = F.least(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width) * BINS), F.lit(BINS - 1))
+    # bin -1 counts all values below the bracket
+    bin_ = F.when(F.col("_v") < F.col("_lo"), F.lit(-1)).otherwise(F.coalesce(inside, F.lit(0))).cast("int")
+    near = near.where(F.col("_v") <= F.col("_hi")).withColumn("_bin", bin_)
+
+    def running(df: DataFrame, part: list[str], order: str) -> DataFrame:
+        upto = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        end = F.sum("_c").over(upto)
+        return df.withColumn("_end", end).withColumn("_begin", F.col("_end") - F.col("_c"))
+
+    def holds(rank: str) -> Column:
+        return (F.col("_begin") <= F.col(rank)) & (F.col(rank) < F.col("_end"))
+
+    bins = running(near.groupBy(*keys, "_bin").agg(F.count("*").alias("_c")), keys, "_bin")
+    bins = bins.where(holds("_r0") | holds("_r1")).select(*by, "_bin", F.col("_begin").alias("_base"))
+    values = near.join(F.broadcast(bins) if not by else bins, [*by, "_bin"])
+    counted = values.groupBy(*keys, "_bin", "_base", "_v").agg(F.count("*").alias("_c"))
+    ranked = running(counted, [*keys, "_bin", "_base"], "_v")
+    ranked = ranked.withColumn("_begin", F.col("_begin") + F.col("_base")).withColumn("_end", F.col("_end") + F.col("_base"))
 
     def pick(rank: str) -> Column:
-        return F.max(F.when((begin <= F.col(rank)) & (F.col(rank) < F.col("_end")), F.col("_v")))
+        return F.max(F.when(holds(rank), F.col("_v")))
 
     x0, x1 = pick("_r0"), pick("_r1")
     picked = ranked.groupBy(*keys).agg(x0.alias("_x0"), x1.alias("_x1"))

@@ -28,6 +28,11 @@ NUMERIC_AGGREGATES = (
 # ----------------------------------------------------------------------------
 
 _BLANK = r"[\s\x1c-\x1f]"
+# every character that Unicode, or the C locale, counts as blank
+_BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def col_of(c) -> Column:
@@ -36,7 +41,7 @@ def col_of(c) -> Column:
 
 def strip(c) -> Column:
     """Trim every Unicode blank on both ends."""
-    return F.regexp_replace(col_of(c), rf"(?U)^{_BLANK}+|{_BLANK}+$", "")
+    return F.btrim(col_of(c), F.lit(_BLANKS))
 
 
 def is_blank(c) -> Column:

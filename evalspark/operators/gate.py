@@ -82,11 +82,12 @@ def verify_tier(votes: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Votes ``(family, verdict)`` per question to tier, agreement and empirical difficulty.
 
     One aggregation with map-side partials.  Two matching families is the
-    smallest matching family differing from the largest, which needs no
-    distinct count and so no second shuffle.
+    smallest matching family code differing from the largest, which needs no
+    distinct count and so no second shuffle; 64-bit codes instead of names
+    keep the aggregation in fixed-width hash buffers, without a sort.
     """
     by = list(by or ["question_id"])
-    matched = F.when(F.col("verdict"), F.col("family"))
+    matched = F.when(F.col("verdict") & F.col("family").isNotNull(), F.xxhash64("family"))
     counted = votes.groupBy(*by).agg(
         F.count_if("verdict").alias("n_match"),
         F.count("verdict").alias("n_votes"),

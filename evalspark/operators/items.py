@@ -148,28 +148,36 @@ def drop_counts(items: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def text_columns(catalog: DataFrame) -> list[str]:
-    """Lower-case names of the string and boolean columns; bounded by the width of the schema."""
+def text_columns(catalog: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``(by…, text_columns)``: lower-case names of the string and boolean columns of each group.
+
+    A name met in several tables has the type of the first one.  The list is
+    bounded by the width of the group's schema.
+    """
+    by = list(by or [])
     typed = (
-        catalog.groupBy(F.lower("column").alias("c"))
+        catalog.groupBy(*by, F.lower("column").alias("c"))
         .agg(F.min_by(F.lower("type"), F.struct("table", "position")).alias("t"))
         .where(F.col("t").contains("string") | F.col("t").contains("boolean"))
     )
-    return sorted(r["c"] for r in typed.collect())
+    return typed.groupBy(*by).agg(F.collect_set("c").alias("text_columns"))
 
 
-def typed_aggregate_violations(items: DataFrame, catalog: DataFrame, sql: str = "expected_sql") -> DataFrame:
+def typed_aggregate_violations(items: DataFrame, catalog: DataFrame, by: list[str] | None = None, sql: str = "expected_sql") -> DataFrame:
     """Adds ``bad_columns``: text or boolean columns inside a numeric aggregate of the SQL.
 
-    The catalog of one run is a schema, so its text columns enter as a literal
-    array and the test is row-wise: no join, no shuffle.
+    The text columns of a group arrive as one array and the test is row-wise.
+    With one catalog for all items they are a scalar subquery: no join.
     """
-    names = F.array(*[F.lit(c) for c in text_columns(catalog)]).cast("array<string>")
-    return items.withColumn("bad_columns", F.array_sort(F.array_intersect(numeric_aggregate_identifiers(sql), names)))
+    packed = text_columns(catalog, by)
+    typed = items.join(packed, by, "left") if by else items.withColumn("text_columns", packed.scalar())
+    none = F.array().cast("array<string>")
+    found = F.array_intersect(numeric_aggregate_identifiers(sql), F.coalesce("text_columns", none))
+    return typed.withColumn("bad_columns", F.array_sort(found)).drop("text_columns")
 
 
-def drop_typed_violations(items: DataFrame, catalog: DataFrame) -> DataFrame:
-    return typed_aggregate_violations(items, catalog).where(F.size("bad_columns") == 0).drop("bad_columns")
+def drop_typed_violations(items: DataFrame, catalog: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return typed_aggregate_violations(items, catalog, by).where(F.size("bad_columns") == 0).drop("bad_columns")
 
 
 def dedup_skeleton(items: DataFrame, by: list[str] | None = None, pos: str = "pos", sql: str = "expected_sql") -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from decimal import Decimal, InvalidOperation
+from decimal import Decimal
 from functools import reduce
+from math import isfinite
 from operator import or_
 
 import pyarrow as pa
@@ -14,17 +15,32 @@ from ..functions.cells import ABS_TOL, MAX_WIDTH, REL_TOL, ROW_CAP, canon_cell,
 from ..functions.text import col_of
 
 _ABS, _REL = Decimal(ABS_TOL), Decimal(REL_TOL)
+_ABS_F, _REL_F = float(ABS_TOL), float(REL_TOL)
 
 
-def _number(cell: str) -> Decimal | None:
+def _number(cell: str) -> float | None:
     try:
-        d = Decimal(cell)
-    except InvalidOperation:
+        x = float(cell)
+    except ValueError:
         return None
-    return d if d.is_finite() else None
+    # text such as "nan" is no number; only a long row of digits may overflow
+    return x if isfinite(x) or cell.lstrip("-")[:1].isdigit() else None
 
 
-def _close_masks(left: list[str], right: list[str], numbers: dict[str, Decimal | None]) -> list[int]:
+def _within(a: str, b: str, x: float, y: float) -> bool:
+    """Tolerance test; binary arithmetic settles the clear cases, decimal the close ones."""
+    gap, size = abs(x - y), max(abs(x), abs(y))
+    if isfinite(size):
+        if gap > 1.01 * _REL_F * size + 2 * _ABS_F:
+            return False
+        if gap < 0.99 * _REL_F * size:
+            return True
+    exact_a, exact_b = Decimal(a), Decimal(b)
+    gap = abs(exact_a - exact_b)
+    return gap <= _ABS or gap <= _REL * max(abs(exact_a), abs(exact_b))
+
+
+def _close_masks(left: list[str], right: list[str], numbers: dict[str, float | None]) -> list[int]:
     """Per cell of one column, a bit set of the cells of the other it may stand for."""
     seen: dict[str, int] = {}
     for a in left:
@@ -36,10 +52,8 @@ def _close_masks(left: list[str], right: list[str], numbers: dict[str, Decimal |
                 mask |= 1 << j
             elif x is not None and ("." in a or "." in b):
                 y = numbers[b]
-                if y is not None:
-                    gap = abs(x - y)
-                    if gap <= _ABS or gap <= _REL * max(abs(x), abs(y)):
-                        mask |= 1 << j
+                if y is not None and _within(a, b, x, y):
+                    mask |= 1 << j
         seen[a] = mask
     return [seen[a] for a in left]
 
@@ -67,23 +81,25 @@ def _columns_agree(expected: list[list[str]], actual: list[list[str]]) -> bool:
     width = len(expected[0])
     e_cols = [[r[c] for r in expected] for c in range(width)]
     g_cols = [[r[c] for r in actual] for c in range(width)]
-    bags = [sorted(c) for c in g_cols]
-    want = sorted(map(tuple, expected))
 
-    def exact(c: int, chosen: list[int]) -> bool:
-        if c == width:
-            return sorted(tuple(r[i] for i in chosen) for r in actual) == want
-        bag = sorted(e_cols[c])
-        return any(
-            bags[i] == bag and exact(c + 1, [*chosen, i]) for i in range(width) if i not in chosen
-        )
+    if sorted(v for c in e_cols for v in c) == sorted(v for c in g_cols for v in c):
+        bags = [sorted(c) for c in g_cols]
+        want = sorted(map(tuple, expected))
 
-    if exact(0, []):
-        return True
+        def exact(c: int, chosen: list[int]) -> bool:
+            if c == width:
+                return sorted(tuple(r[i] for i in chosen) for r in actual) == want
+            bag = sorted(e_cols[c])
+            return any(
+                bags[i] == bag and exact(c + 1, [*chosen, i]) for i in range(width) if i not in chosen
+            )
+
+        if exact(0, []):
+            return True
 
     numbers = {v: _number(v) for col in (*e_cols, *g_cols) for v in col}
     every = (1 << len(actual)) - 1
-    masks = [[_close_masks(e, g, numbers) for g in g_cols] for e in e_cols]
+    masks: dict[tuple[int, int], list[int]] = {}
 
     def tolerant(c: int, used: frozenset, rows: list[int]) -> bool:
         # a branch needs a partner left for every row, expected and actual
@@ -91,11 +107,14 @@ def _columns_agree(expected: list[list[str]], actual: list[list[str]]) -> bool:
             return False
         if c == width:
             return _greedy_cover(rows)
-        return any(
-            tolerant(c + 1, used | {i}, [r & m for r, m in zip(rows, masks[c][i])])
-            for i in range(width)
-            if i not in used
-        )
+        for i in range(width):
+            if i in used:
+                continue
+            if (c, i) not in masks:
+                masks[c, i] = _close_masks(e_cols[c], g_cols[i], numbers)
+            if tolerant(c + 1, used | {i}, [r & m for r, m in zip(rows, masks[c, i])]):
+                return True
+        return False
 
     return tolerant(0, frozenset(), [every] * len(expected))
 
@@ -120,12 +139,18 @@ def _ragged(rows: Column, width: Column) -> Column:
     return F.exists(rows, lambda r: F.size(r) != width)
 
 
+def _words(rows: Column) -> Column:
+    """Sorted cells without any digit.  No tolerance applies to them, so they must agree as bags."""
+    return F.sort_array(F.filter(F.flatten(rows), lambda c: ~c.rlike(r"(?U)\d")))
+
+
 def match_permutation(pairs: DataFrame, expected: str, actual: str, verdict: str = "verdict") -> DataFrame:
     """Do the row sets match under one column permutation?  False where length or width differ."""
     staged = pairs.withColumn("_e", canon_rows(expected)).withColumn("_g", canon_rows(actual))
     width = F.size(F.get("_e", F.lit(0)))
     square = (
         (F.size("_e") == F.size("_g")) & (F.size("_e") > 0) & ~_ragged(F.col("_e"), width) & ~_ragged(F.col("_g"), width)
+        & (_words(F.col("_e")) == _words(F.col("_g")))
     )
     found = _match_permutation(F.when(square, F.col("_e")), F.when(square, F.col("_g")))
     return staged.withColumn(verdict, F.coalesce(found, F.lit(False))).drop("_e", "_g")
@@ -166,6 +191,7 @@ def rows_match(
         .when(bag_equal("_e", "_g"), "true")
         .when(_ragged(F.col("_e"), width) | _ragged(F.col("_g"), width), "false")
         .when(width > max_width, "null")
+        .when(_words(F.col("_e")) != _words(F.col("_g")), "false")
         .otherwise("open"),
     )
     open_ = F.col("_state") == "open"

@@ -17,6 +17,7 @@ The plan, after the pivot-based distance joins of the MapReduce literature:
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,8 @@ def _matrix(column) -> np.ndarray:
 
 def choose_pivots(sources: DataFrame, count: int = PIVOTS) -> np.ndarray:
     """At most ``count`` source vectors, picked by a hash of their id."""
-    rows = sources.orderBy(F.xxhash64("id"), "id").limit(count).select("v").collect()
+    ids = [r["id"] for r in sources.select("id").orderBy(F.xxhash64("id"), "id").limit(count).collect()]
+    rows = sources.where(F.col("id").isin(ids)).select("v").limit(count).collect()
     return np.array([r["v"] for r in rows], dtype=np.float64)
 
 
@@ -249,12 +251,10 @@ def greedy_keep(vectors: DataFrame, by: list[str] | None = None, threshold: floa
         marked = _attach(rest, cut, by, "_cut")
         head = marked.where(F.col("id") <= F.col("_cut")).drop("_cut")
         tail = marked.where(F.col("id") > F.col("_cut")).drop("_cut")
-        kept_head = _settle(head, by, threshold)
-        kept_parts.extend(kept_head)
-        for part in kept_head:
-            if tail.isEmpty():
-                break
-            hit = earlier_neighbours(tail, part.withColumn("kept", F.lit(True)), by, threshold)
+        survivors = reduce(DataFrame.unionByName, _settle(head, by, threshold))
+        kept_parts.append(survivors)
+        if not tail.isEmpty():
+            hit = earlier_neighbours(tail, survivors.withColumn("kept", F.lit(True)), by, threshold)
             tail = materialize(tail.join(hit.select(*by, "id"), [*by, "id"], "left_anti"), "tail")
         rest, size = tail, size * 2
     out = lone

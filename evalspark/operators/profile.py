@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -150,6 +152,16 @@ def low_card_values(df: DataFrame, cap: int = VALUE_CAP) -> DataFrame:
     )
 
 
+def profile_tables(tables: Mapping[str, DataFrame], cap: int = VALUE_CAP, threads: int = 8) -> DataFrame:
+    """``(table, column, value)`` over several tables; a small pool keeps their sketch jobs in flight."""
+
+    def one(name: str) -> DataFrame:
+        return low_card_values(tables[name], cap).select(F.lit(name).alias("table"), "column", "value")
+
+    with ThreadPoolExecutor(threads) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, list(tables)))
+
+
 def date_ranges(df: DataFrame) -> DataFrame:
     """``(column, lo, hi)`` of every date or timestamp column that holds a value, in one aggregation."""
     names = _ranged(df.schema)
@@ -217,29 +229,24 @@ def declared_fks(tc: DataFrame, kcu: DataFrame, rc: DataFrame, ccu: DataFrame) -
 
 
 def shared_columns(catalog: DataFrame, by: list[str] | None = None, cap: int | None = JOIN_NAME_CAP) -> DataFrame:
-    """Column names found in two or more tables: candidate join columns.
+    """``(by…, column, n_tables, table)``: names found in two or more tables, candidate join columns.
 
-    Counting two tables needs only the smallest and largest table name, which
-    partial aggregation keeps to one row per name and task; the full list is
-    gathered for the at most ``cap`` names that are reported.  The cap keeps
-    the names seen first in catalog order (table, then position).
+    The cap keeps the names seen first in catalog order (table, then
+    position).  Rows stay long, one per name and table, so a name that a
+    third of all tables share is never gathered into one value.
     """
     by = list(by or [])
+    keys = [*by, "column"]
     c = catalog.select(*by, F.lower("column").alias("column"), "table", "position")
+    pairs = c.where(~F.col("column").isin(*JOIN_NAME_EXCLUDED)).groupBy(*keys, "table").agg(F.min("position").alias("position"))
     per = (
-        c.where(~F.col("column").isin(*JOIN_NAME_EXCLUDED))
-        .groupBy(*by, "column")
-        .agg(F.min("table").alias("t0"), F.max("table").alias("t1"), F.min(F.struct("table", "position")).alias("seen"))
-        .where(F.col("t0") != F.col("t1"))
+        pairs.groupBy(*keys)
+        .agg(F.count("*").alias("n_tables"), F.min(F.struct("table", "position")).alias("_seen"))
+        .where(F.col("n_tables") >= 2)
     )
     if cap is not None:
-        first = Window.partitionBy(*by).orderBy("seen", "column")
-        per = per.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= cap)
-    keys = [*by, "column"]
-    pairs = c.join(per.select(*keys), keys, "left_semi").select(*keys, "table").distinct()
-    return pairs.groupBy(*keys).agg(
-        F.count("*").alias("n_tables"), F.array_join(F.array_sort(F.collect_list("table")), ", ").alias("tables")
-    )
+        per = first_rows(per, by, ["_seen", "column"], cap).drop("_rn")
+    return pairs.join(per.select(*keys, "n_tables"), keys).select(*keys, "n_tables", "table")
 
 
 def used_columns(items: DataFrame, catalog: DataFrame, by: list[str] | None = None, sql: str = "expected_sql") -> DataFrame:
@@ -304,7 +311,8 @@ def fk_lines(fks: DataFrame, by: list[str]) -> DataFrame:
 
 
 def shared_lines(shared: DataFrame, by: list[str]) -> DataFrame:
-    lines = shared.withColumn("line", F.concat(F.lit("  - `"), "column", F.lit("` appears in: "), "tables"))
+    named = _ordered_text(shared, [*by, "column"], ["table"], "table", "tables", ", ")
+    lines = named.withColumn("line", F.concat(F.lit("  - `"), "column", F.lit("` appears in: "), "tables"))
     return _ordered_text(lines, by, ["column"], "line", "shared_block")
 
 

@@ -69,9 +69,10 @@ def latest_sections(runs: DataFrame, jobs: DataFrame, newest: int = NEWEST) -> D
     """
     order = [F.desc("start_time"), F.desc("run_id")]
     cols = ["run_id", "run_name", "start_time"]
-    tagged = first_rows(runs.select("job_run_id", "experiment", *cols), ["experiment", "job_run_id"], order, newest)
+    own = runs.where(F.col("job_run_id").isNotNull())
+    tagged = first_rows(own.select("job_run_id", "experiment", *cols), ["experiment", "job_run_id"], order, newest)
     exact = jobs.join(tagged, ["experiment", "job_run_id"]).select("job_run_id", "experiment", *cols, F.lit("exact").alias("attribution"))
-    untagged = jobs.join(runs.select("experiment", "job_run_id").distinct(), ["experiment", "job_run_id"], "left_anti")
+    untagged = jobs.join(own.select("experiment", "job_run_id").distinct(), ["experiment", "job_run_id"], "left_anti")
     recent = first_rows(runs.select("experiment", *cols), ["experiment"], order, newest)
     latest = untagged.join(recent, "experiment").select("job_run_id", "experiment", *cols, F.lit("latest").alias("attribution"))
     return (

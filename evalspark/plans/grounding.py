@@ -290,7 +290,7 @@ def _union(frames) -> DataFrame:
     f"""SELECT * FROM (SELECT '{t}' AS "table", '{c}' AS "column", CAST({c} AS VARCHAR) AS value FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} QUALIFY COUNT(*) OVER () <= 30) q"""
     for t, cols in _SAMPLED.items() for c in cols))
 def low_card(spark, d):
-    return _union([pf.low_card_values(df).select(F.lit(t).alias("table"), "column", "value") for t, df in tables(spark, d).items()])
+    return pf.profile_tables(tables(spark, d))
 
 
 @query("p5_date_ranges", " UNION ALL ".join(
@@ -318,9 +318,9 @@ def declared_fks(spark, d):
 
 @query("p7_shared_columns", with_views("fleet_columns") + """, c AS (SELECT space_id, LOWER("column") AS "column", "table", position FROM fleet_columns WHERE LOWER("column") NOT IN ('id', 'name', 'date', 'value', 'type', 'status')),
     first AS (SELECT space_id, "column", "table" AS t0, position AS p0, ROW_NUMBER() OVER (PARTITION BY space_id, "column" ORDER BY "table", position) AS k FROM c),
-    per AS (SELECT space_id, "column", COUNT(DISTINCT "table") AS n_tables, STRING_AGG(DISTINCT "table", ', ' ORDER BY "table") AS tables FROM c GROUP BY ALL HAVING COUNT(DISTINCT "table") >= 2),
+    per AS (SELECT space_id, "column", COUNT(DISTINCT "table") AS n_tables FROM c GROUP BY ALL HAVING COUNT(DISTINCT "table") >= 2),
     ranked AS (SELECT per.*, ROW_NUMBER() OVER (PARTITION BY space_id ORDER BY t0, p0, "column") AS rn FROM per JOIN (SELECT * FROM first WHERE k = 1) f USING (space_id, "column"))
-    SELECT space_id, "column", n_tables, tables FROM ranked WHERE rn <= 15""")
+    SELECT DISTINCT space_id, "column", n_tables, "table" FROM ranked JOIN c USING (space_id, "column") WHERE rn <= 15""")
 def shared_columns(spark, d):
     return pf.shared_columns(view(spark, d, "fleet_columns"), ["space_id"])
 
@@ -372,7 +372,7 @@ _NL = "chr(10)"
 def context(spark, d):
     c = table(spark, d, "conversations").withColumn("space_id", F.col("conv_id"))
     fks = c.where("turn >= 4").select("space_id", F.concat(F.lit("t"), "turn").alias("from_table"), F.lit("k").alias("fk_col"), F.lit("u").alias("ref_table"), F.col("role").alias("ref_col"))
-    shared = c.where("turn BETWEEN 1 AND 3").select("space_id", F.concat(F.lit("c"), "turn").alias("column"), F.lit("a, b").alias("tables"))
+    shared = c.where("turn BETWEEN 1 AND 3").select("space_id", F.concat(F.lit("c"), "turn").alias("column"), F.explode(F.array(F.lit("b"), F.lit("a"))).alias("table"))
     return pf.context_document(
         _space_rows(spark, d), ["space_id"], view(spark, d, "curated"), view(spark, d, "history"), fks, shared, extra="be brief"
     )

@@ -28,12 +28,14 @@ def history_messages(conversations: DataFrame, max_conversations: int | None = N
     """One row per message in a final state, with the first attached query that is not empty.
 
     With ``max_conversations`` only that many conversations of each space
-    count, in order of id; tasks cut to the cap before the shuffle.
+    count, in order of id.  They are chosen on the ids alone, and tasks cut to
+    the cap before the shuffle, so the documents themselves are never sorted.
     """
     ident = F.coalesce(F.nullif("conversation_id", F.lit("")), F.nullif("id", F.lit("")))
     conv = conversations.withColumn("_cid", ident).where(F.col("_cid").isNotNull())
     if max_conversations is not None:
-        conv = first_rows(conv, ["space_id"], ["_cid"], max_conversations).drop("_rn")
+        chosen = first_rows(conv.select("space_id", "_cid").distinct(), ["space_id"], ["_cid"], max_conversations)
+        conv = conv.join(chosen.drop("_rn"), ["space_id", "_cid"], "left_semi")
     msg = conv.select("space_id", F.col("_cid").alias("conversation_id"), F.posexplode("messages").alias("msg_idx", "m"))
     with_query = F.filter("m.attachments", lambda a: F.coalesce(a["query"]["query"], F.lit("")) != "")
     first = F.get(with_query, F.lit(0))

@@ -35,9 +35,10 @@ def replace_space(df: DataFrame, path: str) -> None:
     """Replaces the partitions of the spaces in ``df`` and leaves all others alone.
 
     Dynamic partition overwrite commits whole partitions, so repeating a failed
-    write is safe and never touches another space.
+    write is safe and never touches another space.  The rebalance hint gathers
+    each space into few files and splits a space too large for one task.
     """
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("space_id").parquet(path)
+    df.hint("rebalance", F.col("space_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("space_id").parquet(path)
 
 
 def append_question_log(items: DataFrame, path: str) -> None:
