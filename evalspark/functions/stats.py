@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .frames import attach
 from .text import col_of
 
 Z95 = 1.96  # fixed value
@@ -85,10 +86,7 @@ def exact_quantile(
         (F.col("_min") if q - margin <= 0 else F.when(small, F.col("_min")).otherwise(F.col("_b")[0])).alias("_lo"),
         (F.col("_max") if q + margin >= 1 else F.when(small, F.col("_max")).otherwise(F.col("_b")[1])).alias("_hi"),
     )
-    if by:
-        near = rows.join(bracket, by)
-    else:
-        near = rows.join(F.broadcast(bracket), F.lit(True))  # a single row
+    near = attach(rows, bracket, by)
     keys = [*by, "_n", "_r0", "_r1", "_w"]
     width = F.col("_hi") - F.col("_lo")
     inside = F.least(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width) * BINS), F.lit(BINS - 1))
@@ -106,7 +104,8 @@ def exact_quantile(
 
     bins = running(near.groupBy(*keys, "_bin").agg(F.count("*").alias("_c")), keys, "_bin")
     bins = bins.where(holds("_r0") | holds("_r1")).select(*by, "_bin", F.col("_begin").alias("_base"))
-    values = near.join(F.broadcast(bins) if not by else bins, [*by, "_bin"])
+    # at most two bins per group
+    values = near.join(bins if by else F.broadcast(bins), [*by, "_bin"])
     counted = values.groupBy(*keys, "_bin", "_base", "_v").agg(F.count("*").alias("_c"))
     ranked = running(counted, [*keys, "_bin", "_base"], "_v")
     ranked = ranked.withColumn("_begin", F.col("_begin") + F.col("_base")).withColumn("_end", F.col("_end") + F.col("_base"))

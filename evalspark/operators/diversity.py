@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.frames import attach
 from ..functions.stats import exact_quantile
+from ..session import materialize
 from .near import greedy_keep, nearest, unit_vector
 
 # --- fixed values -----------------------------------------------------------
@@ -24,13 +26,16 @@ def nearest_reference(generated: DataFrame, reference: DataFrame, by: list[str]
 
 
 def nn_summary(nn: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Mean and 10th percentile (linear interpolation) of the nearest cosine."""
+    """Mean and 10th percentile (linear interpolation) of the nearest cosine.
+
+    The search behind ``nn`` is costly and the quantile reads its input three
+    times, so the cosines are written once.
+    """
     by = list(by or [])
+    nn = materialize(nn.select(*by, "nn_sim"), "cosines")
     mean = nn.groupBy(*by).agg(F.count("*").alias("n_generated"), F.avg("nn_sim").alias("mean_nn_cosine"))
     p10 = exact_quantile(nn, "nn_sim", 0.10, by, "nn_cosine_p10")
-    if by:
-        return mean.join(p10, by, "left")
-    return mean.withColumn("nn_cosine_p10", p10.scalar())
+    return mean.join(p10, by, "left") if by else attach(mean, p10, by)
 
 
 def self_similarity(vectors: DataFrame, by: list[str] | None = None, name: str = "self_similarity") -> DataFrame:

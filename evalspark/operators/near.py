@@ -24,11 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
 
+from ..functions.frames import attach
 from ..session import materialize
 
 PIVOTS = 64  # bound on what is collected and shipped with the tasks
-BLOCK_ROWS = 4096
+CELL_ROWS = 4096  # a group gets about one pivot per so many of its sources
+BLOCK_FLOATS = 2**22  # bound on the floats of a source block
 SHARD_ROWS = 4096
+PRODUCT_CELLS = 2**22  # bound on the cells of one matrix product
+LOCAL_ROWS = 20_000  # greatest prefix of a group that one task settles
 ANGLE_SLACK = 2e-3  # radians; covers rounding of 32-bit vectors in every bound
 
 
@@ -47,8 +51,19 @@ def _matrix(column) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
-def choose_pivots(sources: DataFrame, count: int = PIVOTS) -> np.ndarray:
-    """At most ``count`` source vectors, picked by a hash of their id."""
+def _products(targets, sources: np.ndarray):
+    """Row slices of the targets with their cosines to all sources, a bounded product at a time."""
+    mine = _matrix(targets)
+    step = max(1, PRODUCT_CELLS // max(1, len(sources)))
+    for i in range(0, len(mine), step):
+        rows = slice(i, min(i + step, len(mine)))
+        yield rows, mine[rows] @ sources.T
+
+
+def choose_pivots(sources: DataFrame, by: list[str]) -> np.ndarray:
+    """Up to 64 source vectors picked by a hash of their id, fewer where every group is small."""
+    largest = sources.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    count = max(1, min(PIVOTS, largest // CELL_ROWS))
     ids = [r["id"] for r in sources.select("id").orderBy(F.xxhash64("id"), "id").limit(count).collect()]
     rows = sources.where(F.col("id").isin(ids)).select("v").limit(count).collect()
     return np.array([r["v"] for r in rows], dtype=np.float64)
@@ -89,30 +104,24 @@ def _with_home(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     return df.mapInArrow(run, StructType([*df.schema.fields, *extra]))
 
 
-def _attach(df: DataFrame, packed: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Adds the one packed row of each group; without groups it is a scalar subquery."""
-    if by:
-        return df.join(packed.select(*by, name), by)
-    return df.withColumn(name, packed.select(name).scalar())
-
-
 def _search(targets: DataFrame, sources: DataFrame, by: list[str], kernel, schema: str, limit_angle: float | None, skip_self: bool) -> DataFrame:
     """Runs ``kernel`` on every (target shard, source block) that can hold an answer.
 
     ``limit_angle`` fixes how far an answer may lie; without it each target
     gets the bound that its nearest source cannot exceed.
     """
-    pivots = choose_pivots(sources)
+    pivots = choose_pivots(sources, by)
     if not len(pivots):
         return targets.sparkSession.createDataFrame([], schema)
+    block_rows = max(1, BLOCK_FLOATS // pivots.shape[1])
     placed = _with_home(sources, pivots)
     stats = placed.groupBy(*by, "cell").agg(
         F.count("*").alias("n"), F.max("angle").alias("far"), F.min("angle").alias("near")
     )
-    cell = F.struct("cell", "far", "near", "n", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+    cell = F.struct("cell", "far", "near", "n", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
     # one entry per pivot at most
     packed = stats.groupBy(*by).agg(F.collect_list(cell).alias("_cells"))
-    routed = _attach(_with_angles(targets, pivots), packed, by, "_cells").where(F.col("_cells").isNotNull())
+    routed = attach(_with_angles(targets, pivots), packed, by).where(F.col("_cells").isNotNull())
 
     def at(c: Column) -> Column:
         return F.get(F.col("_a"), c["cell"])
@@ -134,7 +143,7 @@ def _search(targets: DataFrame, sources: DataFrame, by: list[str], kernel, schem
     )
     load = (
         routed.select(*by, F.explode("_reach.cell").alias("cell")).groupBy(*by, "cell").agg(F.count("*").alias("t"))
-        .join(stats.select(*by, "cell", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), [*by, "cell"])
+        .join(stats.select(*by, "cell", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")), [*by, "cell"])
     )
     shards = F.ceil(F.col("t") / SHARD_ROWS).cast("int")
     plan = load.groupBy(*by).agg(
@@ -142,7 +151,7 @@ def _search(targets: DataFrame, sources: DataFrame, by: list[str], kernel, schem
     )
     slot = lambda n: F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1))).cast("int")
     left = (
-        _attach(routed, plan, by, "_plan")
+        attach(routed, plan, by)
         .withColumn("_c", F.explode("_reach"))
         .withColumn("cell", F.col("_c.cell"))
         .withColumn("shard", slot(F.col("_plan")[F.col("cell")]["shards"]))
@@ -150,7 +159,7 @@ def _search(targets: DataFrame, sources: DataFrame, by: list[str], kernel, schem
         .drop("_plan", "_reach", "_c")
     )
     right = (
-        _attach(placed, plan, by, "_plan")
+        attach(placed, plan, by)
         .withColumn("_p", F.col("_plan")[F.col("cell")])
         .where(F.col("_p").isNotNull())
         .withColumn("block", slot(F.col("_p.blocks")))
@@ -174,18 +183,17 @@ def nearest(targets: DataFrame, sources: DataFrame, by: list[str] | None = None,
     by = list(by or [])
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
-        keep = {c: left[c] for c in (*by, "id")}
-        if left.num_rows == 0 or right.num_rows == 0:
-            return pa.table({**{c: t.slice(0, 0) for c, t in keep.items()},
-                             "s": pa.array([], pa.float64()), "r": pa.array([], pa.int64())})
-        right = right.sort_by("id")
-        ids, mine = right["id"].to_numpy(), left["id"].to_numpy()
-        sims = _matrix(left["v"]) @ _matrix(right["v"]).T
-        if skip_self:
-            sims[mine[:, None] == ids[None, :]] = -np.inf
-        at = sims.argmax(axis=1)
-        best = sims[np.arange(len(at)), at]
-        out = pa.table({**keep, "s": pa.array(best), "r": pa.array(ids[at])})
+        mine, ids = left["id"].to_numpy(), right["id"].to_numpy()
+        best, at = np.full(len(mine), -np.inf), np.zeros(len(mine), dtype=np.int64)
+        if len(mine) and len(ids):
+            order = np.argsort(ids)  # so that the first maximum is that of the least id
+            ids = ids[order]
+            for rows, sims in _products(left["v"], _matrix(right["v"])[order]):
+                if skip_self:
+                    sims[mine[rows, None] == ids[None, :]] = -np.inf
+                top = sims.argmax(axis=1)
+                best[rows], at[rows] = sims[np.arange(len(top)), top], ids[top]
+        out = pa.table({**{c: left[c] for c in (*by, "id")}, "s": pa.array(best), "r": pa.array(at)})
         return out.filter(pa.array(np.isfinite(best)))
 
     schema = _key_ddl(targets, by) + "id bigint, s double, r bigint"
@@ -203,15 +211,15 @@ def earlier_neighbours(targets: DataFrame, sources: DataFrame, by: list[str], th
     """
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
-        keep = {c: left[c] for c in (*by, "id")}
-        if left.num_rows == 0 or right.num_rows == 0:
-            no = pa.array([], pa.bool_())
-            return pa.table({**{c: t.slice(0, 0) for c, t in keep.items()}, "near_kept": no, "near_open": no})
-        near = _matrix(left["v"]) @ _matrix(right["v"]).T >= threshold
-        near &= right["id"].to_numpy()[None, :] < left["id"].to_numpy()[:, None]
-        kept = right["kept"].to_numpy().astype(bool)
-        out = pa.table({**keep, "near_kept": pa.array(near[:, kept].any(axis=1)), "near_open": pa.array(near[:, ~kept].any(axis=1))})
-        return out.filter(pa.array(near.any(axis=1)))
+        mine, ids = left["id"].to_numpy(), right["id"].to_numpy()
+        flags = np.zeros((2, len(mine)), dtype=bool)
+        if len(mine) and len(ids):
+            kept = right["kept"].to_numpy().astype(bool)
+            for rows, sims in _products(left["v"], _matrix(right["v"])):
+                near = (sims >= threshold) & (ids[None, :] < mine[rows, None])
+                flags[0, rows], flags[1, rows] = near[:, kept].any(axis=1), near[:, ~kept].any(axis=1)
+        out = pa.table({**{c: left[c] for c in (*by, "id")}, "near_kept": pa.array(flags[0]), "near_open": pa.array(flags[1])})
+        return out.filter(pa.array(flags.any(axis=0)))
 
     schema = _key_ddl(targets, by) + "id bigint, near_kept boolean, near_open boolean"
     limit = math.acos(max(-1.0, min(1.0, threshold)))
@@ -221,50 +229,91 @@ def earlier_neighbours(targets: DataFrame, sources: DataFrame, by: list[str], th
     return found.groupBy(*by, "id").agg(F.bool_or("near_kept").alias("near_kept"), F.bool_or("near_open").alias("near_open"))
 
 
-def greedy_keep(vectors: DataFrame, by: list[str] | None = None, threshold: float = 0.92, first: int = 50_000) -> DataFrame:
+def _prefix_cut(rest: DataFrame, by: list[str], size: int) -> DataFrame:
+    """``(by…, _cut)``: an id up to which each group has about ``size`` rows.
+
+    Any prefix gives the same greedy result, so a sketch is exact enough; its
+    error scales with the rows it has seen, hence it is repeated on the prefix
+    until that is small.
+    """
+    grid = F.array(*[F.lit(i / 1000.0) for i in range(1, 1001)])
+    stage = rest.select(*by, "id")
+    while True:
+        stats = materialize(
+            stage.groupBy(*by).agg(F.count("*").alias("n"), F.max("id").alias("top"), F.percentile_approx("id", grid, 10_000).alias("p")),
+            "cuts",
+        )
+        slot = F.greatest(F.floor(F.lit(size) * 1000.0 / F.col("n")).cast("int"), F.lit(1))
+        whole = F.col("n") <= size * 1.5
+        cut = stats.select(*by, F.when(whole, F.col("top")).otherwise(F.get("p", F.least(slot, F.lit(1000)) - 1)).alias("_cut"))
+        if stats.where(~whole).isEmpty():
+            return cut
+        stage = attach(stage, cut, by).where(F.col("id") <= F.col("_cut")).drop("_cut")
+
+
+def greedy_keep(vectors: DataFrame, by: list[str] | None = None, threshold: float = 0.92, first: int | None = None) -> DataFrame:
     """``(by…, id)`` of what a pass in id order keeps: a vector stays iff no kept earlier one is near.
 
     The greedy result is the lexicographically first independent set of the
     near-pair graph.  Identical vectors are first reduced to their earliest
-    id.  Then prefixes of growing size are settled one by one: a prefix is
-    settled in rounds (keep what has no earlier open neighbour, drop what has
-    a kept one), and its survivors at once clear the rest of the table.  A
-    large family of near copies is therefore cut down by its first survivor
-    instead of being compared with itself.
+    id.  Then prefixes of doubling size are settled one by one, and the
+    survivors of a prefix at once clear the rest of the table: a large family
+    of near copies is cut down by its first survivor instead of being compared
+    with itself.  A prefix small enough is settled in one task per group, a
+    larger one in rounds.
     """
     by = list(by or [])
     if threshold <= 0:
         raise ValueError("threshold must be positive")
+    if threshold > 1.0 + 1e-6:
+        return vectors.select(*by, "id")
     # a zero vector has cosine 0 with everything, itself included: never dropped
     zero = ~F.exists("v", lambda x: x != 0)
     lone = vectors.where(zero).select(*by, "id")
-    if threshold > 1.0 + 1e-6:
-        return vectors.select(*by, "id")
     rest = materialize(vectors.where(~zero).groupBy(*by, "v").agg(F.min("id").alias("id")).select(*by, "id", "v"), "distinct")
-    kept_parts: list[DataFrame] = []
-    size = first
+    parts: list[DataFrame] = [lone]
+    size = first or LOCAL_ROWS
     while not rest.isEmpty():
-        # any prefix gives the same result, so an approximate cut is exact enough
-        total = rest.groupBy(*by).agg(F.count("*").alias("n"), F.max("id").alias("top"), F.percentile_approx("id", F.array(*[F.lit(i / 1000.0) for i in range(1, 1001)]), 10_000).alias("p"))
-        slot = F.ceil(F.lit(size) * 1000.0 / F.col("n")).cast("int")
-        cut = total.select(*by, F.when(slot >= 1000, F.col("top")).otherwise(F.get("p", slot - 1)).alias("_cut"))
-        marked = _attach(rest, cut, by, "_cut")
+        marked = attach(rest, _prefix_cut(rest, by, size), by)
         head = marked.where(F.col("id") <= F.col("_cut")).drop("_cut")
         tail = marked.where(F.col("id") > F.col("_cut")).drop("_cut")
-        survivors = reduce(DataFrame.unionByName, _settle(head, by, threshold))
-        kept_parts.append(survivors)
+        survivors = _settle_small(head, by, threshold) if size <= LOCAL_ROWS else _settle(head, by, threshold)
+        parts.append(survivors.select(*by, "id"))
         if not tail.isEmpty():
             hit = earlier_neighbours(tail, survivors.withColumn("kept", F.lit(True)), by, threshold)
             tail = materialize(tail.join(hit.select(*by, "id"), [*by, "id"], "left_anti"), "tail")
         rest, size = tail, size * 2
-    out = lone
-    for part in kept_parts:
-        out = out.unionByName(part.select(*by, "id"))
-    return out
+    return reduce(DataFrame.unionByName, parts)
+
 
+def _settle_small(head: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """The kept vectors of a prefix of at most 1.5 · LOCAL_ROWS rows a group, one task per group."""
 
-def _settle(open_: DataFrame, by: list[str], threshold: float) -> list[DataFrame]:
-    """The kept vectors of one prefix, one written part per round."""
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        m = _matrix(group["v"])
+        keep = np.zeros(len(m), dtype=bool)
+        for i in range(0, len(m), 1024):
+            block = m[i : i + 1024]
+            free = np.ones(len(block), dtype=bool)
+            if keep.any():
+                free = (block @ m[keep].T).max(axis=1) < threshold
+            near = block @ block.T >= threshold
+            for j in np.flatnonzero(free):
+                keep[i + j] = not near[j, keep[i : i + j].nonzero()[0]].any()
+        return group.filter(pa.array(keep))
+
+    one = head.withColumn("_g", F.lit(0))
+    kept = one.groupBy("_g", *by).applyInArrow(run, one.schema)
+    return materialize(kept.drop("_g"), "kept")
+
+
+def _settle(open_: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """The kept vectors of one prefix, in rounds.
+
+    A round keeps what has no earlier open neighbour, drops what has a kept
+    one, and leaves the rest open.
+    """
     parts: list[DataFrame] = []
     newest: DataFrame | None = None
     key = [*by, "id"]
@@ -285,4 +334,4 @@ def _settle(open_: DataFrame, by: list[str], threshold: float) -> list[DataFrame
         open_ = state.where(~F.col("_drop") & F.col("_wait")).drop("_drop", "_wait")
         parts.append(newest)
         if open_.isEmpty():
-            return parts
+            return reduce(DataFrame.unionByName, parts)

@@ -116,7 +116,10 @@ def resolve_tables(wanted: DataFrame, registered: DataFrame, profiled: DataFrame
 
 
 def require_tables(resolved: DataFrame, by: list[str]) -> DataFrame:
-    """The kept tables; a group that lost every table fails the job."""
+    """The kept tables; a group that lost every table fails the job.
+
+    ``resolved`` is read twice, so pass it written where it is costly.
+    """
     left = resolved.groupBy(*by).agg(F.count_if("kept").alias("n_kept"))
     checked = left.select(
         *by,

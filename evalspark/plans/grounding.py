@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import gate, profile as pf, scorecard as sc
 from ..operators import validate as va
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import history as hist
 from ..sources import spaces as sp
 from .common import TABLES, table, tables, view, with_views
@@ -266,7 +266,7 @@ def resolution(spark, d):
 
 @query("p2_required_tables", f"""WITH {_FLEET} SELECT space_id, "table" FROM resolved WHERE kept""")
 def required(spark, d):
-    r = _resolved(spark, d)
+    r = materialize(_resolved(spark, d), "resolved")
     lost = r.groupBy("space_id").agg(F.count_if("kept").alias("n")).where("n = 0")
     return pf.require_tables(r.join(lost, "space_id", "left_anti"), ["space_id"])
 

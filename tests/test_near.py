@@ -20,9 +20,11 @@ def norm(a):
 
 @pytest.fixture(autouse=True)
 def small_blocks(monkeypatch):
-    monkeypatch.setattr(near, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(near, "BLOCK_FLOATS", 7 * 12)
     monkeypatch.setattr(near, "SHARD_ROWS", 5)
+    monkeypatch.setattr(near, "PRODUCT_CELLS", 14)
     monkeypatch.setattr(near, "PIVOTS", 8)
+    monkeypatch.setattr(near, "CELL_ROWS", 4)
 
 
 def clustered(rng, n, hot=True):
@@ -62,8 +64,9 @@ def test_self_similarity(spark):
     assert abs(self_similarity(unit(make(spark, pair))).first()["self_similarity"]) < 1e-6
 
 
-@pytest.mark.parametrize("first", [10, 50_000])
-def test_greedy_dedup(spark, first, monkeypatch):
+@pytest.mark.parametrize("first,local", [(30, 40), (None, 20_000)])
+def test_greedy_dedup(spark, first, local, monkeypatch):
+    monkeypatch.setattr(near, "LOCAL_ROWS", local)
     rng = np.random.default_rng(3)
     a = clustered(rng, 90)
     A = norm(a)
