@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evalspark.llm import fmindex, simhash
+from evalspark.llm import bpe, fmindex, simhash
 from evalspark.llm.frames import documents
 
+#: The tokenizer of operators 5 and 6.
+TOKENIZER = "word_bpe_49k.json"
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -29,3 +38,11 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     ids = F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256)
     out = found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"))
     return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+@query
+def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    out = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path)
+    hashes = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("ids", "decoded")]
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), *hashes)
