@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evalspark.llm import bpe, fmindex, simhash
+from evalspark.llm import bpe, fmindex, resync, simhash
 from evalspark.llm.frames import documents
 
 #: The tokenizer of operators 5 and 6.
@@ -46,3 +46,8 @@ def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path)
     hashes = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("ids", "decoded")]
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), *hashes)
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resync.token_counts(documents(spark, sf_dir), tokenizer_path())

@@ -38,11 +38,11 @@ class Words:
 
     def learn(self, words: list[bytes]) -> dict[bytes, list[int]]:
         """The memo, holding all of ``words``."""
-        new = [w for w in dict.fromkeys(words) if w not in self.memo]
+        new = [w for w in set(words) if w not in self.memo]
         if new:
             if len(self.memo) > MEMO:
                 self.memo.clear()
-                new = list(dict.fromkeys(words))
+                new = list(set(words))
             got = self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
             self.memo.update(zip(new, (e.ids for e in got)))
         return self.memo
