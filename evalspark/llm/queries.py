@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evalspark.llm import bpe, fmindex, resync, simhash
-from evalspark.llm.frames import documents
+from evalspark.llm import bpe, fmindex, resync, rules, simhash
+from evalspark.llm.frames import documents, materialize
 
 #: The tokenizer of operators 5 and 6.
 TOKENIZER = "word_bpe_49k.json"
@@ -51,3 +51,11 @@ def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resync.token_counts(documents(spark, sf_dir), tokenizer_path())
+
+
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = materialize(rules.measured(documents(spark, sf_dir), "doc_id"), "measures")
+    table = rules.cutoffs(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    base = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return rows.select("doc_id", "n_words", *base, rules.base_failed().alias("base_failed"), rules.kept(table).alias("kept"))
