@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evalspark.llm import bpe, fmindex, resync, rules, simhash
+from evalspark.llm import bpe, fmindex, linededup, resync, rules, simhash
 from evalspark.llm.frames import documents, materialize
 
 #: The tokenizer of operators 5 and 6.
@@ -20,8 +20,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
-def query(fn):
+def query(fn, oracle: str | None = None):
     QUERIES[fn.__name__] = fn
+    if oracle:
+        ORACLES[fn.__name__] = oracle
     return fn
 
 
@@ -59,3 +61,51 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = rules.cutoffs(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     base = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return rows.select("doc_id", "n_words", *base, rules.base_failed().alias("base_failed"), rules.kept(table).alias("kept"))
+
+
+_LINES_SQL = f"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+every AS (SELECT doc_id, unnest(range(len(l))) AS ln, unnest(l) AS raw FROM split),
+lines AS (
+  SELECT doc_id, ln, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM every
+),
+full_lines AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS i,
+    len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words
+  FROM lines WHERE line <> ''
+),
+sums AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM full_lines),
+bounds AS (
+  SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM sums a JOIN sums b
+    ON a.doc_id = b.doc_id AND b.i >= a.i AND b.i < a.i + {linededup.MIN_WORDS} AND b.upto - a.upto + a.words >= {linededup.MIN_WORDS} GROUP BY 1, 2
+  UNION
+  SELECT a.doc_id, max(b.i), a.i FROM sums a JOIN sums b
+    ON a.doc_id = b.doc_id AND b.i <= a.i AND b.i > a.i - {linededup.MIN_WORDS} AND a.upto - b.upto + b.words >= {linededup.MIN_WORDS} GROUP BY 1, 3
+),
+runs AS (
+  SELECT b.doc_id, b.s, b.e, string_agg(f.line, chr(10) ORDER BY f.i) AS run
+  FROM bounds b JOIN full_lines f ON f.doc_id = b.doc_id AND f.i BETWEEN b.s AND b.e GROUP BY 1, 2, 3
+),
+later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS nth FROM runs) WHERE nth > 1),
+gone AS (SELECT DISTINCT f.doc_id, f.ln, f.i FROM later r JOIN full_lines f ON f.doc_id = r.doc_id AND f.i BETWEEN r.s AND r.e),
+spans AS (
+  SELECT doc_id, min(ln) AS lo, max(ln) AS hi
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM gone) GROUP BY doc_id, island
+),
+rest AS (SELECT * FROM every e WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = e.doc_id AND e.ln BETWEEN s.lo AND s.hi)),
+cleaned AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY ln) AS text, count(*) AS n FROM rest GROUP BY 1)
+"""
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_removed", F.size("removed").cast("long").alias("n_runs"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256")
+    )
+
+
+query(op4_line_dedup, _LINES_SQL + """
+SELECT d.doc_id, (SELECT count(*) FROM gone g WHERE g.doc_id = d.doc_id) AS n_removed,
+  (SELECT count(*) FROM spans s WHERE s.doc_id = d.doc_id) AS n_runs, sha256(coalesce(c.text, '')) AS text_sha256
+FROM documents d LEFT JOIN cleaned c ON c.doc_id = d.doc_id
+""")
