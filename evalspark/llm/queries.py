@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evalspark.llm import bpe, fmindex, linededup, resync, rules, simhash
+from evalspark.llm import bpe, fmindex, linededup, resync, rules, simhash, weak
 from evalspark.llm.frames import documents, materialize
 
 #: The tokenizer of operators 5 and 6.
@@ -109,3 +109,8 @@ SELECT d.doc_id, (SELECT count(*) FROM gone g WHERE g.doc_id = d.doc_id) AS n_re
   (SELECT count(*) FROM spans s WHERE s.doc_id = d.doc_id) AS n_runs, sha256(coalesce(c.text, '')) AS text_sha256
 FROM documents d LEFT JOIN cleaned c ON c.doc_id = d.doc_id
 """)
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
