@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evalspark.llm import bpe, fmindex, linededup, resync, rules, simhash, weak
+from evalspark.llm import bpe, fmindex, language, linededup, resync, rules, simhash, weak
 from evalspark.llm.frames import documents, materialize
 
 #: The tokenizer of operators 5 and 6.
@@ -114,3 +114,8 @@ FROM documents d LEFT JOIN cleaned c ON c.doc_id = d.doc_id
 @query
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_held_out(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
