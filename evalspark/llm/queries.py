@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evalspark.llm import bpe, fmindex, language, linededup, resync, rules, simhash, weak
+from evalspark.llm import bpe, fmindex, language, linededup, pii, resync, rules, simhash, weak
 from evalspark.llm.frames import documents, materialize
 
 #: The tokenizer of operators 5 and 6.
@@ -119,3 +119,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_held_out(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined("base").cast("binary"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
