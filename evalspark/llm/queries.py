@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evalspark.llm import bpe, fmindex, language, linededup, pii, resync, rules, simhash, weak
-from evalspark.llm.frames import documents, materialize
+from evalspark.llm import bpe, fmindex, language, linededup, maxent, pii, resync, rules, simhash, weak
+from evalspark.llm.frames import documents, held_out, materialize
 
 #: The tokenizer of operators 5 and 6.
 TOKENIZER = "word_bpe_49k.json"
@@ -126,3 +126,8 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(documents(spark, sf_dir))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.joined("base").cast("binary"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
+@query
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(documents(spark, sf_dir), held_out(7))
