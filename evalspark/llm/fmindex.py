@@ -267,10 +267,11 @@ def without(text: str, spans: list[dict]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` with the removal spans cut out of the texts, in the same columns."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    found = occurrences(docs, benchmark, window).drop("n_words", "items")
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    found = occurrences(rows, benchmark, window).select("row", "spans")
 
     def cut(x):
-        return {k: v for k, v in x.items() if k != "spans"} | {"text": [t if t is None else without(t, s) for t, s in zip(x["text"], x["spans"])]}
+        return {"row": [r | {text: r[text] and without(r[text], s)} for r, s in zip(x["row"], x["spans"])]}
 
-    return map_rows(found, cut, schema)
+    text = next(c for c in docs.columns if c.lower() == "text")
+    return map_rows(found, cut, f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")

@@ -24,7 +24,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evalspark.llm.frames import map_rows
+from evalspark.llm.frames import map_rows, materialize
 from evalspark.llm.measures import COUNTS, columns
 
 ALPHA, DELTA = 0.02, 0.05
@@ -134,3 +134,10 @@ def kept(table: dict[str, dict[str, float]]) -> Column:
                 if rule in cuts:
                     bad = bad | ((stratum == s) & (_ratio(rule) > cuts[rule]))
     return ~bad
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, in the same columns."""
+    table = cutoffs(materialize(measured(docs, "doc_id"), "measures"), labels)
+    rows = docs.select(F.struct("*").alias("row"), "text", "lang")
+    return measured(rows, "row").filter(kept(table)).select("row.*")
