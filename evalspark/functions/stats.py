@@ -54,40 +54,42 @@ def n_for_half(p, target, floor=2, z: float = Z95) -> Column:
     )
 
 
-def exact_quantile(
-    df: DataFrame, value: str, q: float, by: list[str] | None = None, name: str = "quantile", accuracy: int = 10_000
+def exact_quantiles(
+    df: DataFrame, value: str, qs: dict[str, float], by: list[str] | None = None, accuracy: int = 10_000
 ) -> DataFrame:
-    """Exact linear-interpolated quantile of ``value`` per group, safe for huge groups.
+    """Exact linear-interpolated quantiles of ``value`` per group, safe for huge groups; ``qs`` names them.
 
-    A sketch brackets the two order statistics that matter (its rank error is
-    bounded by n / accuracy).  A histogram of the bracket, with a fixed number
+    Three passes over the values, however many quantiles are asked for.  A
+    sketch brackets the order statistics that matter (its rank error is
+    bounded by n / accuracy).  A histogram of each bracket, with a fixed number
     of bins, then finds the one or two bins that hold them, and only the
     distinct values of those bins are ranked.  No group is ever gathered
     whole.  NULLs are skipped.
     """
-    by = list(by or [])
+    by, names = list(by or []), list(qs)
     v = F.col(value)
     rows = df.where(v.isNotNull()).select(*by, v.cast("double").alias("_v"))
     margin = 4.0 / accuracy
-    bracket = rows.groupBy(*by).agg(
-        F.count("*").alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", [max(0.0, q - margin), min(1.0, q + margin)], accuracy).alias("_b"),
+    ends = [min(1.0, max(0.0, q + d)) for q in qs.values() for d in (-margin, margin)]
+    sketch = rows.groupBy(*by).agg(
+        F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.percentile_approx("_v", ends, accuracy).alias("_b")
     )
-    at = F.lit(q) * (F.col("_n") - 1)
     small = F.col("_n") <= 4 * accuracy  # above that the margin spans 16 ranks or more
-    bracket = bracket.select(
-        *by, "_n",
-        F.floor(at).cast("bigint").alias("_r0"),
-        F.ceil(at).cast("bigint").alias("_r1"),
-        (at - F.floor(at)).alias("_w"),
+
+    def bracket(i: int, q: float) -> Column:
+        at = F.lit(q) * (F.col("_n") - 1)
         # a group of few rows, or a margin past an end, is bounded by its own ends
-        (F.col("_min") if q - margin <= 0 else F.when(small, F.col("_min")).otherwise(F.col("_b")[0])).alias("_lo"),
-        (F.col("_max") if q + margin >= 1 else F.when(small, F.col("_max")).otherwise(F.col("_b")[1])).alias("_hi"),
-    )
-    near = attach(rows, bracket, by)
-    keys = [*by, "_n", "_r0", "_r1", "_w"]
+        lo = F.col("_min") if q - margin <= 0 else F.when(small, F.col("_min")).otherwise(F.col("_b")[2 * i])
+        hi = F.col("_max") if q + margin >= 1 else F.when(small, F.col("_max")).otherwise(F.col("_b")[2 * i + 1])
+        return F.struct(
+            F.lit(i).alias("_q"), F.floor(at).cast("bigint").alias("_r0"), F.ceil(at).cast("bigint").alias("_r1"),
+            (at - F.floor(at)).alias("_w"), lo.alias("_lo"), hi.alias("_hi"),
+        )
+
+    brackets = sketch.select(*by, F.array(*[bracket(i, q) for i, q in enumerate(qs.values())]).alias("_brackets"))
+    near = attach(rows, brackets, by).select(*by, "_v", F.explode("_brackets").alias("_x")).select(*by, "_v", "_x.*")
+    part = [*by, "_q"]
+    keys = [*part, "_r0", "_r1", "_w"]
     width = F.col("_hi") - F.col("_lo")
     inside = F.least(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width) * BINS), F.lit(BINS - 1))
     # bin -1 counts all values below the bracket
@@ -103,9 +105,9 @@ def exact_quantile(
         return (F.col("_begin") <= F.col(rank)) & (F.col(rank) < F.col("_end"))
 
     bins = running(near.groupBy(*keys, "_bin").agg(F.count("*").alias("_c")), keys, "_bin")
-    bins = bins.where(holds("_r0") | holds("_r1")).select(*by, "_bin", F.col("_begin").alias("_base"))
-    # at most two bins per group
-    values = near.join(bins if by else F.broadcast(bins), [*by, "_bin"])
+    bins = bins.where(holds("_r0") | holds("_r1")).select(*part, "_bin", F.col("_begin").alias("_base"))
+    # at most two bins per group and quantile
+    values = near.join(bins if by else F.broadcast(bins), [*part, "_bin"])
     counted = values.groupBy(*keys, "_bin", "_base", "_v").agg(F.count("*").alias("_c"))
     ranked = running(counted, [*keys, "_bin", "_base"], "_v")
     ranked = ranked.withColumn("_begin", F.col("_begin") + F.col("_base")).withColumn("_end", F.col("_end") + F.col("_base"))
@@ -119,4 +121,12 @@ def exact_quantile(
         F.col("_x0").isNull() | F.col("_x1").isNull(),
         F.raise_error(F.lit("quantile bracket missed its rank; raise accuracy")).cast("double"),
     ).otherwise(F.col("_x0") + (F.col("_x1") - F.col("_x0")) * F.col("_w"))
-    return picked.select(*by, answer.alias(name))
+    each = picked.select(*part, answer.alias("_a"))
+    return each.groupBy(*by).agg(*[F.max(F.when(F.col("_q") == i, F.col("_a"))).alias(n) for i, n in enumerate(names)])
+
+
+def exact_quantile(
+    df: DataFrame, value: str, q: float, by: list[str] | None = None, name: str = "quantile", accuracy: int = 10_000
+) -> DataFrame:
+    """One of :func:`exact_quantiles`."""
+    return exact_quantiles(df, value, {name: q}, by, accuracy)

@@ -22,6 +22,9 @@ RELATIVE_QUESTION = (
 )
 RELATIVE_SQL = r"(?i)current_date|current_timestamp|\bnow\s*\(|\bgetdate\s*\("
 EXEMPT_LITERAL = r"^\d{4}-\d{2}-\d{2}$|^\d+(\.\d+)?$"
+EXTRACTED_STATEMENT = r"(?is)\b((?:WITH|SELECT)\b.*)"
+QUOTED = r"'([^']+)'"
+MEDIUM_TOKENS = (" JOIN ", "GROUP BY")
 NUMERIC_AGGREGATES = (
     "SUM", "AVG", "STDDEV", "VARIANCE", "STDDEV_POP", "STDDEV_SAMP", "VAR_POP", "VAR_SAMP",
 )
@@ -67,18 +70,29 @@ def has_relative_time(question, sql) -> Column:
     return q.rlike(RELATIVE_QUESTION) | s.rlike(RELATIVE_SQL)
 
 
+# literals, quoted names and comments; possessive, so that no length of text is too long
+_LITERAL = r"'[^']*+(?:''[^']*+)*+'"
+_NO_CODE = rf"{_LITERAL}|`[^`]*+`|--[^\n]*+|/\*[^*]*+(?:\*(?!/)[^*]*+)*+\*/"
+_WRITES = (
+    r"\b(?:INSERT\s+(?:INTO|OVERWRITE)|MERGE\s+INTO|DELETE\s+FROM|UPDATE\s+\S+\s+SET|"
+    r"(?:CREATE|DROP|ALTER|TRUNCATE|REPLACE)\s+(?:OR\b|TEMP|GLOBAL|EXTERNAL|TABLE|VIEW|DATABASE|SCHEMA|FUNCTION|CATALOG))\b"
+)
+
+
 def is_readonly(sql) -> Column:
-    """The statement starts with SELECT or WITH once leading comments are gone."""
-    body = F.regexp_replace(
-        F.coalesce(col_of(sql), F.lit("")), r"^\s*(?:--[^\n]*\n\s*|/\*(?s:.*?)\*/\s*)*", ""
-    )
-    return F.upper(strip(body)).rlike("^(SELECT|WITH)")
+    """A query: SELECT or WITH first, and no writing clause anywhere in the code.
+
+    ``WITH ... INSERT`` starts like a query and is a command, so the start alone
+    proves nothing.  Literals and comments are no code.
+    """
+    code = F.upper(strip(F.regexp_replace(F.coalesce(col_of(sql), F.lit("")), _NO_CODE, " ")))
+    return code.rlike("^(SELECT|WITH)") & ~code.rlike(_WRITES)
 
 
 def extract_sql(raw) -> Column:
     """The first statement inside a model reply: no fences, no prose around it."""
     bare = strip(F.regexp_replace(F.coalesce(col_of(raw), F.lit("")), r"```(sql)?", ""))
-    from_keyword = F.regexp_extract(bare, r"(?is)\b((?:WITH|SELECT)\b.*)", 1)
+    from_keyword = F.regexp_extract(bare, EXTRACTED_STATEMENT, 1)
     no_prose = F.split(from_keyword, r"\n\s*\n(?=[A-Z][a-z])", 2)[0]
     return F.when(from_keyword == "", bare).otherwise(strip(F.split(no_prose, ";", 2)[0]))
 
@@ -87,7 +101,7 @@ def structural_difficulty(sql) -> Column:
     """easy, medium or hard, from tokens of the SQL text alone."""
     s = F.concat(F.lit(" "), F.upper(F.coalesce(col_of(sql), F.lit(""))), F.lit(" "))
     hard = reduce(lambda a, b: a | b, [s.contains(t) for t in HARD_TOKENS])
-    medium = s.contains(" JOIN ") | s.contains("GROUP BY") | (s.contains("ORDER BY") & s.contains(" LIMIT "))
+    medium = reduce(lambda a, b: a | b, [s.contains(t) for t in MEDIUM_TOKENS]) | (s.contains("ORDER BY") & s.contains(" LIMIT "))
     return F.when(hard, "hard").when(medium, "medium").otherwise("easy")
 
 
@@ -98,7 +112,7 @@ def has_reply_hard_token(sql) -> Column:
 
 def mask_literals(sql) -> Column:
     """String literals become ``'?'`` so that later patterns see code only."""
-    return F.regexp_replace(F.coalesce(col_of(sql), F.lit("")), r"'(?:[^']|'')*'", "'?'")
+    return F.regexp_replace(F.coalesce(col_of(sql), F.lit("")), _LITERAL, "'?'")
 
 
 def sql_skeleton(sql) -> Column:
@@ -115,25 +129,45 @@ def sql_identifiers(sql) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(r"([a-z_][a-z0-9_]*)"), F.lit(1)))
 
 
-# An aggregate argument may itself hold calls and brackets, to four levels.
-_ARG = r"[^()]*"
-for _ in range(4):
-    _ARG = rf"(?:[^()]|\({_ARG}\))*"
-_AGG_ARG = rf"\b(?:{'|'.join(NUMERIC_AGGREGATES)})\s*\(({_ARG})\)"
+_PIECES = rf"(\b(?:{'|'.join(NUMERIC_AGGREGATES)})\s*+\(|[()]|\b[A-Z_][A-Z0-9_]*+)"
 
 
 def numeric_aggregate_identifiers(sql) -> Column:
-    """Distinct lower-case words inside the arguments of numeric aggregates."""
-    bare = F.regexp_replace(mask_literals(sql), r"'\?'", " ")
-    args = F.regexp_extract_all(F.upper(bare), F.lit(_AGG_ARG), F.lit(1))
-    return F.array_distinct(
-        F.regexp_extract_all(F.lower(F.array_join(args, " ")), F.lit(r"([a-z_][a-z0-9_]*)"), F.lit(1))
-    )
+    """Distinct lower-case words inside the arguments of numeric aggregates, nested as deep as they may be.
+
+    One pass over brackets and words: words count from the outermost aggregate's
+    bracket to the one that closes it; an argument that is never closed is none.
+    """
+    bare = F.upper(F.regexp_replace(mask_literals(sql), r"'\?'", " "))
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("since"), none.alias("inside"), none.alias("found"))
+
+    def state(a, **new) -> Column:
+        return F.struct(*[(new[f] if f in new else a[f]).alias(f) for f in ("depth", "since", "inside", "found")])
+
+    def add(words: Column, word: Column) -> Column:
+        return F.when(F.array_contains(words, word), words).otherwise(F.array_append(words, word))
+
+    def step(a: Column, t: Column) -> Column:
+        deeper, word = a["depth"] + 1, F.regexp_replace(t, r"\s*+\($", "")
+        closes = (a["since"] > 0) & (a["since"] == a["depth"])
+        return (
+            F.when(t == "(", state(a, depth=deeper))
+            .when((t == ")") & closes, state(a, depth=a["depth"] - 1, since=F.lit(0), inside=none, found=F.array_union(a["found"], a["inside"])))
+            .when(t == ")", state(a, depth=F.greatest(a["depth"] - 1, F.lit(0))))
+            .when(t.endswith("(") & (a["since"] == 0), state(a, depth=deeper, since=deeper))
+            .when(t.endswith("("), state(a, depth=deeper, inside=add(a["inside"], word)))
+            .when(a["since"] > 0, state(a, inside=add(a["inside"], t)))
+            .otherwise(a)
+        )
+
+    pieces = F.regexp_extract_all(bare, F.lit(_PIECES), F.lit(1))
+    return F.transform(F.aggregate(pieces, start, step, lambda a: a["found"]), F.lower)
 
 
 def quoted_literals(c) -> Column:
     """Distinct non-empty texts between single quotes."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(col_of(c), F.lit("")), F.lit(r"'([^']+)'"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(col_of(c), F.lit("")), F.lit(QUOTED), F.lit(1)))
 
 
 def sample_literals(c) -> Column:

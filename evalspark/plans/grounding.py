@@ -46,23 +46,31 @@ def _items(spark, d) -> DataFrame:
 # --- sources and sinks -------------------------------------------------------
 
 
-@query("s1_space_read", """SELECT o_orderkey AS question_id, concat('How was order ', o_orderkey, '?') AS question, o_orderpriority AS space_id, 'v1' AS version
-    FROM orders WHERE o_orderpriority = '1-URGENT'""")
+# space ids that look like numbers, and one of each other kind
+_IDS = "CASE o_orderpriority WHEN '1-URGENT' THEN '007' WHEN '2-HIGH' THEN '7' WHEN '3-MEDIUM' THEN '12e5' WHEN '4-NOT SPECIFIED' THEN '4/a b' ELSE o_orderpriority END"
+
+
+def _odd_spaces(spark, d) -> DataFrame:
+    return _items(spark, d).withColumn("space_id", F.expr(_IDS.replace("o_orderpriority", "space_id")))
+
+
+@query("s1_space_read", """SELECT o_orderkey AS question_id, concat('How was order ', o_orderkey, '?') AS question, '7' AS space_id, 'v1' AS version
+    FROM orders WHERE o_orderpriority = '2-HIGH'""")
 def space_read(spark, d):
     path = scratch_path(spark, "items")
-    sp.replace_space(_items(spark, d), path)
-    return sp.read_space(spark, path, "1-URGENT").select("question_id", "question", "space_id", "version")
+    sp.replace_space(_odd_spaces(spark, d), path)
+    return sp.read_space(spark, path, "7").select("question_id", "question", "space_id", "version")
 
 
-@query("s2_space_replace", """SELECT o_orderkey AS question_id, o_orderpriority AS space_id, CASE WHEN o_orderpriority IN ('2-HIGH', '5-LOW') THEN 'v2' ELSE 'v1' END AS version
-    FROM orders WHERE o_orderpriority NOT IN ('2-HIGH', '5-LOW') OR o_orderstatus <> 'P'""")
+@query("s2_space_replace", f"""SELECT o_orderkey AS question_id, {_IDS} AS space_id, CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN 'v2' ELSE 'v1' END AS version
+    FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED' AND (o_orderpriority NOT IN ('1-URGENT', '5-LOW') OR o_orderstatus <> 'P')""")
 def space_replace(spark, d):
     path = scratch_path(spark, "items")
-    sp.replace_space(_items(spark, d), path)
+    sp.replace_space(_odd_spaces(spark, d), path)
     live = table(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("question_id"))
-    newer = _items(spark, d).where(F.col("space_id").isin("2-HIGH", "5-LOW")).join(live, "question_id", "left_semi")
-    sp.replace_space(newer.withColumn("version", F.lit("v2")), path)
-    return spark.read.parquet(path).select("question_id", "space_id", "version")
+    newer = _odd_spaces(spark, d).where(F.col("space_id").isin("007", "5-LOW")).join(live, "question_id", "left_semi")
+    sp.replace_space(newer.withColumn("version", F.lit("v2")), path, ("007", "5-LOW", "4/a b"))
+    return sp.read_items(spark, path).select("question_id", "space_id", "version")
 
 
 @query("s3_question_log", """SELECT question_id, question, space_id, TRUE AS logged, COUNT(*) AS n FROM (

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import is_blank, strip
 
 # --- fixed values -----------------------------------------------------------
 PREVIEW_MAX = 2000
 PREVIEW_COLUMNS = ("question", "expected_sql", "category", "difficulty", "sql_executes", "n_result_rows")
+_ESCAPED = "\"#%'*/:=?\\\x7f{[]^"
 RUNS_INDEX_SCHEMA = (
     "run_id bigint, run_name string, space_id string, experiment_path string, "
     "submitted_at timestamp, submitted_by string, params_json string"
@@ -16,29 +17,36 @@ RUNS_INDEX_SCHEMA = (
 # ----------------------------------------------------------------------------
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.format("binaryFile").load(path).limit(0).collect()
-        return True
-    except AnalysisException:
-        return False
+def read_items(spark: SparkSession, path: str, merge_schema: bool = False) -> DataFrame:
+    """All spaces; ids are text as they were written (``007`` is not ``7``), whatever the folder names look like."""
+    found = spark.read.option("mergeSchema", merge_schema).parquet(path).schema
+    kinds = [T.StructField(f.name, T.StringType() if f.name == "space_id" else f.dataType) for f in found]
+    return spark.read.schema(T.StructType(kinds)).parquet(path)
 
 
 def read_space(spark: SparkSession, path: str, space_id, merge_schema: bool = False) -> DataFrame:
     """Only this space's rows; the filter prunes all other partitions."""
-    return spark.read.option("mergeSchema", merge_schema).parquet(path).where(F.col("space_id") == F.lit(space_id))
+    return read_items(spark, path, merge_schema).where(F.col("space_id") == F.lit(str(space_id)))
+
+
+def _folder(space_id: str) -> str:
+    """The partition folder of a space, named as Spark names it."""
+    return "space_id=" + "".join(f"%{ord(c):02X}" if ord(c) < 32 or c in _ESCAPED else c for c in space_id)
 
 
-def replace_space(df: DataFrame, path: str) -> None:
+def replace_space(df: DataFrame, path: str, spaces: tuple[str, ...] = ()) -> None:
     """Replaces the partitions of the spaces in ``df`` and leaves all others alone.
 
     Dynamic partition overwrite commits whole partitions, so repeating a failed
     write is safe and never touches another space.  The rebalance hint gathers
-    each space into few files and splits a space too large for one task.
+    each space into few files and splits a space too large for one task.  A
+    space named in ``spaces`` of which ``df`` has no row is emptied.
     """
     df.hint("rebalance", F.col("space_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("space_id").parquet(path)
+    for space in spaces:
+        own = df.where(F.col("space_id") == F.lit(space))
+        if own.isEmpty():
+            own.drop("space_id").write.mode("overwrite").parquet(f"{path}/{_folder(space)}")
 
 
 def append_question_log(items: DataFrame, path: str) -> None:

@@ -79,3 +79,32 @@ def test_invented_literals(spark):
         [(0, "SELECT 1 WHERE a = 'x' AND b = 'y' AND c = '2024-01-01' AND d = '12.5'", "- a: ['x']\n- b: [\"z\"]"), (1, "w = 'q'", "")], "i int, s string, p string")
     got = [r["k"] for r in df.orderBy("i").select(tx.invented_literals("s", tx.sample_literals("p")).alias("k")).collect()]
     assert got == [["y"], ["q"]]
+
+
+def test_long_texts_and_deep_nesting(spark):
+    long = "x" * 100_000
+    rows = [
+        (f"SELECT '{long}', SUM(a) FROM t", None, ["a"]),
+        ("SELECT SUM(" + "a + " * 25_000 + "b) FROM t", None, ["a", "b"]),
+        ("SELECT SUM(" + "f(" * 50 + "c_name" + ")" * 51, None, ["f", "c_name"]),
+        ("SELECT '" + "''" * 50_000 + "' FROM t", None, []),
+        ("SELECT AVG(a + SUM(b)), c, STDDEV (d) FROM t", None, ["a", "sum", "b", "d"]),
+        ("SELECT SUM(open FROM t", None, []),
+    ]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, s string")
+    got = {r["i"]: r for r in df.select("i", tx.mask_literals("s").alias("m"), tx.numeric_aggregate_identifiers("s").alias("x"), F.length(tx.sql_skeleton("s")).alias("n")).collect()}
+    assert got[0]["m"] == "SELECT '?', SUM(a) FROM t" and got[3]["m"] == "SELECT '?' FROM t"
+    assert [got[i]["x"] for i in range(len(rows))] == [r[2] for r in rows]
+
+
+def test_writes_in_disguise_are_refused(spark):
+    rows = [
+        ("WITH t AS (SELECT 1 AS a) INSERT INTO x SELECT * FROM t", False),
+        ("WITH t AS (SELECT 1 AS a) /* c */ MERGE INTO x USING t ON a = b WHEN MATCHED THEN DELETE", False),
+        ("SELECT 'INSERT INTO x' AS s FROM t -- DROP TABLE t", True),
+        ("SELECT last_update, `delete from` FROM t", True),
+        ("/*" + "*" * 50_000 + "*/ SELECT 1", True),
+        ("CREATE TABLE x AS SELECT 1", False),
+    ]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, s string")
+    assert [r["ok"] for r in df.select("i", tx.is_readonly("s").alias("ok")).orderBy("i").collect()] == [r[1] for r in rows]
