@@ -19,21 +19,24 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from zstandard import ZstdCompressor, ZstdDecompressor
 
 from evalspark.llm.frames import bare, map_rows
-from evalspark.llm.tokens import load, share, words_of
+from evalspark.llm.tokens import Words, encode_words, load, share, unit
 
 #: Frequent words that are broadcast, and their longest length in bytes.
-HEAD, HEAD_BYTES = 1 << 18, 48
+HEAD, HEAD_BYTES = 1 << 17, 48
 #: One of so many documents is counted to choose them.
 SHARE = 16
 #: Distinct words a task holds before it hands them on.
-HELD = 300_000
+HELD = 200_000
+#: Documents whose ids travel in one row.
+SLICE = 64
 #: Buckets of the word table at most.
 BUCKETS = 8192
 
@@ -43,45 +46,39 @@ def head_words(docs: DataFrame) -> list[bytes]:
 
     def count(x):
         c = Counter(w for t in x["text"] for w in t.encode("utf-8", "replace").split() if len(w) <= HEAD_BYTES)
-        return {"word": list(c), "n": list(c.values())}
+        often = [w for w, n in c.items() if n > 1]
+        return {"word": often, "n": [c[w] for w in often]}
 
     part = bare(docs).filter(F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == 0)
     counts = map_rows(part, count, "word binary, n long", 4096).groupBy("word").agg(F.sum("n").alias("n"))
     return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()]
 
 
-@lru_cache(2)
-def _codes(text: str, head: tuple[bytes, ...]) -> dict[bytes, bytes]:
-    """Head words as the bytes of their ids."""
-    tok = load(text)
-    got = tok.encode_batch_fast([w.decode() for w in head], add_special_tokens=False)
-    return {w: np.array(e.ids, _unit(tok)).tobytes() for w, e in zip(head, got)}
+def pack(data: bytes) -> bytes:
+    return ZstdCompressor(level=1).compress(data)
 
 
-def _unit(tok) -> str:
-    """The narrowest integer that holds all ids and one mark."""
-    return "<u2" if tok.get_vocab_size() < 0xFFFF else "<u4"
+def unpack(data: bytes) -> bytes:
+    return ZstdDecompressor().decompress(data)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
     return bare(docs).withColumn("block", F.spark_partition_id())
 
 
-def _rare(docs: DataFrame, file, head, buckets: int) -> DataFrame:
+def _rare(docs: DataFrame, head, buckets: int) -> DataFrame:
     """(block, bucket, words joined by blanks): the words of each block that are not in the head."""
-    from zlib import crc32
-
     schema = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("words", pa.binary())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, block, held = _codes(file.value, head.value), None, set()
+        known, block, held = head.value, None, set()
 
         def out():
             at = {}
             for w in held:
                 at.setdefault(crc32(w) % buckets, []).append(w)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([block] * len(at), pa.int32()), pa.array(list(at), pa.int32()), pa.array([b" ".join(x) for x in at.values()], pa.binary())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([block] * len(at), pa.int32()), pa.array(list(at), pa.int32()), pa.array([pack(b" ".join(sorted(x))) for x in at.values()], pa.binary())], schema=schema)
 
         for batch in batches:
             if batch.num_rows:
@@ -97,85 +94,79 @@ def _rare(docs: DataFrame, file, head, buckets: int) -> DataFrame:
 
 
 def _table(rare: DataFrame, file) -> DataFrame:
-    """Each bucket's words encoded once: (block, words, number of ids of each word, ids)."""
+    """Each bucket's words encoded once: (block, words, bytes of each word's ids, ids)."""
+
+    held: list[Words] = []  # of one task
 
     def rows(x):
-        table, lengths, ids = words_of(file.value), [], []
+        if not held:
+            held.append(Words(file.value))
+        table, lengths, ids = held[0], [], []
         for packed in x["words"]:
-            words = packed.split(b" ")
+            words = unpack(packed).split(b" ")
             memo = table.learn(words)
             got = [memo[w] for w in words]
-            lengths.append(np.array([len(g) for g in got], "<u4").tobytes())
-            ids.append(np.array([i for g in got for i in g], _unit(table.tok)).tobytes())
+            lengths.append(pack(np.array([len(g) for g in got], "<u4").tobytes()))
+            ids.append(pack(b"".join(got)))
         return {"block": x["block"], "words": x["words"], "lengths": lengths, "ids": ids}
 
     placed = rare.repartition("bucket").sortWithinPartitions("bucket")
-    return map_rows(placed, rows, "block int, words binary, lengths binary, ids binary", 64)
+    return map_rows(placed, rows, "block int, words binary, lengths binary, ids binary", 8)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit integers behind each other) of every row."""
     spark = docs.sparkSession
     file = share(spark, path)
-    head = spark.sparkContext.broadcast(tuple(head_words(docs)))
+    tok = load(file.value)
+    head = spark.sparkContext.broadcast(dict(encode_words(tok, head_words(docs))))
     buckets = max(1, min(BUCKETS, docs.rdd.getNumPartitions()))
-    unit = _unit(load(file.value))
-    gap = int(np.iinfo(unit).max)
-    hole = np.array([gap], unit).tobytes()
+    kind_of_id = unit(tok)
+    gap = int(np.iinfo(kind_of_id).max)
+    hole = np.array([gap], kind_of_id).tobytes()
 
     def holes(x):
-        """Head ids with a hole for each other word, and those words."""
-        known, codes, rare = _codes(file.value, head.value), [], []
+        """Head ids with a hole for each other word, and those words; one row for the documents of a slice."""
+        known, codes, rare = head.value, [], []
         for text in x["text"]:
             words = text.encode("utf-8", "replace").split()
             codes.append(b"".join([known.get(w, hole) for w in words]))
-            rare.append(b" ".join([w for w in words if w not in known]))
-        return {"block": x["block"], "doc_id": x["doc_id"], "words": rare, "lengths": [None] * len(codes), "ids": codes}
+            rare += [w for w in words if w not in known]
+        lengths = np.array([len(c) for c in codes], "<u4").tobytes()
+        return {"block": x["block"][:1], "doc_ids": [x["doc_id"]], "words": [pack(b" ".join(rare))], "lengths": [pack(lengths)], "ids": [pack(b"".join(codes))]}
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, table = None, {}
-        for batch in batches:
-            out_id, out_ids = [], []
-            for b, doc, is_doc, words, lengths, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                if b != block:
-                    block, table = b, {}
-                if not is_doc:
-                    ends = np.cumsum(np.frombuffer(lengths, "<u4"))
-                    got = np.frombuffer(ids, unit).astype("<u4").tobytes()
-                    at = 0
-                    for w, e in zip(words.split(b" "), (ends * 4).tolist()):
-                        table[w] = got[at:e]
-                        at = e
-                    continue
-                code = np.frombuffer(ids, unit)
-                gaps = np.flatnonzero(code == gap)
-                code = code.astype("<u4")
-                if len(gaps):
-                    own = [table[w] for w in words.split(b" ")]
-                    n = np.ones(len(code), np.int64)
-                    n[gaps] = [len(o) // 4 for o in own]
-                    full = np.repeat(code, n)
-                    full[np.repeat(code == gap, n)] = np.frombuffer(b"".join(own), "<u4")
-                    code = full
-                out_id.append(doc)
-                out_ids.append(code.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out_id, id_type), pa.array(out_ids, pa.binary())], names=["doc_id", "ids"])
+        for batch in (b.slice(at, 1) for b in batches for at in range(b.num_rows)):
+            b, docs_of, is_docs, words, lengths, ids = (c[0].as_py() for c in batch.columns)
+            if b != block:
+                block, table = b, {}
+            words, lengths, ids = unpack(words).split(b" "), np.frombuffer(unpack(lengths), "<u4"), unpack(ids)
+            ends = np.cumsum(lengths, dtype=np.int64)
+            if not is_docs:
+                table.update(zip(words, (ids[e - n : e] for n, e in zip(lengths.tolist(), ends.tolist()))))
+                continue
+            code = np.frombuffer(ids, kind_of_id)
+            holes, n = code == gap, np.ones(len(code), np.int64)
+            if holes.any():
+                own = [table[w] for w in words]
+                n[holes] = [len(o) // code.itemsize for o in own]
+                code = np.repeat(code, n)
+                code[np.repeat(holes, n)] = np.frombuffer(b"".join(own), kind_of_id)
+            at = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], ends // code.itemsize])]
+            code = code.astype("<u4")
+            out = [code[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(docs_of, id_type), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
-    own = map_rows(_numbered(docs), holes, f"block int, doc_id {kind.simpleString()}, words binary, lengths binary, ids binary")
-    own = own.withColumn("is_doc", F.lit(True))
-    table = _table(_rare(docs, file, head, buckets), file).withColumns({"is_doc": F.lit(False), "doc_id": F.lit(None).cast(kind)})
-    rows = own.unionByName(table).select("block", "doc_id", "is_doc", "words", "lengths", "ids")
-    return rows.repartition("block").sortWithinPartitions("block", "is_doc").mapInArrow(fill, f"doc_id {kind.simpleString()}, ids binary")
-
-
-@lru_cache(2)
-def _pieces(text: str) -> list[str]:
-    tok = load(text)
-    return [tok.id_to_token(i) for i in range(tok.get_vocab_size())]
+    own = map_rows(_numbered(docs), holes, f"block int, doc_ids array<{kind.simpleString()}>, words binary, lengths binary, ids binary", SLICE)
+    own = own.withColumn("is_docs", F.lit(True))
+    table = _table(_rare(docs, head, buckets), file).withColumns({"is_docs": F.lit(False), "doc_ids": F.lit(None).cast(f"array<{kind.simpleString()}>")})
+    rows = own.unionByName(table).select("block", "doc_ids", "is_docs", "words", "lengths", "ids")
+    return rows.repartition("block").sortWithinPartitions("block", "is_docs").mapInArrow(fill, f"doc_id {kind.simpleString()}, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -183,13 +174,15 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     That is the rule of tokenizers whose file names no decoder; others are refused.
     """
-    file = share(encoded.sparkSession, path)
-    if load(file.value).decoder is not None:
+    with open(path, encoding="utf-8") as f:
+        tok = load(f.read())
+    if tok.decoder is not None:
         raise ValueError("the id-to-piece join decodes tokenizers without a decoder of their own")
+    pieces = encoded.sparkSession.sparkContext.broadcast([tok.id_to_token(i) for i in range(tok.get_vocab_size())])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "decoded")
 
     def rows(x):
-        piece = _pieces(file.value)
+        piece = pieces.value
         return x | {"decoded": [" ".join([piece[i] for i in np.frombuffer(b, "<u4").tolist()]) for b in x["ids"]]}
 
     return map_rows(encoded, rows, f"{schema}, decoded string")

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from evalspark.llm.frames import bare, map_rows, materialize
-from evalspark.llm.tokens import BLANKS, load, share, words_of
+from evalspark.llm.tokens import BLANKS, load, share, unit, words_of
 
 CHUNK = 32_768
 OVERLAP = 512
@@ -94,11 +94,12 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, chunk: int = CHU
     kind = dict(docs.dtypes)["doc_id"]
 
     def count(x):
-        words = [t.encode("utf-8", "replace").split() for t in x["text"]]
-        n = [0] * len(words)
-        for i, w in enumerate(words):
-            memo = words_of(file.value).learn(w)
-            n[i] = sum([len(memo[y]) for y in w])
+        table, n = words_of(file.value), []
+        size = np.dtype(unit(table.tok)).itemsize
+        for t in x["text"]:
+            w = t.encode("utf-8", "replace").split()
+            memo = table.learn(w)
+            n.append(sum([len(memo[y]) for y in w]) // size)
         return {"doc_id": x["doc_id"], "n_bytes": x["n_bytes"], "n_tokens": n}
 
     out = map_rows(sized.filter(F.length("text") <= chunk), count, f"doc_id {kind}, n_bytes long, n_tokens long", 4096)

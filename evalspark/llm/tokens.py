@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import SparkSession
 
-#: Words that a worker remembers before it starts afresh.
-MEMO = 400_000
+#: Words that a worker remembers before it starts afresh, and how many it encodes at a time.
+MEMO, BATCH = 200_000, 10_000
 #: What every tokenizer of these drops and never crosses, in any place of a text: ASCII white space.
 BLANKS = " \t\n\r\x0b\x0c"
 
@@ -30,21 +31,34 @@ def load(text: str):
     return tok
 
 
+def unit(tok) -> str:
+    """The narrowest integer that holds all ids and one mark."""
+    return "<u2" if tok.get_vocab_size() < 0xFFFF else "<u4"
+
+
+def encode_words(tok, words: list[bytes]):
+    """(word, its ids as bytes) one after the other; the library's larger answers are held for ``BATCH`` words only."""
+    kind = unit(tok)
+    for at in range(0, len(words), BATCH):
+        part = words[at : at + BATCH]
+        for w, e in zip(part, tok.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
+            yield w, np.array(e.ids, kind).tobytes()
+
+
 class Words:
-    """Ids of words, each encoded once as long as it is remembered."""
+    """Ids of words (as bytes), each encoded once as long as it is remembered."""
 
     def __init__(self, text: str):
         self.tok, self.memo = load(text), {}
 
-    def learn(self, words: list[bytes]) -> dict[bytes, list[int]]:
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """The memo, holding all of ``words``."""
         new = [w for w in set(words) if w not in self.memo]
         if new:
             if len(self.memo) > MEMO:
                 self.memo.clear()
                 new = list(set(words))
-            got = self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            self.memo.update(zip(new, (e.ids for e in got)))
+            self.memo.update(encode_words(self.tok, new))
         return self.memo
 
 
