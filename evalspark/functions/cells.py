@@ -41,13 +41,15 @@ def _plain_number(s: Column) -> Column:
 
 def _expand_exponent(s: Column) -> Column:
     """``1.5E2`` to ``150`` by moving the point; no binary arithmetic, so no digit is lost."""
-    whole = F.regexp_extract(s, r"^[+-]?([0-9]*)", 1)
-    frac = F.regexp_extract(s, r"\.([0-9]+)", 1)
+    lower = F.translate(s, "E", "e")
+    mantissa = F.ltrim(F.substring_index(lower, "e", 1), F.lit("+-"))
+    whole = F.substring_index(mantissa, ".", 1)
+    frac = F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise("")
     parts = F.struct(
         F.when(s.startswith("-"), "-").otherwise("").alias("sign"),
         F.concat(whole, frac).alias("digits"),
         F.length(whole).alias("point"),
-        F.regexp_replace(F.regexp_extract(s, r"[eE]([+-]?[0-9]+)$", 1), r"^\+", "").try_cast("int").alias("shift"),
+        F.ltrim(F.substring_index(lower, "e", -1), F.lit("+")).try_cast("int").alias("shift"),
     )
 
     def move(p: Column) -> Column:
@@ -58,7 +60,7 @@ def _expand_exponent(s: Column) -> Column:
             F.repeat(F.lit("0"), F.greatest(point - F.length(p["digits"]), F.lit(0))),
         )
         cut = F.greatest(point, F.lit(0))
-        left = F.regexp_replace(F.substr(padded, F.lit(1), cut), r"^0+(?=[0-9])", "")
+        left = F.ltrim(F.substr(padded, F.lit(1), cut), F.lit("0"))
         right = F.substr(padded, cut + 1)
         left = F.when(left == "", "0").otherwise(left)
         joined = F.when(right == "", F.concat(p["sign"], left)).otherwise(F.concat(p["sign"], left, F.lit("."), right))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.cells import canon_rows
 from ..functions.text import col_of
 from .match import rows_match
 
@@ -45,9 +46,11 @@ def derive_votes(items: DataFrame, solutions: DataFrame, on: list[str], expected
     ``items`` holds one row per key, ``solutions`` up to five, so the join
     cannot multiply; a hot key is split by the adaptive skew join.
     """
-    joined = solutions.join(items.select(*on, expected), on)
+    # canonical once per item, not once per vote
+    own = items.select(*on, canon_rows(expected).alias("_expected"))
+    joined = solutions.join(own, on)
     return (
-        rows_match(joined, expected, rows, "_match")
+        rows_match(joined, "_expected", rows, "_match", canonical=True)
         .withColumn("verdict", F.when(F.col(rows).isNotNull(), F.col("_match")))
         .select(*solutions.columns, "verdict")
     )

@@ -139,21 +139,82 @@ def _ragged(rows: Column, width: Column) -> Column:
     return F.exists(rows, lambda r: F.size(r) != width)
 
 
-def _words(rows: Column) -> Column:
-    """Sorted cells without any digit.  No tolerance applies to them, so they must agree as bags."""
-    return F.sort_array(F.filter(F.flatten(rows), lambda c: ~c.rlike(r"(?U)\d")))
+_DIGIT = r"(?U)\d"
+_DECIMAL = r"^-?[0-9]+(?:\.[0-9]+)?$"
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """Decides the pairs (_e, _g: canonical, same size, same width) with ``_open`` true, as far as exact tests go.
+
+    Adds ``_exact`` (TRUE or FALSE where decided, NULL where Python must look)
+    and nothing else.  Columns are put in the order of their bags of cells;
+    where all bags differ that order is the only permutation under which the
+    rows can be equal.  Where the bags differ between the sides no permutation
+    makes them equal, and without a fraction no tolerance helps.  With one,
+    the cells without a digit must still agree as bags, and the numbers, each
+    side sorted, must agree one by one: closeness bounds grow with the value,
+    so if any pairing is close the sorted one is.
+    """
+
+    def bags(rows: str) -> Column:
+        width = F.size(F.get(rows, F.lit(0)))
+        column = lambda c: F.sort_array(F.transform(rows, lambda r: F.get(r, c)))
+        return F.array_sort(F.transform(F.sequence(F.lit(0), width - 1), lambda c: F.struct(column(c).alias("bag"), c.alias("at"))))
+
+    def ordered(rows: str, by: str) -> Column:
+        return F.sort_array(F.transform(rows, lambda r: F.transform(by, lambda x: F.get(r, x["at"]))))
+
+    def numbers(cells: str) -> Column:
+        return F.sort_array(F.transform(F.filter(cells, lambda c: c.rlike(_DIGIT)), lambda c: c.try_cast("double")))
+
+    def words(cells: str) -> Column:
+        return F.sort_array(F.filter(cells, lambda c: ~c.rlike(_DIGIT)))
+
+    usable = F.col("_open") & (F.size(F.get("_e", F.lit(0))) > 0)
+    df = df.withColumns({"_be": F.when(usable, bags("_e")), "_bg": F.when(usable, bags("_g"))})
+    same = F.transform("_be", lambda x: x["bag"]) == F.transform("_bg", lambda x: x["bag"])
+    alone = F.size(F.array_distinct(F.transform("_be", lambda x: x["bag"]))) == F.size("_be")
+    # 2: equal rows; 1: no permutation makes them equal; 0: equal columns, to be told apart by search
+    df = df.withColumn("_same", same).withColumn(
+        "_rank",
+        F.when(~F.col("_same"), 1).when(~alone, 0).when(ordered("_e", "_be") == ordered("_g", "_bg"), 2).when(F.col("_same"), 1),
+    )
+    df = df.withColumns({"_fe": F.when(F.col("_rank") == 1, F.flatten("_e")), "_fg": F.when(F.col("_rank") == 1, F.flatten("_g"))})
+    dotted = F.exists("_fe", lambda c: c.contains(".")) | F.exists("_fg", lambda c: c.contains("."))
+    df = df.withColumn("_dotted", dotted)
+    look = F.col("_dotted")
+    df = df.withColumns({f"_{k}{s}": F.when(look, f(f"_f{s}")) for s in "eg" for k, f in (("w", words), ("n", numbers))})
+    # a cell with digits that is no plain number can have any form: Python decides
+    plain = F.forall("_fe", lambda c: ~c.rlike(_DIGIT) | c.rlike(_DECIMAL)) & F.forall("_fg", lambda c: ~c.rlike(_DIGIT) | c.rlike(_DECIMAL))
+    near = F.forall(
+        F.arrays_zip(F.col("_ne").alias("a"), F.col("_ng").alias("b")),
+        lambda p: F.coalesce(F.abs(p["a"] - p["b"]) <= 1.01 * _REL_F * F.greatest(F.abs(p["a"]), F.abs(p["b"])) + 2 * _ABS_F, F.lit(False)),
+    )
+    exact = (
+        F.when(F.col("_rank") == 2, True)
+        .when(F.col("_rank") == 0, None)
+        .when(~F.col("_dotted"), False)
+        .when(F.col("_we") != F.col("_wg"), False)
+        .when(plain & ~near, False)
+    )
+    extra = ["_be", "_bg", "_same", "_rank", "_fe", "_fg", "_dotted", "_we", "_wg", "_ne", "_ng"]
+    return df.withColumn("_exact", exact).drop(*extra)
+
+
+def _searched(df: DataFrame) -> DataFrame:
+    """``_found``: the verdict of the open pairs; only those that exact tests leave open hand their cells to Python."""
+    df = _settled(df).withColumn("_ask", F.col("_open") & F.col("_exact").isNull())
+    df = df.withColumn("_asked", _match_permutation(F.when(F.col("_ask"), F.col("_e")), F.when(F.col("_ask"), F.col("_g"))))
+    return df.withColumn("_found", F.coalesce("_exact", "_asked")).drop("_exact", "_ask", "_asked")
 
 
 def match_permutation(pairs: DataFrame, expected: str, actual: str, verdict: str = "verdict") -> DataFrame:
     """Do the row sets match under one column permutation?  False where length or width differ."""
     staged = pairs.withColumn("_e", canon_rows(expected)).withColumn("_g", canon_rows(actual))
     width = F.size(F.get("_e", F.lit(0)))
-    square = (
-        (F.size("_e") == F.size("_g")) & (F.size("_e") > 0) & ~_ragged(F.col("_e"), width) & ~_ragged(F.col("_g"), width)
-        & (_words(F.col("_e")) == _words(F.col("_g")))
-    )
-    found = _match_permutation(F.when(square, F.col("_e")), F.when(square, F.col("_g")))
-    return staged.withColumn(verdict, F.coalesce(found, F.lit(False))).drop("_e", "_g")
+    square = (F.size("_e") == F.size("_g")) & (F.size("_e") > 0) & ~_ragged(F.col("_e"), width) & ~_ragged(F.col("_g"), width)
+    staged = staged.withColumn("_open", F.coalesce(square, F.lit(False)))
+    return _searched(staged).withColumn(verdict, F.coalesce("_found", F.lit(False))).drop("_e", "_g", "_open", "_found")
 
 
 def rows_match(
@@ -163,12 +224,14 @@ def rows_match(
     verdict: str = "verdict",
     cap: int = ROW_CAP,
     max_width: int = MAX_WIDTH,
+    canonical: bool = False,
 ) -> DataFrame:
     """Adds the three-valued verdict of comparing two captured row sets.
 
     NULL means not evaluable.  The tests run in a fixed order and decide almost
-    every pair inside the JVM; only same-size pairs whose rows differ in column
-    order or rounding hand their cells to Python, the others pass NULLs.
+    every pair inside the JVM; only same-size pairs that differ in rounding, or
+    whose columns cannot be told apart, hand their cells to Python.  With
+    ``canonical`` the expected rows are in canonical form already.
     """
     e, g = F.col(expected), F.col(actual)
     sized = (
@@ -181,7 +244,7 @@ def rows_match(
             .when(F.size(e) == 0, "null"),
         )
         # cells are put in canonical form only where the sizes left the verdict open
-        .withColumn("_e", F.when(F.col("_state").isNull(), canon_rows(e)))
+        .withColumn("_e", F.when(F.col("_state").isNull(), e if canonical else canon_rows(e)))
         .withColumn("_g", F.when(F.col("_state").isNull(), canon_rows(g)))
     )
     width = F.size(F.get("_e", F.lit(0)))
@@ -191,17 +254,13 @@ def rows_match(
         .when(bag_equal("_e", "_g"), "true")
         .when(_ragged(F.col("_e"), width) | _ragged(F.col("_g"), width), "false")
         .when(width > max_width, "null")
-        .when(_words(F.col("_e")) != _words(F.col("_g")), "false")
         .otherwise("open"),
     )
-    open_ = F.col("_state") == "open"
-    searched = staged.withColumn(
-        "_found", _match_permutation(F.when(open_, F.col("_e")), F.when(open_, F.col("_g")))
-    )
+    searched = _searched(staged.withColumn("_open", F.col("_state") == "open"))
     return searched.withColumn(
         verdict,
-        F.when(open_, F.col("_found")).when(F.col("_state") == "true", True).when(F.col("_state") == "false", False),
-    ).drop("_state", "_e", "_g", "_found")
+        F.when(F.col("_open"), F.col("_found")).when(F.col("_state") == "true", True).when(F.col("_state") == "false", False),
+    ).drop("_state", "_e", "_g", "_found", "_open")
 
 
 def rows_match_json(pairs: DataFrame, expected: str, actual: str, verdict: str = "verdict", **kw) -> DataFrame:
