@@ -177,7 +177,7 @@ def _settled(df: DataFrame) -> DataFrame:
     # 2: equal rows; 1: no permutation makes them equal; 0: equal columns, to be told apart by search
     df = df.withColumn("_same", same).withColumn(
         "_rank",
-        F.when(~F.col("_same"), 1).when(~alone, 0).when(ordered("_e", "_be") == ordered("_g", "_bg"), 2).when(F.col("_same"), 1),
+        F.when(~usable, None).when(~F.col("_same"), 1).when(~alone, 0).when(ordered("_e", "_be") == ordered("_g", "_bg"), 2).when(F.col("_same"), 1),
     )
     df = df.withColumns({"_fe": F.when(F.col("_rank") == 1, F.flatten("_e")), "_fg": F.when(F.col("_rank") == 1, F.flatten("_g"))})
     dotted = F.exists("_fe", lambda c: c.contains(".")) | F.exists("_fg", lambda c: c.contains("."))

@@ -356,14 +356,14 @@ def column_coverage(spark, d):
 def _space_rows(spark, d) -> DataFrame:
     c = table(spark, d, "conversations")
     return c.groupBy(F.col("conv_id").alias("space_id")).agg(
-        F.count("*").alias("n_tables"), F.max(F.when(F.col("role") == "system", F.substring("text", 1, 80))).alias("instructions")
+        F.count("*").alias("n_tables"), F.max(F.when(F.col("role") == "system", F.col("text"))).alias("instructions")
     ).withColumn("title", F.concat(F.lit("Space "), "space_id")).withColumn("description", F.lit(None).cast("string"))
 
 
 _NL = "chr(10)"
 
 
-@query("p9_context_document", with_views("history", "curated") + f""", s AS (SELECT conv_id AS space_id, COUNT(*) AS n_tables, MAX(CASE WHEN role = 'system' THEN substring(text, 1, 80) END) AS ins FROM conversations GROUP BY conv_id),
+@query("p9_context_document", with_views("history", "curated") + f""", s AS (SELECT conv_id AS space_id, COUNT(*) AS n_tables, MAX(CASE WHEN role = 'system' THEN text END) AS ins FROM conversations GROUP BY conv_id),
     c AS (SELECT space_id, STRING_AGG(concat('  - ', text), {_NL} ORDER BY rn) AS b FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY space_id ORDER BY pos) AS rn FROM curated) x WHERE rn <= 20 AND COALESCE(text, '') <> '' GROUP BY space_id),
     h AS (SELECT space_id, STRING_AGG(CASE WHEN done = 0 THEN concat('  - [KNOWN GAP] ', q) ELSE concat('  - ', q, '  -- answered with: ', a) END, {_NL} ORDER BY rn) AS b FROM (
         SELECT space_id, done, substring(question, 1, 200) AS q, substring(trim(regexp_replace(answer_sql, '\\s+', ' ', 'g')), 1, 160) AS a, ROW_NUMBER() OVER (PARTITION BY space_id ORDER BY done, pos) AS rn

@@ -129,9 +129,9 @@ def relative(spark, d):
 
 
 @query("q8_typed_aggregates", with_views("raw_items") + """
-    SELECT pos, CASE kind WHEN 6 THEN 'c_name' WHEN 7 THEN 'c_mktsegment' ELSE '' END AS bad FROM raw_items WHERE kind <> 4""")
+    SELECT pos, CASE kind WHEN 6 THEN 'c_name' WHEN 7 THEN 'c_mktsegment' ELSE '' END AS bad FROM raw_items""")
 def typed(spark, d):
-    raw = view(spark, d, "raw_items").where("expected_sql IS NOT NULL")
+    raw = view(spark, d, "raw_items")
     return it.typed_aggregate_violations(raw, star_catalog(spark, d)).select("pos", F.array_join("bad_columns", ",").alias("bad"))
 
 
@@ -150,11 +150,21 @@ def dedup(spark, d):
 
 
 @query("q9_skeleton_text", with_views("raw_items") + """
-    SELECT pos, CASE kind WHEN 10 THEN 'select c_mktsegment,count(*)from customer where c_nationkey=0 group by c_mktsegment'
-        WHEN 13 THEN 'select n_name,rank()over(order by n_nationkey)from nation where n_name<>''?''' END AS skeleton
-    FROM raw_items WHERE kind IN (10, 13)""")
+    SELECT pos, CASE kind WHEN 4 THEN ''
+        WHEN 5 THEN 'select count(*)from orders where o_orderdate<current_date'
+        WHEN 6 THEN 'select sum(c_name)from customer where c_custkey=0'
+        WHEN 7 THEN 'select avg(case when(c_mktsegment=''?'')then c_acctbal end)from customer'
+        WHEN 8 THEN 'delete from orders where o_custkey=0'
+        WHEN 9 THEN '/*note*/select count(*)from orders where o_custkey=0'
+        WHEN 10 THEN 'select c_mktsegment,count(*)from customer where c_nationkey=0 group by c_mktsegment'
+        WHEN 11 THEN 'select o_orderkey from orders where o_custkey>0 order by o_totalprice desc limit 0'
+        WHEN 12 THEN 'with t as(select o_custkey from orders where o_totalprice>0)select count(*)from t'
+        WHEN 13 THEN 'select n_name,rank()over(order by n_nationkey)from nation where n_name<>''?'''
+        WHEN 14 THEN 'select count(case when o_orderstatus=''?'' then 0 end)from orders where o_custkey=0'
+        ELSE 'select count(*)from customer join nation on c_nationkey=n_nationkey where c_mktsegment=''?'' and n_name=''?''' END AS skeleton
+    FROM raw_items""")
 def skeleton(spark, d):
-    return view(spark, d, "raw_items").where("kind IN (10, 13)").select("pos", sql_skeleton("expected_sql").alias("skeleton"))
+    return view(spark, d, "raw_items").select("pos", sql_skeleton("expected_sql").alias("skeleton"))
 
 
 @query("q11_item_id", with_views("raw_items") + """
@@ -168,9 +178,10 @@ def readonly(spark, d):
     return view(spark, d, "raw_items").select("pos", is_readonly("expected_sql").alias("readonly"))
 
 
-@query("q13_extract_sql", with_views("raw_items") + "SELECT pos, expected_sql AS sql FROM raw_items WHERE kind NOT IN (4, 8, 9)")
+@query("q13_extract_sql", with_views("raw_items") + """
+    SELECT pos, CASE kind WHEN 4 THEN '' WHEN 8 THEN concat(expected_sql, ';') WHEN 9 THEN substring(expected_sql, 12) ELSE expected_sql END AS sql FROM raw_items""")
 def extract(spark, d):
-    raw = view(spark, d, "raw_items").where("kind NOT IN (4, 8, 9)")
+    raw = view(spark, d, "raw_items")
     wrapped = (
         F.when(F.col("kind") < 10, F.concat(F.lit("```sql\n"), "expected_sql", F.lit(";\n```")))
         .when(F.col("kind") < 12, F.concat(F.lit("The query you want:\n"), "expected_sql", F.lit("\n\nThis counts rows.")))
@@ -381,19 +392,11 @@ def bag(spark, d):
     return p.select("question_id", m.bag_equal("e", "a").alias("equal"))
 
 
-_SQUARE = "kind IN ('1-URGENT/F', '1-URGENT/O', '1-URGENT/P', '2-HIGH/F', '2-HIGH/O', '2-HIGH/P', '4-NOT SPECIFIED/O', '4-NOT SPECIFIED/P', '5-LOW/F')"
-
-
-def _permuted(spark, d):
-    p = view(spark, d, "pairs").where(_SQUARE)
-    p = p.select("question_id", "kind", parse_rows("expected_json").alias("e"), parse_rows("answer_json").alias("a"))
-    return m.match_permutation(p, "e", "a")
-
-
-@query("m5_column_permutation", with_views("pairs") + f"""
-    SELECT question_id, kind IN ('1-URGENT/F', '1-URGENT/O', '1-URGENT/P', '2-HIGH/O', '5-LOW/F') AS verdict FROM pairs WHERE {_SQUARE}""")
+@query("m5_column_permutation", with_views("pairs") + """
+    SELECT question_id, kind IN ('1-URGENT/F', '1-URGENT/O', '1-URGENT/P', '2-HIGH/O', '5-LOW/F') AS verdict FROM pairs""")
 def permutation(spark, d):
-    return _permuted(spark, d).select("question_id", "verdict")
+    p = view(spark, d, "pairs").select("question_id", parse_rows("expected_json").alias("e"), parse_rows("answer_json").alias("a"))
+    return m.match_permutation(p, "e", "a").select("question_id", "verdict")
 
 
 @query("m6_tolerant_rows", """SELECT o_orderkey, TRUE AS rounded, FALSE AS wrong FROM orders""")
