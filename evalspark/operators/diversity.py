@@ -17,8 +17,9 @@ MIN_REFERENCE = 10
 
 
 def unit(df: DataFrame, id_col: str = "id", vec: str = "embedding", by: list[str] | None = None) -> DataFrame:
-    """``(by…, id, v)`` with v normalised."""
-    return df.select(*(by or []), F.col(id_col).cast("bigint").alias("id"), unit_vector(vec).alias("v"))
+    """``(by…, id, v)`` with v normalised; rows without a whole vector have no place in any search."""
+    whole = F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull())
+    return df.where(whole).select(*(by or []), F.col(id_col).cast("bigint").alias("id"), unit_vector(vec).alias("v"))
 
 
 def nearest_reference(generated: DataFrame, reference: DataFrame, by: list[str] | None = None) -> DataFrame:

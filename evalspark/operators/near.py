@@ -28,11 +28,11 @@ from ..functions.frames import attach
 from ..session import materialize
 
 PIVOTS = 64  # bound on what is collected and shipped with the tasks
-CELL_ROWS = 4096  # a group gets about one pivot per so many of its sources
+PIVOT_STEP = 16  # pivots are the root of the largest group over this
 BLOCK_FLOATS = 2**22  # bound on the floats of a source block
 SHARD_ROWS = 4096
 PRODUCT_CELLS = 2**22  # bound on the cells of one matrix product
-LOCAL_ROWS = 20_000  # greatest prefix of a group that one task settles
+FIRST_ROWS = 20_000  # of a group's first prefix, about
 ANGLE_SLACK = 2e-3  # radians; covers rounding of 32-bit vectors in every bound
 
 
@@ -61,9 +61,9 @@ def _products(targets, sources: np.ndarray):
 
 
 def choose_pivots(sources: DataFrame, by: list[str]) -> np.ndarray:
-    """Up to 64 source vectors picked by a hash of their id, fewer where every group is small."""
+    """Source vectors picked by a hash of their id: the more, the larger the largest group is, up to 64."""
     largest = sources.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    count = max(1, min(PIVOTS, largest // CELL_ROWS))
+    count = min(PIVOTS, 1 + math.isqrt(largest) // PIVOT_STEP)
     ids = [r["id"] for r in sources.select("id").orderBy(F.xxhash64("id"), "id").limit(count).collect()]
     rows = sources.where(F.col("id").isin(ids)).select("v").limit(count).collect()
     return np.array([r["v"] for r in rows], dtype=np.float64)
@@ -259,8 +259,7 @@ def greedy_keep(vectors: DataFrame, by: list[str] | None = None, threshold: floa
     id.  Then prefixes of doubling size are settled one by one, and the
     survivors of a prefix at once clear the rest of the table: a large family
     of near copies is cut down by its first survivor instead of being compared
-    with itself.  A prefix small enough is settled in one task per group, a
-    larger one in rounds.
+    with itself.  Each prefix is settled in rounds.
     """
     by = list(by or [])
     if threshold <= 0:
@@ -272,12 +271,12 @@ def greedy_keep(vectors: DataFrame, by: list[str] | None = None, threshold: floa
     lone = vectors.where(zero).select(*by, "id")
     rest = materialize(vectors.where(~zero).groupBy(*by, "v").agg(F.min("id").alias("id")).select(*by, "id", "v"), "distinct")
     parts: list[DataFrame] = [lone]
-    size = first or LOCAL_ROWS
+    size = first or FIRST_ROWS
     while not rest.isEmpty():
         marked = attach(rest, _prefix_cut(rest, by, size), by)
         head = marked.where(F.col("id") <= F.col("_cut")).drop("_cut")
         tail = marked.where(F.col("id") > F.col("_cut")).drop("_cut")
-        survivors = _settle_small(head, by, threshold) if size <= LOCAL_ROWS else _settle(head, by, threshold)
+        survivors = _settle(head, by, threshold)
         parts.append(survivors.select(*by, "id"))
         if not tail.isEmpty():
             hit = earlier_neighbours(tail, survivors.withColumn("kept", F.lit(True)), by, threshold)
@@ -286,28 +285,6 @@ def greedy_keep(vectors: DataFrame, by: list[str] | None = None, threshold: floa
     return reduce(DataFrame.unionByName, parts)
 
 
-def _settle_small(head: DataFrame, by: list[str], threshold: float) -> DataFrame:
-    """The kept vectors of a prefix of at most 1.5 · LOCAL_ROWS rows a group, one task per group."""
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("id")
-        m = _matrix(group["v"])
-        keep = np.zeros(len(m), dtype=bool)
-        for i in range(0, len(m), 1024):
-            block = m[i : i + 1024]
-            free = np.ones(len(block), dtype=bool)
-            if keep.any():
-                free = (block @ m[keep].T).max(axis=1) < threshold
-            near = block @ block.T >= threshold
-            for j in np.flatnonzero(free):
-                keep[i + j] = not near[j, keep[i : i + j].nonzero()[0]].any()
-        return group.filter(pa.array(keep))
-
-    one = head.withColumn("_g", F.lit(0))
-    kept = one.groupBy("_g", *by).applyInArrow(run, one.schema)
-    return materialize(kept.drop("_g"), "kept")
-
-
 def _settle(open_: DataFrame, by: list[str], threshold: float) -> DataFrame:
     """The kept vectors of one prefix, in rounds.
 

@@ -24,7 +24,7 @@ def small_blocks(monkeypatch):
     monkeypatch.setattr(near, "SHARD_ROWS", 5)
     monkeypatch.setattr(near, "PRODUCT_CELLS", 14)
     monkeypatch.setattr(near, "PIVOTS", 8)
-    monkeypatch.setattr(near, "CELL_ROWS", 4)
+    monkeypatch.setattr(near, "PIVOT_STEP", 1)
 
 
 def clustered(rng, n, hot=True):
@@ -64,9 +64,15 @@ def test_self_similarity(spark):
     assert abs(self_similarity(unit(make(spark, pair))).first()["self_similarity"]) < 1e-6
 
 
-@pytest.mark.parametrize("first,local", [(30, 40), (None, 20_000)])
-def test_greedy_dedup(spark, first, local, monkeypatch):
-    monkeypatch.setattr(near, "LOCAL_ROWS", local)
+def test_rows_without_a_vector_are_no_neighbours(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, None]), (4, [1.0, 0.1])], "id long, embedding array<float>")
+    got = nearest_reference(unit(df), unit(df.where("id > 1"))).collect()
+    assert {(r["id"], r["nn_id"]) for r in got} == {(1, 4), (4, 4)}
+    assert sorted(r["id"] for r in near.greedy_keep(unit(df), [], 0.92).collect()) == [1]
+
+
+@pytest.mark.parametrize("first", [30, None])
+def test_greedy_dedup(spark, first):
     rng = np.random.default_rng(3)
     a = clustered(rng, 90)
     A = norm(a)
