@@ -33,7 +33,7 @@ from evalspark.llm.measures import COUNTS, measure
 #: Labelled rows that words are learnt from and the scorer is fitted on.
 SAMPLE = 20_000
 #: Learnt words and beginnings at most, their least number of toxic documents and least odds.
-LEXICON, LEAST, ODDS = 2000, 5, 20.0
+LEXICON, LEAST, ODDS = 2000, 8, 30.0
 #: Features of the scorer, local passes and averaging rounds.
 FEATURES, ROUNDS, TASKS = 1 << 16, 6, 8
 #: Probability from which a judgement is made.
@@ -69,12 +69,8 @@ def votes(text: str, lexicon: frozenset[str], found: set[str] | None = None) ->
     found = terms(text) if found is None else found
     insults, learnt = len(found & INSULTS), found & lexicon
     starts = sum(t[0] == "^" for t in learnt)
-    toxic = [
-        YES if insults else NOTHING,
-        YES if insults > 1 else NO if not insults else NOTHING,
-        YES if len(learnt) > starts else NO,
-        YES if starts else NO,
-    ] if lexicon else [YES if insults else NO, YES if insults > 1 else NO if not insults else NOTHING, NOTHING, NOTHING]
+    several = lambda n: YES if n > 1 else NOTHING if n else NO
+    toxic = [YES if insults else NOTHING, several(insults), *((several(len(learnt) - starts), several(starts)) if lexicon else (NOTHING, NOTHING))]
     return junk, toxic
 
 
