@@ -139,13 +139,23 @@ def drop_relative_time(items: DataFrame) -> DataFrame:
     return items.where(~has_relative_time("question", "expected_sql"))
 
 
-def drop_counts(items: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """How many items the two cleaning rules drop, in their order."""
+def drop_counts(items: DataFrame, by: list[str] | None = None, catalog: DataFrame | None = None) -> DataFrame:
+    """How many items each cleaning rule drops, in their order.
+
+    With a catalog also those with a numeric aggregate of a text column and,
+    of what is left then, the later ones of each SQL skeleton.
+    """
     bad = is_blank(F.col("question").cast("string")) | is_blank(F.col("expected_sql").cast("string"))
     rel = ~bad & has_relative_time("question", "expected_sql")
-    return items.groupBy(*(by or [])).agg(
-        F.count("*").alias("n_items"), F.count_if(bad).alias("n_malformed"), F.count_if(rel).alias("n_relative")
-    )
+    counts = [F.count("*").alias("n_items"), F.count_if("_bad").alias("n_malformed"), F.count_if("_rel").alias("n_relative")]
+    marked = items.withColumn("_bad", bad).withColumn("_rel", rel)
+    if catalog is not None:
+        marked = typed_aggregate_violations(marked, catalog)
+        left = ~F.col("_bad") & ~F.col("_rel") & (F.size("bad_columns") == 0)
+        marked = marked.withColumn("_skeleton", F.when(left, sql_skeleton("expected_sql")))
+        typed = ~F.col("_bad") & ~F.col("_rel") & (F.size("bad_columns") > 0)
+        counts += [F.count_if(typed).alias("n_typed"), (F.count("_skeleton") - F.count_distinct("_skeleton")).alias("n_duplicate")]
+    return marked.groupBy(*(by or [])).agg(*counts)
 
 
 def text_columns(catalog: DataFrame, by: list[str] | None = None) -> DataFrame:

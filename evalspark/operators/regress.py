@@ -12,6 +12,7 @@ from .match import rows_match
 MIN_BUCKET = 5
 DIFFICULTY_ORDER = ("easy", "medium", "hard")
 MONOTONE_EPS = 1e-9
+SAME_ENGINE, FALLBACK = "warehouse", "spark_fallback"
 # ----------------------------------------------------------------------------
 
 
@@ -34,7 +35,7 @@ def expected_source(items: DataFrame, same_engine="engine_rows_json", captured="
     """Rows to grade against: the same engine's where it answered, else the captured ones."""
     engine = parse_rows(same_engine)
     return items.withColumn("expected_rows", F.coalesce(engine, parse_rows(captured))).withColumn(
-        "expected_engine", F.when(engine.isNotNull(), "warehouse").otherwise("spark_fallback")
+        "expected_engine", F.when(engine.isNotNull(), SAME_ENGINE).otherwise(FALLBACK)
     )
 
 
@@ -58,6 +59,7 @@ def concordance(graded: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.count_if(det).alias("n_determinate"),
         F.count_if(~det).alias("n_indeterminate"),
         F.count_if(F.coalesce(F.col("answer_error"), F.lit("")) != "").alias("n_errors"),
+        *([F.count_if(F.col("expected_engine") == SAME_ENGINE).alias("n_same_engine_expected")] if "expected_engine" in graded.columns else []),
         F.coalesce(F.avg(F.when(det, F.col("result_match").cast("int"))), F.lit(0.0)).alias("pass_rate"),
     )
 

@@ -117,10 +117,11 @@ def normalise(spark, d):
 
 
 @query("q6_drop_counts", with_views("raw_items") + """
-    SELECT space_id, COUNT(*) AS n_items, COUNT(*) FILTER (WHERE kind IN (0, 4)) AS n_malformed, COUNT(*) FILTER (WHERE kind IN (1, 2, 3, 5)) AS n_relative
+    SELECT space_id, COUNT(*) AS n_items, COUNT(*) FILTER (WHERE kind IN (0, 4)) AS n_malformed, COUNT(*) FILTER (WHERE kind IN (1, 2, 3, 5)) AS n_relative,
+           COUNT(*) FILTER (WHERE kind IN (6, 7)) AS n_typed, COUNT(*) FILTER (WHERE kind > 7) - COUNT(DISTINCT CASE WHEN kind > 7 THEN kind END) AS n_duplicate
     FROM raw_items GROUP BY space_id""")
 def drop_counts(spark, d):
-    return it.drop_counts(view(spark, d, "raw_items"), ["space_id"])
+    return it.drop_counts(view(spark, d, "raw_items"), ["space_id"], star_catalog(spark, d))
 
 
 @query("q7_relative_time", with_views("raw_items") + "SELECT pos, kind IN (1, 2, 3, 5) AS relative FROM raw_items")

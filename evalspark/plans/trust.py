@@ -333,6 +333,17 @@ def concordance(spark, d):
     return regress.concordance(view(spark, d, "graded"), ["space_id"]).withColumn("pass_rate", F.round("pass_rate", 6))
 
 
+@query("r5_same_engine", with_views("pairs") + f"""
+    SELECT COUNT(*) AS n_questions, COUNT(v) AS n_determinate, COUNT(*) - COUNT(v) AS n_indeterminate, CAST(0 AS BIGINT) AS n_errors,
+           COUNT(*) FILTER (WHERE kind NOT IN ('3-MEDIUM/O', '5-LOW/O')) AS n_same_engine_expected, ROUND(AVG(CAST(v AS INTEGER)), 6) AS pass_rate
+    FROM (SELECT kind, CASE WHEN kind IN ('4-NOT SPECIFIED/F') THEN NULL ELSE TRUE END AS v FROM pairs) x""")
+def same_engine(spark, d):
+    """Answers that repeat the rows they are graded against."""
+    p = view(spark, d, "pairs").select("question_id", F.col("answer_json").alias("engine_rows_json"), F.col("expected_json").alias("expected_rows_json"))
+    graded = regress.grade(regress.expected_source(p).withColumn("answer_rows", F.col("expected_rows")).withColumn("answer_error", F.lit("")))
+    return regress.concordance(graded).withColumn("pass_rate", F.round("pass_rate", 6))
+
+
 _PROFILE = """SELECT {0}, ROUND(AVG(CAST(result_match AS INTEGER)), 6) AS pass_rate, COUNT(*) AS n, COUNT(*) < 5 AS noisy
     FROM graded WHERE NOT match_indeterminate GROUP BY ALL"""
 
