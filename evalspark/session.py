@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -30,14 +29,14 @@ def local_session(cpus: int | str = 8, name: str = "evalspark") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    A local session without either gets a folder of its own, remembered in the
+    A session on this machine alone without either gets a folder of its own, remembered in the
     session so that later calls agree.  A cluster session without either is
     refused: its executors could not read what the others wrote.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     base = base or spark.conf.get("evalspark.scratch", None)
     if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="evalspark-")
         spark.conf.set("evalspark.scratch", base)
