@@ -25,8 +25,9 @@ has probability one of one (N = V = 0).
 from __future__ import annotations
 
 import heapq
-import math
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -41,7 +42,7 @@ HEAD, VOCABULARY, PER_CLASS = 60_000, 4096, 64
 CLASSES = VOCABULARY // PER_CLASS + 1
 #: Hashed features of the classes and of the words within classes.
 ROWS = 1 << 13
-ROUNDS, BATCH, STEP = 3, 8192, 0.15
+ROUNDS, BATCH, STEP = 3, 16_384, 0.15
 HELD, BUCKETS, SLICE = 200_000, 8192, 64
 #: The end of a text; no word has a blank.
 END = b"\n"
@@ -65,7 +66,7 @@ def _asked(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, block, tokens, training counts): the distinct tokens of each block."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = None, {}
+        block, held = None, Counter()
 
         def out():
             at = {}
@@ -77,9 +78,13 @@ def _asked(docs: DataFrame, buckets: int) -> DataFrame:
 
         for batch in batches:
             for text, out_of, block in zip(*(c.to_pylist() for c in batch.columns)):
-                for w in tokens(text):
-                    held[w] = held.get(w, 0) + (not out_of)
-                held[END] = held.get(END, 0) + (not out_of)
+                own = tokens(text)
+                own.append(END)
+                if out_of:
+                    for w in set(own) - held.keys():
+                        held[w] = 0
+                else:
+                    held.update(own)
                 if len(held) > HELD:
                     yield out()
         if held:
@@ -114,7 +119,7 @@ def _answered(asked: DataFrame, buckets: int) -> DataFrame:
         if rows:
             yield answer(rows)
 
-    placed = asked.repartition("bucket").sortWithinPartitions("bucket")
+    placed = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return placed.mapInArrow(each, "block int, words binary, counts binary, n long, v long")
 
 
@@ -163,29 +168,40 @@ def history(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     second = starts[:-1][np.diff(starts) > 1] + 1 if len(starts) else starts
     second = np.concatenate([second, starts[-1:][starts[-1:] + 1 < len(seq)] + 1])
     two[second] = _START
-    mix = lambda a, salt: (a * 0x9E3779B1 + salt * 0x85EBCA6B) % 0xFFFFFFFB
+    mix = lambda a, salt: (a * 0x9E3779B1 + salt * 0x85EBCA6B) & 0xFFFFFFFF
     return seq, np.stack([mix(one, 1), mix(one * (_START + 1) + two + 7, 2), mix(two, 3)])
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+    """Of rows of logits, which beyond +-60 count as that."""
+    np.clip(x, -60, 60, out=x)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x *= (1 / (x @ np.ones(x.shape[1], x.dtype)))[:, None]
     return x
 
 
+def _added(prior: np.ndarray, table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The prior plus the table's rows of each feature."""
+    out = np.take(table, rows[0], axis=0)
+    for r in rows[1:]:
+        out += np.take(table, r, axis=0)
+    out += prior
+    return out
+
+
 def _rows(features: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
-    return ((features + salt * 0xC2B2AE35) ^ (features >> 15)) % ROWS
+    h = (features ^ (features >> 15)) * 0x2C1B3C6D + salt * 0xC2B2AE35
+    return (h ^ (h >> 17)) & (ROWS - 1)
 
 
 def _parts(m: Model, seq: np.ndarray, features: np.ndarray):
     """P(class) and P(word of its class) for every symbol, and the rows they come from."""
     own = seq // PER_CLASS
     rows = _rows(features)
-    p = _softmax(m.class_prior + m.by_class[rows].sum(axis=0))
+    p = _softmax(_added(m.class_prior, m.by_class, rows))
     known = np.flatnonzero(seq < VOCABULARY)
     word_rows = _rows(features[:, known], own[known] + 1)
-    q = _softmax(m.word_prior[own[known]] + m.by_word[word_rows].sum(axis=0))
+    q = _softmax(_added(m.word_prior[own[known]], m.by_word, word_rows))
     return own, rows, p, known, word_rows, q
 
 
@@ -202,15 +218,31 @@ def score_symbols(m: Model, seq: np.ndarray, features: np.ndarray) -> np.ndarray
 
 
 def _update(w: np.ndarray, squares: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
-    """One Adagrad step on the rows of each gradient; equal rows are summed first."""
-    flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
-    flat = flat[order]
-    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-    sums = np.add.reduceat(g[order % len(g)], first, axis=0)
-    at = flat[first]
-    squares[at] += sums * sums
-    w[at] -= STEP * sums / np.sqrt(squares[at])
+    """One Adagrad step for each feature on the rows of the gradients; equal rows are summed first."""
+    for own in rows:
+        order = np.argsort(own.astype(np.int16), kind="stable")
+        at = own[order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        sums = _sums(np.take(g, order, axis=0), first)
+        at = at[first]
+        scale = squares[at] + np.square(sums)
+        squares[at] = scale
+        np.sqrt(scale, out=scale)
+        sums /= scale
+        sums *= STEP
+        w[at] -= sums
+
+
+def _sums(g: np.ndarray, first: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """Sums of the runs of rows that begin at ``first``: short runs side by side, the rest of long ones one by one."""
+    end = np.append(first[1:], len(g))
+    out = g[first]
+    for k in range(1, rounds):
+        more = np.flatnonzero(end - first > k)
+        out[more] += g[first[more] + k]
+    for i in np.flatnonzero(end - first > rounds):
+        out[i] += g[first[i] + rounds : end[i]].sum(axis=0)
+    return out
 
 
 class Trainer:
@@ -295,7 +327,9 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     kind = docs.schema["doc_id"].dataType
     rows = bare(docs).withColumns({"held_out": held, "block": F.spark_partition_id()})
-    buckets = max(1, min(BUCKETS, docs.rdd.getNumPartitions()))
+    # as many places as the input has partitions, whatever the session's setting
+    blocks = max(1, docs.rdd.getNumPartitions())
+    buckets = min(BUCKETS, blocks)
     answers = materialize(_answered(_asked(rows, buckets), buckets), "token-counts")
     n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     best = [x for r in answers.filter("block IS NULL").select("words", "counts").collect() for x in zip(_split(r["words"]), np.frombuffer(unpack(r["counts"]), "<i8").tolist())]
@@ -308,11 +342,10 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
         known, codes, lengths, rare = shared.value.code, [], [], []
         for text in x["text"]:
             own = tokens(text) + [END]
-            got = [known.get(w, _HOLE) for w in own]
-            codes += got
-            lengths.append(len(got))
-            rare += [w for w, c in zip(own, got) if c == _HOLE]
-        arrays = (pack(np.array(lengths, "<u4").tobytes()), pack(np.array(codes, "<u2").tobytes()), _join(rare))
+            codes.append(np.fromiter(map(known.get, own, repeat(_HOLE)), "<u2", len(own)).tobytes())
+            lengths.append(len(own))
+            rare += [w for w in own if w not in known]
+        arrays = (pack(np.array(lengths, "<u4").tobytes()), pack(b"".join(codes)), _join(rare))
         return {"block": x["block"][:1], "ids": [x["doc_id"]], "held": [x["held_out"]], **{k: [a] for k, a in zip(("lengths", "codes", "words"), arrays)}}
 
     schema = f"block int, ids array<{kind.simpleString()}>, held array<boolean>, lengths binary, codes binary, words binary"
@@ -347,4 +380,4 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
     asked = answers.filter("block IS NOT NULL").select("block", "words", "counts").withColumn("is_docs", F.lit(False))
     both = own.unionByName(asked, allowMissingColumns=True).select("block", "is_docs", "ids", "held", "lengths", "codes", "words", "counts")
     schema = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return both.repartition("block").sortWithinPartitions("block", "is_docs").mapInArrow(fill, schema)
+    return both.repartition(blocks, "block").sortWithinPartitions("block", "is_docs").mapInArrow(fill, schema)
