@@ -81,8 +81,8 @@ def _asked(docs: DataFrame, buckets: int) -> DataFrame:
                 own = tokens(text)
                 own.append(END)
                 if out_of:
-                    for w in set(own) - held.keys():
-                        held[w] = 0
+                    for w in own:
+                        held.setdefault(w, 0)
                 else:
                     held.update(own)
                 if len(held) > HELD:
