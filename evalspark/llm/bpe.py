@@ -93,7 +93,7 @@ def _rare(docs: DataFrame, head, buckets: int) -> DataFrame:
     return _numbered(docs).select("text", "block").mapInArrow(each, "block int, bucket int, words binary")
 
 
-def _table(rare: DataFrame, file) -> DataFrame:
+def _table(rare: DataFrame, file, buckets: int) -> DataFrame:
     """Each bucket's words encoded once: (block, words, bytes of each word's ids, ids)."""
 
     held: list[Words] = []  # of one task
@@ -110,17 +110,23 @@ def _table(rare: DataFrame, file) -> DataFrame:
             ids.append(pack(b"".join(got)))
         return {"block": x["block"], "words": x["words"], "lengths": lengths, "ids": ids}
 
-    placed = rare.repartition("bucket").sortWithinPartitions("bucket")
+    placed = rare.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return map_rows(placed, rows, "block int, words binary, lengths binary, ids binary", 8)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit integers behind each other) of every row."""
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit integers behind each other) of every row.
+
+    With ``decoded`` what ``decode`` makes of the ids too, in the same tasks.
+    """
     spark = docs.sparkSession
+    pieces = _pieces(spark, path) if decoded else None
     file = share(spark, path)
     tok = load(file.value)
     head = spark.sparkContext.broadcast(dict(encode_words(tok, head_words(docs))))
-    buckets = max(1, min(BUCKETS, docs.rdd.getNumPartitions()))
+    # as many places as the input has partitions, whatever the session's setting
+    blocks = max(1, docs.rdd.getNumPartitions())
+    buckets = min(BUCKETS, blocks)
     kind_of_id = unit(tok)
     gap = int(np.iinfo(kind_of_id).max)
     hole = np.array([gap], kind_of_id).tobytes()
@@ -156,7 +162,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             at = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], ends // code.itemsize])]
             code = code.astype("<u4")
             out = [code[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(docs_of, id_type), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+            columns = {"doc_id": pa.array(docs_of, id_type), "ids": pa.array(out, pa.binary())}
+            if pieces:
+                columns["decoded"] = pa.array(_decoded(out, pieces.value), pa.string())
+            yield pa.RecordBatch.from_pydict(columns)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -164,25 +173,29 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     id_type = to_arrow_type(kind)
     own = map_rows(_numbered(docs), holes, f"block int, doc_ids array<{kind.simpleString()}>, words binary, lengths binary, ids binary", SLICE)
     own = own.withColumn("is_docs", F.lit(True))
-    table = _table(_rare(docs, head, buckets), file).withColumns({"is_docs": F.lit(False), "doc_ids": F.lit(None).cast(f"array<{kind.simpleString()}>")})
+    table = _table(_rare(docs, head, buckets), file, buckets).withColumns({"is_docs": F.lit(False), "doc_ids": F.lit(None).cast(f"array<{kind.simpleString()}>")})
     rows = own.unionByName(table).select("block", "doc_ids", "is_docs", "words", "lengths", "ids")
-    return rows.repartition("block").sortWithinPartitions("block", "is_docs").mapInArrow(fill, f"doc_id {kind.simpleString()}, ids binary")
-
+    return rows.repartition(blocks, "block").sortWithinPartitions("block", "is_docs").mapInArrow(fill, f"doc_id {kind.simpleString()}, ids binary" + ", decoded string" * decoded)
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` with the column ``decoded``: the pieces of the ids, special ones too, joined by blanks.
 
-    That is the rule of tokenizers whose file names no decoder; others are refused.
-    """
+def _pieces(spark, path: str):
+    """The id-to-piece table, broadcast: its size is the vocabulary's."""
     with open(path, encoding="utf-8") as f:
         tok = load(f.read())
     if tok.decoder is not None:
         raise ValueError("the id-to-piece join decodes tokenizers without a decoder of their own")
-    pieces = encoded.sparkSession.sparkContext.broadcast([tok.id_to_token(i) for i in range(tok.get_vocab_size())])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "decoded")
+    return spark.sparkContext.broadcast([tok.id_to_token(i) for i in range(tok.get_vocab_size())])
 
-    def rows(x):
-        piece = pieces.value
-        return x | {"decoded": [" ".join([piece[i] for i in np.frombuffer(b, "<u4").tolist()]) for b in x["ids"]]}
 
-    return map_rows(encoded, rows, f"{schema}, decoded string")
+def _decoded(ids: list[bytes], pieces: list[str]) -> list[str]:
+    return [" ".join([pieces[i] for i in np.frombuffer(b, "<u4").tolist()]) for b in ids]
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """``encoded`` with the column ``decoded``: the pieces of the ids, special ones too, joined by blanks.
+
+    That is the rule of tokenizers whose file names no decoder; others are refused.
+    """
+    pieces = _pieces(encoded.sparkSession, path)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "decoded")
+    return map_rows(encoded, lambda x: x | {"decoded": _decoded(x["ids"], pieces.value)}, f"{schema}, decoded string")

@@ -44,8 +44,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 @query
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    out = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path)
+    out = bpe.encode(documents(spark, sf_dir), tokenizer_path(), decoded=True)
     hashes = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("ids", "decoded")]
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), *hashes)
 
