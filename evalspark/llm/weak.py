@@ -36,6 +36,7 @@ SAMPLE = 20_000
 LEXICON, LEAST, ODDS = 2000, 8, 30.0
 #: Features of the scorer, local passes and averaging rounds.
 FEATURES, ROUNDS, TASKS = 1 << 16, 6, 8
+KIND = "<u2"
 #: Probability from which a judgement is made.
 DECIDE = 0.8
 #: Words that insult in everyday English.
@@ -133,7 +134,7 @@ def learn_lexicon(sample: DataFrame) -> frozenset[str]:
 def features(found: set[str], v: list[int]) -> np.ndarray:
     """Hashed terms, labellers' votes and a constant."""
     at = {crc32(t.encode()) % (FEATURES - 128) for t in found}
-    return np.array([*at, *(FEATURES - 128 + 3 * i + x for i, x in enumerate(v)), FEATURES - 1], "<u4")
+    return np.array([*at, *(FEATURES - 128 + 3 * i + x for i, x in enumerate(v)), FEATURES - 1], KIND)
 
 
 def _values(x: np.ndarray) -> np.ndarray:
@@ -156,7 +157,7 @@ def fit(rows: DataFrame) -> np.ndarray:
         def local(x, held=held):
             w, g2 = held.value.copy(), np.full((2, FEATURES), 1.0, np.float32)
             for ids, junk, toxic in zip(x["x"], x["junk"], x["toxic"]):
-                at = np.frombuffer(ids, "<u4")
+                at = np.frombuffer(ids, KIND)
                 g = (_probability(w, at) - np.array([junk, toxic])).astype(np.float32)
                 g = g[:, None] * _values(at)
                 g2[:, at] += g * g
@@ -178,11 +179,18 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     lexicon = sc.broadcast(learn_lexicon(sample))
     kind = dict(docs.dtypes)["doc_id"]
 
-    def vote(x):
-        got = [votes(t, lexicon.value) for t in x["text"]]
-        return {"j": [_pattern(j) for j, _ in got], "t": [_pattern(t) for _, t in got]}
+    def look(x):
+        out = {"doc_id": x["doc_id"], "x": [], "j": [], "t": []}
+        for t in x["text"]:
+            found = terms(t)
+            j, v = votes(t, lexicon.value, found)
+            for name, value in zip(("x", "j", "t"), (features(found, j + v).tobytes(), _pattern(j), _pattern(v))):
+                out[name].append(value)
+        return out
 
-    counted = map_rows(bare(docs), vote, "j int, t int").groupBy("j", "t").count().collect()  # at most 3 ** 12 patterns
+    # texts are read once; their features, at most two bytes for each place, take their place
+    seen = materialize(map_rows(bare(docs), look, f"doc_id {kind}, x binary, j int, t int"), "weak-features")
+    counted = seen.groupBy("j", "t").count().collect()  # at most 3 ** 12 patterns
     posts = []
     for name, labellers in (("j", 8), ("t", 4)):
         n: dict[int, int] = {}
@@ -204,15 +212,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     weights = sc.broadcast(fit(map_rows(sample, label, "x binary, junk double, toxic double")))
 
     def score(x):
-        out = {"doc_id": x["doc_id"], "junk_weak": [], "toxic_weak": [], "junk_score": [], "toxic_score": []}
-        for t in x["text"]:
-            found = terms(t)
-            j, v = votes(t, lexicon.value, found)
-            p = _probability(weights.value, features(found, j + v))
-            for name, value in zip(list(out)[1:], (posts.value[0][_pattern(j)], posts.value[1][_pattern(v)], float(p[0]), float(p[1]))):
-                out[name].append(value)
-        return out
+        p = [_probability(weights.value, np.frombuffer(ids, KIND)) for ids in x["x"]]
+        weak = [[posts.value[i][v] for v in x[name]] for i, name in enumerate("jt")]
+        return {"doc_id": x["doc_id"], "junk_weak": weak[0], "toxic_weak": weak[1], "junk_score": [float(y[0]) for y in p], "toxic_score": [float(y[1]) for y in p]}
 
-    scored = map_rows(bare(docs), score, f"doc_id {kind}, junk_weak double, toxic_weak double, junk_score double, toxic_score double")
+    scored = map_rows(seen, score, f"doc_id {kind}, junk_weak double, toxic_weak double, junk_score double, toxic_score double")
     scored = scored.withColumns({"junk": F.col("junk_score") >= DECIDE, "toxic": F.col("toxic_score") >= DECIDE})
     return scored.withColumn("kept", ~(F.col("junk") | F.col("toxic")))
