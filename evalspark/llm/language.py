@@ -8,10 +8,12 @@ coordinates, and one kernel ridge regression per language is solved in them.
 Texts are scored in batches: landmark presence times text presence is one
 matrix product.
 
-Learnt from ``LANDMARKS`` landmarks and ``FITTED`` rows (those with the
-smallest hashes) of each training language.  N-grams are hashed to ``GRAMS``
-places; a text's set is that many bits, so nothing grows with its length.  Every
-text is scored whole.
+N-grams are hashed to ``GRAMS`` places.  A text of more than ``PIECE``
+characters is cut into equal pieces of at most that, each a set of its own: one
+set of a long text would fill all places and look like any language.  Every
+text is scored whole, by the mean of its pieces' margins.  Learnt from
+``LANDMARKS`` landmarks and ``FITTED`` rows (those with the smallest hashes) of
+each training language; of a long row one piece, any of them by its hash.
 
 A text that is null or has no letter is ``und`` with score 0, as is every text
 if nothing can be learnt.  Training rows need a language and a letter.  Repeated
@@ -21,6 +23,7 @@ rows are judged alike; null ids count as training rows.
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 import regex
@@ -31,30 +34,40 @@ from evalspark.llm.frames import bare, held_out, map_rows
 GRAMS = 1 << 14
 LANDMARKS, FITTED = 48, 400
 RIDGE = 1e-2
-#: Characters whose n-grams are set at a time.
-PIECE = 1 << 18
+#: Characters of a piece at most, and pieces that are scored at a time.
+PIECE, BATCH = 2048, 512
 _LETTER = regex.compile(r"\p{L}")
 _NO_LETTER = re.compile(r"[\W\d_]+")
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def presence(text: str | None) -> np.ndarray:
-    """Which hashed n-grams of one to four characters the text has; all but letters is one blank."""
-    out = np.zeros(GRAMS, bool)
+def pieces(text: str | None) -> list[np.ndarray]:
+    """The text's characters in equal pieces; all but letters is one blank.  Each has the three that follow it, for the n-grams that begin in it."""
     if not text or not _LETTER.search(text):
-        return out
-    chars = np.frombuffer((" " + _NO_LETTER.sub(" ", text.lower()) + " ").encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
-    for at in range(0, len(chars), PIECE):
-        piece, h = chars[at : at + PIECE + 3], np.uint64(0)
-        for n, factor in enumerate(_FACTORS):
-            if len(piece) <= n:
-                break
-            h = (h[: len(piece) - n] if n else h) * np.uint64(31) + piece[n:] * factor
-            mixed = (h ^ (h >> np.uint64(29))) * factor
-            out[(mixed >> np.uint64(64 - 14)).astype(np.int64)] = True
+        return []
+    chars = np.frombuffer((" " + _NO_LETTER.sub(" ", text.lower()) + " ").encode("utf-32-le", "replace"), "<u4")
+    n = -(-len(chars) // PIECE)
+    cuts = [len(chars) * i // n for i in range(n + 1)]
+    return [chars[a : b + 3] for a, b in zip(cuts, cuts[1:])]
+
+
+def _bits(piece: np.ndarray) -> np.ndarray:
+    """Which hashed n-grams of one to four characters the piece has."""
+    out, piece, h = np.zeros(GRAMS, bool), piece.astype(np.uint64), np.uint64(0)
+    for n, factor in enumerate(_FACTORS):
+        if len(piece) <= n:
+            break
+        h = (h[: len(piece) - n] if n else h) * np.uint64(31) + piece[n:] * factor
+        mixed = (h ^ (h >> np.uint64(29))) * factor
+        out[(mixed >> np.uint64(64 - 14)).astype(np.int64)] = True
     return out
 
 
+def presence(text: str | None) -> np.ndarray:
+    """The same of all pieces of a text."""
+    return np.any([np.zeros(GRAMS, bool), *map(_bits, pieces(text))], axis=0)
+
+
 def _kernel(x: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     """Normalised numbers of common n-grams of rows of bits; empty rows are 0."""
     a, b = x.astype(np.float32), landmarks.astype(np.float32)
@@ -78,13 +91,22 @@ class Model:
         w = np.linalg.solve(gram, (phi * weight[:, None]).T @ targets)
         self.weights, self.offset = (to @ w[:-1]).astype(np.float32), w[-1].astype(np.float32)
 
+    def margins(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text the sum of its pieces' margins, and their number."""
+        total, count = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        every = ((i, p) for i, t in enumerate(texts) for p in pieces(t))
+        while some := list(islice(every, BATCH)):
+            at = np.array([i for i, _ in some])
+            np.add.at(total, at, _kernel(np.array([_bits(p) for _, p in some]), self.landmarks) @ self.weights + self.offset)
+            np.add.at(count, at, 1)
+        return total, count
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        bits = np.array([presence(t) for t in texts])
-        some = bits.any(axis=1)
-        margin = _kernel(bits, self.landmarks) @ self.weights + self.offset
+        total, count = self.margins(texts)
+        margin = total / np.maximum(1, count)[:, None]
         best = margin.argmax(axis=1)
         score = np.clip((margin.max(axis=1) + 1) / 2, 0, 1)
-        return [self.languages[b] if s else "und" for b, s in zip(best, some)], [float(x) if s else 0.0 for x, s in zip(score, some)]
+        return [self.languages[b] if c else "und" for b, c in zip(best, count)], [float(x) if c else 0.0 for x, c in zip(score, count)]
 
 
 def learn(train: DataFrame) -> Model | None:
@@ -96,7 +118,9 @@ def learn(train: DataFrame) -> Model | None:
     rows = picked.join(F.broadcast(chosen), ["lang", "h"])
 
     def bits(x):
-        return {"lang": x["lang"], "nth": x["nth"], "h": x["h"], "bits": [np.packbits(presence(t)).tobytes() for t in x["text"]]}
+        parts = [pieces(t) for t in x["text"]]
+        own = [np.packbits(_bits(p[h % len(p)]) if p else np.zeros(GRAMS, bool)).tobytes() for p, h in zip(parts, x["h"])]
+        return {"lang": x["lang"], "nth": x["nth"], "h": x["h"], "bits": own}
 
     got = map_rows(rows, bits, "lang string, nth int, h long, bits binary").dropDuplicates(["lang", "h"]).orderBy("lang", "nth").collect()
     if not got:

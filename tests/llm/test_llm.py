@@ -132,6 +132,30 @@ def test_kernel_is_the_share_of_common_grams():
     assert k[0, 0] > 0.999 and 0.8 < k[0, 1] < 1 and k[0, 2] < 0.4 and not k[3].any()
 
 
+def test_language_of_very_long_texts():
+    r = random.Random(5)
+
+    def writer(first, letters, blank):
+        words = ["".join(chr(first + r.randrange(letters)) for _ in range(r.randint(1, 7))) for _ in range(3000)]
+        return lambda n: blank.join(r.choices(words, k=n))
+
+    write = {"c1": writer(0x4E00, 9000, ""), "c2": writer(0x6000, 9000, ""), "l1": writer(ord("a"), 20, " "), "l2": writer(ord("g"), 20, " ")}
+    train = [(k, r.randint(5, 600)) for k in write for _ in range(60)]
+    parts = [language.pieces(write[k](n)) for k, n in train]
+    x = language.np.array([language._bits(r.choice(p)) for p in parts])
+    y = language.np.array([list(write).index(k) for k, _ in train])
+    model = language.Model(list(write), x[::3], x, y)
+    texts = [write[k](n) for k in write for n in (20_000, 800_000)]
+    assert min(map(len, texts)) > 70_000 and max(map(len, texts)) > 3_000_000
+    pred, score = model.predict([*texts, "", None])
+    assert pred == [k for k in write for _ in range(2)] + ["und"] * 2
+    assert min(score[:-2]) > 0.75
+    # the whole text counts: the longer part wins, wherever it is
+    a, b = write["l1"](200_000), write["l2"](100_000)
+    assert model.predict([a + b, b + a])[0] == ["l1", "l1"]
+    assert max(language._bits(p).mean() for t in texts for p in language.pieces(t)) < 0.5
+
+
 def test_quality_rules(spark, odd):
     out = got(spark, "op3_quality_rules", odd, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert bag(out) == bag((i, *plain.rule_counts(t)) for i, t in ROWS)
