@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import (
     EXEMPT_LITERAL,
@@ -258,6 +260,66 @@ def templated_items(values: DataFrame) -> DataFrame:
     return values.select("table", "column", "value", F.inline(built))
 
 
+# A value with one of the table's next column, with the next value of its own column, and with a date range.
+PAIR_TEMPLATE = (
+    "multi_condition", "medium", "How many rows of %1$s have %2$s equal to %3$s and %4$s equal to %5$s?",
+    "SELECT %2$s, COUNT(*) AS n FROM %1$s WHERE %2$s = '%3$s' AND %4$s = '%5$s' GROUP BY %2$s")
+REST_TEMPLATE = (
+    "multi_condition", "medium", "How many rows per %2$s does %1$s have besides those with %3$s and %4$s?",
+    "SELECT %2$s, COUNT(*) AS n FROM %1$s WHERE %2$s <> '%3$s' AND %2$s <> '%4$s' GROUP BY %2$s")
+SERIES_TEMPLATE = (
+    "time_series", "medium", "How many rows does %1$s have per month of %2$s from %3$s to %4$s?",
+    "SELECT date_trunc('month', %2$s) AS month, COUNT(*) AS n FROM %1$s WHERE %2$s BETWEEN '%3$s' AND '%4$s' GROUP BY date_trunc('month', %2$s)")
+COHORT_TEMPLATE = (
+    "cohort", "hard", "Group the values of %2$s in %1$s by the month of %3$s of their first row from %4$s to %5$s: how many values and rows has each group per month?",
+    "WITH c AS (SELECT %2$s AS k, MIN(%3$s) AS start FROM %1$s WHERE %3$s BETWEEN '%4$s' AND '%5$s' GROUP BY %2$s) "
+    "SELECT date_trunc('month', start) AS cohort, date_trunc('month', %3$s) AS month, COUNT(DISTINCT k) AS n_values, COUNT(*) AS n "
+    "FROM %1$s JOIN c ON %2$s = k WHERE %3$s BETWEEN '%4$s' AND '%5$s' GROUP BY date_trunc('month', start), date_trunc('month', %3$s)")
+FUNNEL_TEMPLATE = (
+    "funnel", "hard", "Of the rows of %1$s with %3$s from %4$s to %5$s, how many have %2$s equal to %6$s, and how many of these come after the first row with %7$s?",
+    "WITH f AS (SELECT MIN(%3$s) AS start FROM %1$s WHERE %2$s = '%7$s') "
+    "SELECT COUNT(*) AS step_1, COUNT(CASE WHEN %2$s = '%6$s' THEN 1 END) AS step_2, COUNT(CASE WHEN %2$s = '%6$s' AND %3$s > start THEN 1 END) AS step_3 "
+    "FROM %1$s CROSS JOIN f WHERE %3$s BETWEEN '%4$s' AND '%5$s'")
+
+
+def _filled(rows: DataFrame, template: tuple[str, str, str, str], *args: str) -> DataFrame:
+    """One item of the template per row, with these columns in its places."""
+    category, difficulty, question, sql = template
+    quoted = [F.replace(F.col(a), F.lit("'"), F.lit("''")) for a in args]
+    return rows.select(
+        "table", F.lit(category).alias("category"), F.lit(difficulty).alias("difficulty"),
+        F.format_string(question, *args).alias("question"), F.format_string(sql, *quoted).alias("expected_sql"),
+    )
+
+
+def profiled_items(values: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Items of all ten categories from ``(table, column, value)`` and ``(table, column, lo, hi)`` rows, each once.
+
+    A value is combined with the smallest value of the table's next column (the
+    last column's next is the first) and with the next value of its own column,
+    so the items grow with the profile, not with its square.  Items that need a
+    second value or a date range are left out where there is none.
+    """
+    own = Window.partitionBy("table", "column").orderBy("value")
+    turn = Window.partitionBy("table").orderBy("column")
+    columns = values.groupBy("table", "column").agg(F.min("value").alias("_least"))
+    entry = F.struct(F.col("column").alias("column"), F.col("_least").alias("value"))
+    nexts = columns.select("table", "column", F.coalesce(F.lead(entry).over(turn), F.first(entry).over(turn)).alias("_n"))
+    paired = values.withColumn("value_2", F.coalesce(F.lead("value").over(own), F.first("value").over(own))).join(nexts, ["table", "column"])
+    paired = paired.select("*", F.col("_n.column").alias("column_2"), F.col("_n.value").alias("least_2"))
+    alone, other = F.col("column") == F.col("column_2"), F.col("value") != F.col("value_2")
+    dated = ranges.select("table", F.col("column").alias("day"), "lo", "hi")
+    parts = [
+        templated_items(values).select("table", "category", "difficulty", "question", "expected_sql"),
+        _filled(paired.where(~alone), PAIR_TEMPLATE, "table", "column", "value", "column_2", "least_2"),
+        _filled(paired.where(alone & other), REST_TEMPLATE, "table", "column", "value", "value_2"),
+        _filled(dated, SERIES_TEMPLATE, "table", "day", "lo", "hi"),
+        _filled(columns.join(dated, "table"), COHORT_TEMPLATE, "table", "column", "day", "lo", "hi"),
+        _filled(paired.where(other).join(dated, "table"), FUNNEL_TEMPLATE, "table", "column", "day", "lo", "hi", "value", "value_2"),
+    ]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 def distribution_check(items: DataFrame, by: list[str], min_hard: int = 5) -> DataFrame:
     """Does each batch keep to the required mix of difficulties and categories?"""
     d, c = F.lower("difficulty"), F.lower("category")

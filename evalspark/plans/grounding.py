@@ -12,8 +12,8 @@ from ..session import materialize, scratch_path
 from ..sources import history as hist
 from ..sources import spaces as sp
 from .common import TABLES, table, tables, view, with_views
-from .quality import star_catalog
-from .registry import query, r6
+from .quality import every_item, star_catalog
+from .registry import ORACLES, query, r6
 
 # columns of the test tables by type, for the oracle texts
 _SAMPLED = {
@@ -307,6 +307,31 @@ def ranges(spark, d):
     return _union([pf.date_ranges(df).select(F.lit(t).alias("table"), "column", "lo", "hi") for t, df in tables(spark, d).items()])
 
 
+@query("q16_profiled_items", f"""WITH v AS ({ORACLES["p4_low_card_values"]}), r AS ({ORACLES["p5_date_ranges"]}),
+    c AS (SELECT "table" AS t, "column" AS c, MIN(value) AS least FROM v GROUP BY ALL),
+    w AS (SELECT *, COALESCE(LEAD(c) OVER (PARTITION BY t ORDER BY c), FIRST_VALUE(c) OVER (PARTITION BY t ORDER BY c)) AS c2 FROM c),
+    p AS (SELECT w.t, w.c, w.c2, n.least AS x2, replace(value, '''', '''''') AS x, value AS raw,
+                 COALESCE(LEAD(value) OVER (PARTITION BY w.t, w.c ORDER BY value), FIRST_VALUE(value) OVER (PARTITION BY w.t, w.c ORDER BY value)) AS y
+          FROM v JOIN w ON v."table" = w.t AND v."column" = w.c JOIN c n ON n.t = w.t AND n.c = w.c2),
+    d AS (SELECT "table" AS t, "column" AS d, concat("column", ' BETWEEN ''', lo, ''' AND ''', hi, '''') AS span FROM r WHERE lo IS NOT NULL)
+    SELECT DISTINCT * FROM (
+        SELECT t AS "table", 'aggregation' AS category, 'medium' AS difficulty, concat('SELECT ', c, ', COUNT(*) AS n FROM ', t, ' GROUP BY ', c) AS expected_sql FROM p
+        UNION ALL SELECT t, 'filter', 'easy', concat('SELECT COUNT(*) AS n FROM ', t, ' WHERE ', c, ' = ''', x, '''') FROM p
+        UNION ALL SELECT t, 'ranking', 'hard', concat('SELECT ', c, ', COUNT(*) AS n FROM ', t, ' WHERE ', c, ' <> ''', x, ''' GROUP BY ', c, ' HAVING COUNT(*) > 1 ORDER BY n DESC, ', c, ' LIMIT 3') FROM p
+        UNION ALL SELECT t, 'ratio_or_delta', 'hard', concat('SELECT 100.0 * SUM(CASE WHEN ', c, ' = ''', x, ''' THEN 1 ELSE 0 END) / COUNT(*) AS pct FROM ', t) FROM p
+        UNION ALL SELECT t, 'distinct_count', 'easy', concat('SELECT COUNT(DISTINCT ', c, ') AS n FROM ', t, ' WHERE ', c, ' <> ''', x, '''') FROM p
+        UNION ALL SELECT t, 'windowed', 'hard', concat('SELECT ', c, ', RANK() OVER (ORDER BY COUNT(*) DESC) AS rk FROM ', t, ' WHERE ', c, ' <> ''', x, ''' GROUP BY ', c) FROM p
+        UNION ALL SELECT t, 'multi_condition', 'medium', concat('SELECT ', c, ', COUNT(*) AS n FROM ', t, ' WHERE ', c, ' = ''', x, ''' AND ', c2, ' = ''', replace(x2, '''', ''''''), ''' GROUP BY ', c) FROM p WHERE c <> c2
+        UNION ALL SELECT t, 'multi_condition', 'medium', concat('SELECT ', c, ', COUNT(*) AS n FROM ', t, ' WHERE ', c, ' <> ''', x, ''' AND ', c2, ' <> ''', replace(y, '''', ''''''), ''' GROUP BY ', c) FROM p WHERE c = c2 AND raw <> y
+        UNION ALL SELECT t, 'time_series', 'medium', concat('SELECT date_trunc(''month'', ', d, ') AS month, COUNT(*) AS n FROM ', t, ' WHERE ', span, ' GROUP BY date_trunc(''month'', ', d, ')') FROM d
+        UNION ALL SELECT t, 'cohort', 'hard', concat('WITH c AS (SELECT ', c, ' AS k, MIN(', d, ') AS start FROM ', t, ' WHERE ', span, ' GROUP BY ', c, ') SELECT date_trunc(''month'', start) AS cohort, date_trunc(''month'', ', d,
+            ') AS month, COUNT(DISTINCT k) AS n_values, COUNT(*) AS n FROM ', t, ' JOIN c ON ', c, ' = k WHERE ', span, ' GROUP BY date_trunc(''month'', start), date_trunc(''month'', ', d, ')') FROM c JOIN d USING (t)
+        UNION ALL SELECT t, 'funnel', 'hard', concat('WITH f AS (SELECT MIN(', d, ') AS start FROM ', t, ' WHERE ', c, ' = ''', replace(y, '''', ''''''), ''') SELECT COUNT(*) AS step_1, COUNT(CASE WHEN ', c, ' = ''', x,
+            ''' THEN 1 END) AS step_2, COUNT(CASE WHEN ', c, ' = ''', x, ''' AND ', d, ' > start THEN 1 END) AS step_3 FROM ', t, ' CROSS JOIN f WHERE ', span) FROM p JOIN d USING (t) WHERE raw <> y) i""")
+def profiled_items(spark, d):
+    return every_item(spark, d).select("table", "category", "difficulty", "expected_sql")
+
+
 @query("p6_declared_fks", """SELECT o_orderstatus AS table_schema, concat('orders', o_orderkey) AS table_name, concat('col', l_linenumber) AS fk_col,
     concat_ws('.', 'cat', c_mktsegment, c_name) AS ref_table, concat('key', c_nationkey) AS ref_col
     FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority <> '5-LOW'""")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.cells import canon_cell, canon_rows, cells_close, parse_rows
 from ..functions.text import extract_sql, has_relative_time, is_readonly, norm_question, sql_skeleton, structural_difficulty
@@ -222,6 +224,13 @@ def customer_items(spark, d):
     return it.templated_items(values.withColumn("table", F.lit("customer")))
 
 
+def every_item(spark, d):
+    """Items of every profiled column and date range of every table."""
+    opened = tables(spark, d)
+    ranges = [pf.date_ranges(df).withColumn("table", F.lit(t)) for t, df in opened.items()]
+    return it.profiled_items(pf.profile_tables(opened), reduce(DataFrame.unionByName, ranges))
+
+
 @query("q17_distribution_check", with_views("raw_items") + """
     SELECT space_id, n_easy, n_hard, n_time_series, n_ratio_or_delta, n_multi_condition, n_ranking,
            n_easy <= 1 AND n_hard >= 5 AND n_time_series >= 1 AND n_ratio_or_delta >= 1 AND n_multi_condition >= 1 AND n_ranking >= 1 AS passed

@@ -1,7 +1,8 @@
 import random
+from functools import reduce
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from evalspark.functions.stats import n_for_half, wilson_half
 from evalspark.operators import calibrate as cal
@@ -219,3 +220,29 @@ def test_typed_aggregates_per_space(spark):
     items = spark.createDataFrame([(1, 1, "SELECT SUM(x) FROM t"), (2, 2, "SELECT SUM(x) FROM t"), (3, 3, "SELECT SUM(x) FROM t")], "pos int, space_id int, expected_sql string")
     cat = spark.createDataFrame([(1, "t", 0, "X", "string"), (2, "t", 0, "x", "int"), (2, "u", 0, "x", "string")], "space_id int, table string, position int, column string, type string")
     assert sorted(r["pos"] for r in it.drop_typed_violations(items, cat, ["space_id"]).collect()) == [2, 3]
+
+
+def test_profiled_items_cover_all_categories(spark):
+    rows = "SELECT id, CASE id % 3 WHEN 0 THEN 'it''s' WHEN 1 THEN 'b' ELSE 'c' END AS kind, id % 2 = 0 AS flag, date_add(DATE'2024-01-01', CAST(id AS INT)) AS day FROM range(100)"
+    one = "SELECT id, CAST(id % 2 AS INT) AS half, TIMESTAMP'2024-01-01 10:00:00' + make_interval(0, 0, 0, CAST(id AS INT)) AS moment FROM range(100)"
+    made = {"two_t": spark.sql(rows), "one_t": spark.sql(one), "same_t": spark.sql("SELECT 'x' AS only_c FROM range(3)")}
+    for name, df in made.items():
+        df.createOrReplaceTempView(name)
+    named = lambda fn: reduce(DataFrame.unionByName, [fn(df).withColumn("table", F.lit(t)) for t, df in made.items()])
+    items = it.profiled_items(named(pf.low_card_values), named(pf.date_ranges))
+    got = items.collect()
+    assert len(got) == len({r["expected_sql"] for r in got})
+    has = {t: {r["category"] for r in got if r["table"] == t} for t in made}
+    assert has["two_t"] == has["one_t"] == set(it.CATEGORIES)
+    # one value and no date: nothing to combine
+    assert has["same_t"] == set(it.CATEGORIES) - {"time_series", "multi_condition", "cohort", "funnel"}
+    runs = {r["expected_sql"]: [tuple(x) for x in spark.sql(r["expected_sql"]).collect()] for r in got}
+    funnels = {s: v for s, v in runs.items() if s.startswith("WITH f")}
+    # 50 of each; the first true day is the first, the first false one the second
+    assert [v for s, v in funnels.items() if "flag = 'true' THEN" in s] == [[(100, 50, 49)]]
+    assert [v for s, v in funnels.items() if "flag = 'false' THEN" in s] == [[(100, 50, 50)]]
+    assert [r[1] for s, v in runs.items() if s.startswith("SELECT date_trunc") and "two_t" in s for r in sorted(v)] == [31, 29, 31, 9]
+    assert [v for s, v in runs.items() if "kind = 'it''s' AND" in s and "GROUP BY" in s] == [[("it's", 17)]]
+    # no more than one easy item: the batch keeps to the required mix
+    batch = items.where("category NOT IN ('filter', 'distinct_count')")
+    assert {r["table"]: r["passed"] for r in it.distribution_check(batch, ["table"]).collect()}["two_t"]
