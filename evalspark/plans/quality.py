@@ -12,6 +12,7 @@ from ..operators import items as it
 from ..operators import match as m
 from ..operators import profile as pf
 from ..operators import validate as va
+from ..session import materialize
 from ..sources import history as hist
 from .common import table, tables, view, with_views
 from .registry import big, query, r6
@@ -247,9 +248,9 @@ def distribution(spark, d):
 
 @query("v1_execute_and_capture")
 def execute(spark, d):
-    for name in ("customer", "nation", "orders"):
-        table(spark, d, name).createOrReplaceTempView(name)
-    made = customer_items(spark, d).select(F.sha2("expected_sql", 256).alias("question_id"), "expected_sql").distinct()
+    for name, df in tables(spark, d).items():
+        df.createOrReplaceTempView(name)
+    made = materialize(every_item(spark, d).select(F.sha2("expected_sql", 256).alias("question_id"), "expected_sql").distinct(), "statements")
     got = va.execute_items(made, "question_id")
     return got.join(made, "question_id")
 

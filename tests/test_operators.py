@@ -246,3 +246,27 @@ def test_profiled_items_cover_all_categories(spark):
     # no more than one easy item: the batch keeps to the required mix
     batch = items.where("category NOT IN ('filter', 'distinct_count')")
     assert {r["table"]: r["passed"] for r in it.distribution_check(batch, ["table"]).collect()}["two_t"]
+
+
+def test_execute_runs_the_items_of_every_table(spark, monkeypatch):
+    from evalspark.plans import quality
+
+    asked = []
+    monkeypatch.setattr(quality.va, "execute_items", lambda made, key: asked.append(made) or made.select(key))
+    quality.execute(spark, "/root/testdata/sf0.001")
+    statements = [r["expected_sql"] for r in asked[0].collect()]
+    assert len(statements) == len(set(statements)) == quality.every_item(spark, "/root/testdata/sf0.001").count()
+    for column in ("r_name", "c_mktsegment", "o_orderstatus", "l_shipdate", "event_type", "toxic", "role"):
+        assert any(column in s for s in statements)
+    for s in statements:
+        spark.sql(s)
+
+
+def test_no_result_of_an_item_passes_the_driver(spark, monkeypatch):
+    """Only errors, here none, are made into rows by the driver."""
+    made = []
+    create = type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: made.extend(data) or create(self, data, *a, **k))
+    items = spark.range(1).selectExpr("'k' AS question_id", "'SELECT 1 AS a UNION ALL SELECT 2' AS expected_sql")
+    got = [r.asDict() for r in va.execute_items(items, "question_id").collect()]
+    assert made == [] and got[0]["n_result_rows"] == 2 and got[0]["expected_rows_json"] == '[["1"],["2"]]'
