@@ -343,7 +343,8 @@ def context_document(
     ``spaces`` is ``(by…, title, description, instructions, n_tables)``.
     Curated examples appear only where there are several tables, inferred join
     columns only where none is declared, single-table guidance only where
-    there is one table.  Blocks are capped per space before they are joined.
+    there is one table.  Only the curated and history blocks are capped per space;
+    foreign keys and shared names are joined whole.
     """
     doc = spaces
     for block, df in (
