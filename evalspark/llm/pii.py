@@ -132,6 +132,21 @@ def _touching(found: DataFrame, spans: DataFrame) -> DataFrame:
     return both.filter("_span = 0").select("rid", "lo", "hi", *extra, hit.alias("hit"))
 
 
+def _apart(chosen: DataFrame) -> DataFrame:
+    """rid, kind, lo and hi of the candidates (rid, as_kind, lo, hi, by) that overlap no kept one, the first and longest first."""
+    order = Window.partitionBy("rid").orderBy("lo", F.desc("hi"), "by", "as_kind")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # islands of overlapping candidates are settled one by one: a candidate is kept if it begins where the last kept one has ended
+    marked = chosen.withColumn("_new", (F.coalesce(reach, F.col("lo")) <= F.col("lo")).cast("int"))
+    marked = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    span = F.struct("lo", (-F.col("hi")).alias("end"), "by", "as_kind")
+    islands = marked.groupBy("rid", "_island").agg(F.array_sort(F.collect_list(span)).alias("all"))
+    start = F.struct(F.col("all")[0]["lo"].alias("end"), F.slice("all", 1, 0).alias("kept"))
+    keep = lambda s, x: F.when(x["lo"] >= s["end"], F.struct((-x["end"]).alias("end"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s)
+    kept = islands.select("rid", F.explode(F.aggregate("all", start, keep)["kept"]).alias("x"))
+    return kept.select("rid", F.col("x.as_kind").alias("kind"), F.col("x.lo").alias("lo"), (-F.col("x.end")).alias("hi"))
+
+
 class Trees:
     """Boosted trees for the log-odds of counted examples."""
 
@@ -218,10 +233,8 @@ def find(docs: DataFrame) -> DataFrame:
     whole = (F.col("x0") >= 3) | ((F.col("x3") == 1) & (F.col("x2") >= 1))
     if trees is not None and threshold < math.inf:
         chosen = candidates.filter(~F.col("hit") & whole).filter(trees.score() >= threshold)
-        before = Window.partitionBy("rid").orderBy("lo", F.desc("hi"), "kind").rowsBetween(Window.unboundedPreceding, -1)
-        chosen = chosen.withColumn("_end", F.coalesce(F.max("hi").over(before), F.lit(0))).filter("_end <= lo")
         kind = F.when(F.col("x3") == 1, "email").when((F.col("x2") == 3) & (F.col("x5") == 0), "ip").when(F.col("x0") == 5, "card").otherwise("phone")
-        added = chosen.select("rid", kind.alias("kind"), "lo", "hi", F.lit(False).alias("is_base"))
+        added = _apart(chosen.select("rid", kind.alias("as_kind"), "lo", "hi", F.col("kind").alias("by"))).withColumn("is_base", F.lit(False))
     every = base.withColumn("is_base", F.lit(True))
     every = every if added is None else every.unionByName(added)
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))

@@ -307,3 +307,10 @@ def test_decoding_refuses_other_rules(spark, tmp_path):
     t.save(str(tmp_path / "t.json"))
     with pytest.raises(ValueError):
         bpe.decode(spark.createDataFrame([(1, bytearray(b""))], "doc_id long, ids binary"), str(tmp_path / "t.json"))
+
+
+def test_dropped_candidates_cover_nothing(spark):
+    spans = [(1, 0, 10), (1, 8, 20), (1, 18, 30), (1, 30, 35), (1, 28, 40), (2, 5, 9), (2, 5, 12), (2, 11, 15), (2, 12, 14)]
+    rows = spark.createDataFrame([(r, "phone", lo, hi, "groups") for r, lo, hi in spans], "rid long, as_kind string, lo long, hi long, by string")
+    # of a chain the third is kept, as nothing kept covers it
+    assert sorted(tuple(x) for x in pii._apart(rows).select("rid", "lo", "hi").collect()) == [(1, 0, 10), (1, 18, 30), (1, 30, 35), (2, 5, 12), (2, 12, 14)]
