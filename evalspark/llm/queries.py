@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evalspark.llm import bpe, fmindex, language, linededup, maxent, pii, resync, rules, simhash, weak
+from evalspark.llm import bpe, fmindex, language, linededup, maxent, merkle, pii, resync, rules, simhash, weak
 from evalspark.llm.frames import documents, held_out, materialize
 
 #: The tokenizer of operators 5 and 6.
@@ -130,3 +130,68 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(documents(spark, sf_dir), held_out(7))
+
+
+def _tree_sql(name: str, group: str, n_levels: int = 8) -> str:
+    """Levels of a tree over {name}0 (group, i, h), with the siblings before and after each node; a lone node stays as it is."""
+    g, ctes = (f"{group}, " if group else ""), []
+    for k in range(n_levels):
+        total = f"count(*) OVER ({f'PARTITION BY {group}' if group else ''})"
+        run = f"OVER (PARTITION BY {g}i // 8 ORDER BY i ROWS BETWEEN"
+        ctes.append(f"""{name}s{k} AS (SELECT {g}i, h, {total} AS n,
+  CASE WHEN {total} > 1 THEN coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS b,
+  CASE WHEN {total} > 1 THEN coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS a FROM {name}{k})""")
+        ctes.append(f"""{name}{k + 1} AS (SELECT {g}i // 8 AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h
+  FROM {name}s{k} GROUP BY {g}i // 8)""")
+    return ",\n".join(ctes)
+
+
+def _fold_sql(n_levels: int = 8) -> str:
+    """Rows r0 (doc, g, i, gi, fold, proof) led through the trees of languages and of subroots."""
+    ctes, k = [], 0
+    for tree, key in (("t", "t.g = r.g AND t.i = r.i"), ("u", "t.i = r.gi")):
+        for level in range(n_levels):
+            up = "r.i // 8 AS i, r.gi" if tree == "t" else "r.i, r.gi // 8 AS gi"
+            ctes.append(f"""r{k + 1} AS (SELECT r.doc, r.g, {up}, CASE WHEN t.n > 1 THEN sha256(t.b || r.fold || t.a) ELSE r.fold END AS fold, r.proof || t.b || t.a AS proof
+  FROM r{k} r JOIN {tree}s{level} t ON {key})""")
+            k += 1
+    return ",\n".join(ctes)
+
+
+_SIZED = "coalesce(strlen({0}) || ':' || {0}, '-')"
+_LEAF_SQL = "sha256({})".format(" || ".join(_SIZED.format(c) for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "{text}")))
+_MERKLE_SQL = f"""
+WITH RECURSIVE bits AS (
+  SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) r(i) UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+),
+steps AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+hashed AS (
+  SELECT row_number() OVER () AS doc, doc_id, lang, {_LEAF_SQL.format(text="text")} AS leaf,
+    CASE WHEN doc_id IS NULL OR xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+      lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) % 3 = 0
+    THEN {_LEAF_SQL.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS version
+  FROM documents, steps
+),
+langs AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM (SELECT DISTINCT lang FROM documents)),
+leaves AS (
+  SELECT h.*, l.g, row_number() OVER (PARTITION BY l.g ORDER BY doc_id NULLS FIRST, leaf, version NULLS FIRST) - 1 AS i
+  FROM hashed h JOIN langs l ON h.lang IS NOT DISTINCT FROM l.lang
+),
+t0 AS (SELECT g, i, leaf AS h FROM leaves),
+{_tree_sql("t", "g")},
+u0 AS (SELECT g AS i, h FROM t8),
+{_tree_sql("u", "")},
+r0 AS (SELECT doc, g, i, g AS gi, coalesce(version, leaf) AS fold, '' AS proof FROM leaves),
+{_fold_sql()}
+SELECT l.doc_id, l.leaf, s.h AS subroot, u8.h AS root, sha256(r16.proof) AS proof_sha256, r16.fold AS folded_root, r16.fold = u8.h AS verified
+FROM leaves l JOIN r16 ON r16.doc = l.doc JOIN t8 s ON s.g = l.g JOIN u8 ON TRUE
+"""
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.manifest(documents(spark, sf_dir))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+query(op13_merkle_manifest, _MERKLE_SQL)

@@ -1,0 +1,30 @@
+"""Exact positions in a sorted table of any size."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from evalspark.llm.frames import materialize
+
+#: monotonically_increasing_id keeps the partition above these bits.
+_PART = 33
+
+
+def ranked(rows: DataFrame, by: list[str], order: list[Column | str], label: str) -> DataFrame:
+    """``rows`` with ``at`` (a unique id in the order of ``by``, then ``order``) and ``rank`` (from 0 within ``by``).
+
+    The table is sorted over the cluster and written once.  Each partition's
+    rows of a group keep their order, so a rank is the place in the partition
+    plus what earlier partitions hold of the group: one number for each group
+    and partition, no group is gathered.  Nulls of ``by`` are a group.
+    """
+    sorted_rows = materialize(rows.orderBy(*by, *order).withColumn("at", F.monotonically_increasing_id()), label)
+    part = F.shiftright("at", _PART)
+    runs = sorted_rows.groupBy(*by, part.alias("_part")).agg(F.min("at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")
+    runs = runs.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_part", shift)
+    same = part == F.col("_part")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return sorted_rows.join(runs, same).select(*sorted_rows.columns, (F.col("at") + F.col("_shift")).alias("rank"))
