@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evalspark.llm import bpe, fmindex, language, linededup, maxent, merkle, pii, resync, rules, simhash, weak
+from evalspark.llm import bpe, collocations, fmindex, gridjoin, language, linededup, maxent, merkle, pii, resync, rules, simhash, weak
 from evalspark.llm.frames import documents, held_out, materialize
 
 #: The tokenizer of operators 5 and 6.
@@ -195,3 +195,62 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query(op13_merkle_manifest, _MERKLE_SQL)
+
+
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
+query(op11_phrase_collocations, f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+sums AS (SELECT lang, count(*) AS n FROM places GROUP BY lang),
+f AS (
+  SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase, count(*) AS f
+  FROM places, range(1, 4) r(m) WHERE i + m - 1 <= len(w) GROUP BY 1, 2, 3 HAVING count(*) >= {collocations.MIN_COUNT}
+),
+parts AS (
+  SELECT c.lang, c.m, c.phrase, c.f AS a, k, string_split(c.phrase, ' ') AS w
+  FROM f c, range(1, 3) r(k) WHERE k < c.m
+),
+cuts AS (
+  SELECT p.lang, p.m, p.phrase, p.a, k, l.f AS l, r.f AS r, ((1000000::HUGEINT * p.a * p.a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM parts p JOIN f l ON l.lang = p.lang AND l.phrase = array_to_string(p.w[1:k], ' ') JOIN f r ON r.lang = p.lang AND r.phrase = array_to_string(p.w[k + 1 :], ' ')
+),
+least AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM cuts) WHERE nth = 1),
+around AS (
+  SELECT lang, array_to_string(w[i : i + 1], ' ') AS phrase, max(a) AS ext
+  FROM (SELECT DISTINCT lang, a, w FROM parts WHERE m = 3), range(1, 3) r(i) GROUP BY 1, 2
+),
+kept AS (SELECT c.* FROM least c LEFT JOIN around x ON x.lang = c.lang AND x.phrase = c.phrase WHERE x.ext IS NULL OR 100 * x.ext < {collocations.COVERED} * c.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT k.*, s.n, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept k JOIN sums s ON s.lang = k.lang
+) WHERE rank <= {collocations.TOP}
+""")
+
+
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gridjoin.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+query(op12_embedding_near_dedup, f"""
+WITH RECURSIVE fine AS (
+  SELECT row_number() OVER () AS k, vec_id, label, embedding::DOUBLE[] AS v,
+    label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok
+  FROM embeddings
+),
+links AS (
+  SELECT a.k, b.k AS other, b.vec_id FROM fine a JOIN fine b ON a.label = b.label AND len(a.v) = len(b.v) AND a.k <> b.k AND a.ok AND b.ok
+  WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= {gridjoin.THRESHOLD}
+),
+reach AS (SELECT k, k AS other FROM fine UNION SELECT r.k, l.other FROM reach r JOIN links l ON l.k = r.other),
+roots AS (SELECT r.k, min(f.vec_id) AS component_id FROM reach r JOIN fine f ON f.k = r.other GROUP BY 1),
+sums AS (SELECT k, count(*) AS n FROM links GROUP BY 1)
+SELECT f.vec_id, coalesce(s.n, 0) AS n_links, r.component_id, f.vec_id IS NOT DISTINCT FROM r.component_id AS kept
+FROM fine f JOIN roots r ON r.k = f.k LEFT JOIN sums s ON s.k = f.k
+""")
