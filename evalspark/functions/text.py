@@ -129,40 +129,61 @@ def sql_identifiers(sql) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(r"([a-z_][a-z0-9_]*)"), F.lit(1)))
 
 
-_PIECES = rf"(\b(?:{'|'.join(NUMERIC_AGGREGATES)})\s*+\(|[()]|\b[A-Z_][A-Z0-9_]*+)"
+_PIECES = rf"(\b(?:{'|'.join(NUMERIC_AGGREGATES)})\s*+\(|[()]|\b[A-Z_][A-Z0-9_]*+(?:\.[A-Z_][A-Z0-9_]*+)*+)"
+# words that end a table's name and alias in FROM and JOIN
+_NO_ALIAS = "(?!(?:AS|ON|USING|WHERE|GROUP|ORDER|HAVING|LIMIT|UNION|EXCEPT|INTERSECT|MINUS|JOIN|INNER|LEFT|RIGHT|FULL|CROSS|SEMI|ANTI|NATURAL|LATERAL|PIVOT|UNPIVOT|TABLESAMPLE|WINDOW|QUALIFY|SELECT)\\b)"
+_TABLE = rf"[A-Z_][A-Z0-9_]*+(?:\.[A-Z_][A-Z0-9_]*+)*+(?:\s++(?:AS\s++)?{_NO_ALIAS}[A-Z_][A-Z0-9_]*+)?"
+_TABLES = rf"\b(?:FROM|JOIN)\s++({_TABLE}(?:\s*+,\s*+{_TABLE})*+)"
+
+
+def table_scopes(sql) -> Column:
+    """The tables that the statement names after FROM and JOIN, subqueries' too: structs (table, alias) in lower case, the table without what qualifies it.
+
+    A table without an alias goes by its name.
+    """
+    bare = F.regexp_replace(F.regexp_replace(mask_literals(sql), r"--[^\n]*+|/\*[^*]*+(?:\*(?!/)[^*]*+)*+\*/", " "), r"[`\"]", "")
+    lists = F.regexp_extract_all(F.upper(bare), F.lit(_TABLES), F.lit(1))
+    words = F.transform(F.flatten(F.transform(lists, lambda x: F.split(x, r"\s*,\s*"))), lambda x: F.split(F.lower(F.btrim(x)), r"\s+"))
+
+    def scope(w: Column) -> Column:
+        name = F.element_at(F.split(F.get(w, F.lit(0)), r"\."), -1)
+        return F.struct(name.alias("table"), F.when(F.size(w) > 1, F.element_at(w, -1)).otherwise(name).alias("alias"))
+
+    return F.array_distinct(F.transform(words, scope))
 
 
 def numeric_aggregate_identifiers(sql) -> Column:
-    """Distinct lower-case words inside the arguments of numeric aggregates, nested as deep as they may be.
+    """Distinct lower-case names inside the arguments of numeric aggregates, with what qualifies them, nested as deep as they may be.
 
     One pass over brackets and words: words count from the outermost aggregate's
     bracket to the one that closes it; an argument that is never closed is none.
     """
     bare = F.upper(F.regexp_replace(mask_literals(sql), r"'\?'", " "))
-    none = F.array().cast("array<string>")
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("since"), none.alias("inside"), none.alias("found"))
+    pieces = F.regexp_extract_all(bare, F.lit(_PIECES), F.lit(1))
+    # the fold keeps places only, and one entry for each outermost aggregate
+    spans = F.array().cast("array<struct<lo:int,n:int>>")
+    start = F.struct(*[F.lit(0).alias(f) for f in ("depth", "since", "at", "lo")], spans.alias("found"))
 
     def state(a, **new) -> Column:
-        return F.struct(*[(new[f] if f in new else a[f]).alias(f) for f in ("depth", "since", "inside", "found")])
-
-    def add(words: Column, word: Column) -> Column:
-        return F.when(F.array_contains(words, word), words).otherwise(F.array_append(words, word))
+        return F.struct(*[(new[f] if f in new else a[f]).alias(f) for f in ("depth", "since", "at", "lo", "found")])
 
     def step(a: Column, t: Column) -> Column:
-        deeper, word = a["depth"] + 1, F.regexp_replace(t, r"\s*+\($", "")
+        deeper, at = a["depth"] + 1, a["at"] + 1
         closes = (a["since"] > 0) & (a["since"] == a["depth"])
+        span = F.struct(a["lo"].alias("lo"), (at - a["lo"]).alias("n"))
         return (
-            F.when(t == "(", state(a, depth=deeper))
-            .when((t == ")") & closes, state(a, depth=a["depth"] - 1, since=F.lit(0), inside=none, found=F.array_union(a["found"], a["inside"])))
-            .when(t == ")", state(a, depth=F.greatest(a["depth"] - 1, F.lit(0))))
-            .when(t.endswith("(") & (a["since"] == 0), state(a, depth=deeper, since=deeper))
-            .when(t.endswith("("), state(a, depth=deeper, inside=add(a["inside"], word)))
-            .when(a["since"] > 0, state(a, inside=add(a["inside"], t)))
-            .otherwise(a)
+            F.when(t == "(", state(a, at=at, depth=deeper))
+            .when((t == ")") & closes, state(a, at=at, depth=a["depth"] - 1, since=F.lit(0), found=F.array_append(a["found"], span)))
+            .when(t == ")", state(a, at=at, depth=F.greatest(a["depth"] - 1, F.lit(0))))
+            .when(t.endswith("(") & (a["since"] == 0), state(a, at=at, depth=deeper, since=deeper, lo=at + 1))
+            .when(t.endswith("("), state(a, at=at, depth=deeper))
+            .otherwise(state(a, at=at))
         )
 
-    pieces = F.regexp_extract_all(bare, F.lit(_PIECES), F.lit(1))
-    return F.transform(F.aggregate(pieces, start, step, lambda a: a["found"]), F.lower)
+    found = F.aggregate(pieces, start, step, lambda a: a["found"])
+    inside = F.flatten(F.transform(found, lambda s: F.slice(pieces, s["lo"], s["n"])))
+    names = F.filter(inside, lambda t: ~t.isin("(", ")"))
+    return F.array_distinct(F.transform(names, lambda t: F.lower(F.regexp_replace(t, r"\s*+\($", ""))))
 
 
 def quoted_literals(c) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cells import canon_rows
+from ..functions.frames import ranked
 from ..functions.text import col_of
 from .match import rows_match
 
@@ -169,7 +170,7 @@ def gate_metrics(gated: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def review_queue(gated: DataFrame, tie_break: str = "question_id") -> DataFrame:
-    """Quarantined items, those without a single match first."""
-    return gated.where(F.col("verify_tier") == "quarantine").orderBy(
-        (F.col("difficulty_empirical") == "suspect").desc(), F.col("verify_agreement").asc_nulls_first(), tie_break
-    )
+    """Quarantined items with their ``place`` (from 1), those without a single match first, then the least agreed on."""
+    order = [(F.col("difficulty_empirical") == "suspect").desc(), F.col("verify_agreement").asc_nulls_first(), F.col(tie_break).asc()]
+    queue = ranked(gated.where(F.col("verify_tier") == "quarantine"), [], order, "review-queue")
+    return queue.withColumn("place", F.col("rank") + 1).drop("at", "rank")

@@ -17,6 +17,7 @@ from ..functions.text import (
     sql_skeleton,
     strip,
     structural_difficulty,
+    table_scopes,
 )
 
 # --- fixed values -----------------------------------------------------------
@@ -160,32 +161,44 @@ def drop_counts(items: DataFrame, by: list[str] | None = None, catalog: DataFram
     return marked.groupBy(*(by or [])).agg(*counts)
 
 
-def text_columns(catalog: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """``(by…, text_columns)``: lower-case names of the string and boolean columns of each group.
-
-    A name met in several tables has the type of the first one.  The list is
-    bounded by the width of the group's schema.
-    """
-    by = list(by or [])
-    typed = (
-        catalog.groupBy(*by, F.lower("column").alias("c"))
-        .agg(F.min_by(F.lower("type"), F.struct("table", "position")).alias("t"))
-        .where(F.col("t").contains("string") | F.col("t").contains("boolean"))
+def table_types(catalog: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``(by…, _table, _text, _other)``: lower-case names of the text and boolean columns of each table, and of its others."""
+    kind = F.lower("type")
+    text = kind.contains("string") | kind.contains("boolean")
+    name = F.lower("column")
+    return catalog.groupBy(*(by or []), F.element_at(F.split(F.lower("table"), r"\."), -1).alias("_table")).agg(
+        F.collect_set(F.when(text, name)).alias("_text"), F.collect_set(F.when(~text, name)).alias("_other")
     )
-    return typed.groupBy(*by).agg(F.collect_set("c").alias("text_columns"))
 
 
 def typed_aggregate_violations(items: DataFrame, catalog: DataFrame, by: list[str] | None = None, sql: str = "expected_sql") -> DataFrame:
     """Adds ``bad_columns``: text or boolean columns inside a numeric aggregate of the SQL.
 
-    The text columns of a group arrive as one array and the test is row-wise.
-    With one catalog for all items they are a scalar subquery: no join.
+    A name is looked up in the tables that its statement names, a qualified one
+    in the table of that name or alias alone; one that a table of the statement
+    has as a number is no text.  Each distinct statement meets the types of its
+    own tables by an equality join, so no statement carries the whole catalog.
     """
-    packed = text_columns(catalog, by)
-    typed = items.join(packed, by, "left") if by else items.withColumn("text_columns", packed.scalar())
-    none = F.array().cast("array<string>")
-    found = F.array_intersect(numeric_aggregate_identifiers(sql), F.coalesce("text_columns", none))
-    return typed.withColumn("bad_columns", F.array_sort(found)).drop("text_columns")
+    by = list(by or [])
+    key = F.sha2(F.coalesce(F.col(sql), F.lit("")), 256).alias("_sid")
+    statements = items.select(*by, key, F.col(sql).alias("_sql")).distinct()
+    scopes = statements.select(*by, "_sid", numeric_aggregate_identifiers("_sql").alias("_names"), F.explode(table_scopes("_sql")).alias("_s"))
+    scopes = scopes.where(F.size("_names") > 0).withColumn("_table", F.col("_s.table"))
+    met = scopes.join(table_types(catalog, by), [*by, "_table"])
+    # as many entries as the statement has tables
+    met = met.groupBy(*by, "_sid").agg(F.first("_names").alias("_names"), F.collect_list(F.struct("_table", "_s.alias", "_text", "_other")).alias("_scope"))
+
+    def bad(name: Column) -> Column:
+        parts = F.split(name, r"\.")
+        column, owner = F.element_at(parts, -1), F.when(F.size(parts) > 1, F.element_at(parts, -2))
+        own = F.filter("_scope", lambda s: owner.isNull() | (owner == s["alias"]) | (owner == s["_table"]))
+        has = lambda f: F.exists(own, lambda s: F.array_contains(s[f], column))
+        return has("_text") & ~has("_other")
+
+    last = F.transform(F.filter("_names", bad), lambda n: F.element_at(F.split(n, r"\."), -1))
+    found = met.select(*by, "_sid", F.array_sort(F.array_distinct(last)).alias("bad_columns"))
+    marked = items.withColumn("_sid", key).join(found, [*by, "_sid"], "left").drop("_sid")
+    return marked.select(*items.columns, F.coalesce("bad_columns", F.array().cast("array<string>")).alias("bad_columns"))
 
 
 def drop_typed_violations(items: DataFrame, catalog: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -1,17 +1,23 @@
 """Exact nearest-neighbour and near-pair search over unit vectors.
 
-The plan, after the pivot-based distance joins of the MapReduce literature:
-
-1. a bounded sample of source vectors serves as pivots; every source vector
-   falls into the cell of its nearest pivot, and per cell only the count and
-   radius are kept;
-2. the triangle inequality on angles tells, per target, which cells can hold
-   an answer; all others are skipped, exactly;
-3. cells are cut into blocks of bounded size and the targets bound for a cell
-   into shards of bounded size, so a cell holding a third of all vectors
-   becomes many equal tasks;
-4. each (block, shard) task is one matrix product that emits one row per
-   target, never a pair list.
+The plan, after the ball trees and pivot-based joins of the literature:
+
+1. the sources of a group are cut into cells level by level: an oversize cell
+   gets pivots of its own, every vector goes to the nearest; a round of jobs
+   cuts all oversize cells at once, until each fits a block of bounded size;
+2. a target goes down the tree.  It first looks into its home leaf, the nearest
+   at every level, which bounds how far an answer can be; then the triangle
+   inequality on angles tells at each cell whether it can hold an answer, and
+   all others are skipped, exactly;
+3. the targets bound for a leaf are cut into shards of bounded size, so a leaf
+   that a third of all targets look into becomes many equal tasks; a source is
+   copied once for each shard of its own leaf, not once for each shard of all
+   targets (``search_cost`` reports how often);
+4. each (leaf block, target shard) task is one matrix product that emits one
+   row per target, never a pair list.
+
+Cells that pivots cannot cut, equal vectors above all, are cut into blocks by a
+hash of their ids.
 """
 
 from __future__ import annotations
@@ -21,19 +27,19 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from ..functions.frames import attach
 from ..session import materialize
 
-PIVOTS = 64  # bound on what is collected and shipped with the tasks
-PIVOT_STEP = 16  # pivots are the root of the largest group over this
-BLOCK_FLOATS = 2**22  # bound on the floats of a source block
-SHARD_ROWS = 4096
+FANOUT = 16  # pivots of a cell
+LEVELS = 12  # of the tree at most; 16 ** 12 leaves
+BLOCK_FLOATS = 2**20  # bound on the floats of a source block, and of a target shard
 PRODUCT_CELLS = 2**22  # bound on the cells of one matrix product
 FIRST_ROWS = 20_000  # of a group's first prefix, about
 ANGLE_SLACK = 2e-3  # radians; covers rounding of 32-bit vectors in every bound
+_ROOT = 1
 
 
 def unit_vector(vec: str = "embedding") -> Column:
@@ -60,114 +66,164 @@ def _products(targets, sources: np.ndarray):
         yield rows, mine[rows] @ sources.T
 
 
-def choose_pivots(sources: DataFrame, by: list[str]) -> np.ndarray:
-    """Source vectors picked by a hash of their id: the more, the larger the largest group is, up to 64."""
-    largest = sources.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    count = min(PIVOTS, 1 + math.isqrt(largest) // PIVOT_STEP)
-    ids = [r["id"] for r in sources.select("id").orderBy(F.xxhash64("id"), "id").limit(count).collect()]
-    rows = sources.where(F.col("id").isin(ids)).select("v").limit(count).collect()
-    return np.array([r["v"] for r in rows], dtype=np.float64)
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
 
 
-def _angles(batch: pa.RecordBatch, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(_matrix(batch.column("v")) @ pivots.T, -1.0, 1.0))
+class Tree:
+    """Sources placed in leaves: ``placed`` has ``node``, their leaf; ``levels`` the cells of each level with their pivots."""
 
+    def __init__(self, placed: DataFrame, levels: list[DataFrame], rows: int):
+        self.placed, self.levels, self.rows = placed, levels, rows
 
-def _with_angles(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Adds ``_a``: the angle to every pivot."""
 
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                a = _angles(b, pivots).astype(np.float32)
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns, pa.array(list(a), pa.list_(pa.float32()))], [*b.schema.names, "_a"]
-                )
+def _by_cell(batch: pa.RecordBatch, by: list[str]):
+    """Places of the batch's rows by group and node."""
+    groups: dict[tuple, list[int]] = {}
+    for i, k in enumerate(zip(*[batch.column(c).to_pylist() for c in (*by, "node")])):
+        groups.setdefault(k, []).append(i)
+    return groups.items()
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("_a", ArrayType(FloatType()))]))
 
+def _assign(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with ``_pivots`` to the cell of their nearest pivot; ``angle`` is how far that is."""
+    kept, fanout = [c for c in rows.columns if c not in ("_pivots", "node", "angle")], FANOUT
 
-def _with_home(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Adds ``cell``, the nearest pivot, and ``angle``, the angle to it."""
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = _matrix(b.column("v"))
+            cell, angle = np.zeros(len(v), np.int64), np.zeros(len(v))
+            for (*_, node), mine in _by_cell(b, by):
+                a = _angles(v[mine], _matrix(b.column("_pivots")[mine[0]].values.field("v")))
+                best = a.argmin(axis=1)
+                cell[mine], angle[mine] = node * fanout + best, a[np.arange(len(best)), best]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(cell), pa.array(angle)], [*kept, "node", "angle"])
+
+    fields = [rows.schema[c] for c in kept] + [StructField("node", LongType()), StructField("angle", DoubleType())]
+    return rows.mapInArrow(run, StructType(fields))
+
+
+def build_tree(sources: DataFrame, by: list[str]) -> Tree | None:
+    """Cells of cells until each holds a block at most; None without sources."""
+    some = sources.select("v").first()
+    if some is None:
+        return None
+    block = max(1, BLOCK_FLOATS // max(1, len(some["v"])))
+    placed = sources.withColumn("node", F.lit(_ROOT).cast("bigint")).withColumn("angle", F.lit(math.pi))
+    levels: list[DataFrame] = []
+    key = [*by, "node"]
+    while len(levels) < LEVELS:
+        sizes = placed.groupBy(*key).agg(F.count("*").alias("n"), F.max("angle").alias("far"))
+        # a cell of one direction cannot be cut
+        big = materialize(sizes.where((F.col("n") > block) & (F.col("far") > ANGLE_SLACK)).select(*key), "oversize")
+        if big.isEmpty():
+            break
+        own = placed.join(big, key, "left_semi")
+        nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("id", F.lit(len(levels))), "id"))
+        picked = own.select(*key, "id", "v", nth.alias("_nth")).where(F.col("_nth") <= FANOUT)
+        # FANOUT entries at most
+        pivots = materialize(picked.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_nth", "id", "v"))).alias("_pivots")), "pivots")
+        moved = materialize(_assign(own.join(pivots, key), by), f"level-{len(levels)}")
+        placed = placed.join(big, key, "left_anti").unionByName(moved)
+        parent = F.expr(f"node div {FANOUT}")
+        cells = moved.groupBy(*key).agg(F.count("*").alias("n"), F.max("angle").alias("far"))
+        names = pivots.withColumnRenamed("node", "_up").select(*by, "_up", F.posexplode("_pivots").alias("_i", "_p"))
+        names = names.select(*by, (F.col("_up") * FANOUT + F.col("_i")).alias("node"), F.col("_p.id").alias("pivot"), F.col("_p.v").alias("v"))
+        cells = cells.join(names, key).select(*by, parent.alias("node"), F.struct(F.col("node").alias("cell"), "pivot", "v", "n", "far").alias("_c"))
+        levels.append(materialize(cells.groupBy(*key).agg(F.array_sort(F.collect_list("_c")).alias("_cells")), f"cells-{len(levels)}"))
+    return Tree(placed.drop("angle"), levels, block)
+
+
+def _step(rows: DataFrame, by: list[str], how: str, skip_self: bool) -> DataFrame:
+    """Targets with ``_cells``, one level down: ``home`` to the nearest cell, else to all cells within ``bound``.
+
+    On the way to the ``nearest`` source the bound shrinks, as a pivot is a
+    source itself; of all ``near`` ones it stays.
+    """
+    kept = [c for c in rows.columns if c not in ("_cells", "node", "bound")]
 
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                a = _angles(b, pivots)
-                cell = a.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns, pa.array(cell, pa.int32()), pa.array(a[np.arange(len(cell)), cell], pa.float32())],
-                    [*b.schema.names, "cell", "angle"],
-                )
+            if not b.num_rows:
+                continue
+            v, ids = _matrix(b.column("v")), b.column("id").to_numpy()
+            bound = b.column("bound").to_numpy(zero_copy_only=False).copy()
+            out: list = [None] * len(ids)
+            for _, mine in _by_cell(b, by):
+                cells = b.column("_cells")[mine[0]].values
+                names, far = cells.field("cell").to_numpy(), cells.field("far").to_numpy()
+                a = _angles(v[mine], _matrix(cells.field("v")))
+                if how != "near":
+                    own = cells.field("pivot").to_numpy()[None, :] == ids[mine, None]
+                    other = np.where(own & skip_self, np.inf, a)
+                    bound[mine] = np.minimum(bound[mine], other.min(axis=1) + ANGLE_SLACK)
+                reach = a == a.min(axis=1, keepdims=True) if how == "home" else a - far[None, :] <= bound[mine, None] + ANGLE_SLACK
+                for i, row in zip(mine, reach):
+                    out[i] = names[row][:1].tolist() if how == "home" else names[row].tolist()
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(out, pa.list_(pa.int64())), pa.array(bound)], [*kept, "_down", "bound"])
+
+    fields = [rows.schema[c] for c in kept] + [StructField("_down", ArrayType(LongType())), StructField("bound", DoubleType())]
+    return rows.mapInArrow(run, StructType(fields)).select(*kept, F.explode("_down").alias("node"), "bound")
+
+
+def _descend(targets: DataFrame, tree: Tree, by: list[str], how: str, skip_self: bool = False) -> DataFrame:
+    """Targets (by…, id, v, bound, …) with ``node``, the leaves that they have to look into."""
+    rows, key = targets.withColumn("node", F.lit(_ROOT).cast("bigint")), [*by, "node"]
+    order = rows.columns
+    done: list[DataFrame] = []
+    for k, cells in enumerate(tree.levels):
+        # a cell that was not cut is a leaf
+        done.append(rows.join(cells.select(*key), key, "left_anti").select(*order))
+        rows = materialize(_step(rows.join(cells, key).select(*order, "_cells"), by, how, skip_self).select(*order), f"down-{k}")
+    return reduce(DataFrame.unionByName, [*done, rows])
+
+
+def _products_of(routed: DataFrame, tree: Tree, by: list[str], kernel, schema: str) -> DataFrame:
+    """``kernel`` on every (target shard, leaf block) of targets with the leaf ``node`` that they look into."""
+    plan, key = _plan(routed, tree, by), [*by, "node"]
+    slot = lambda n: F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1))).cast("int")
+    left = routed.join(plan, key).withColumn("shard", slot(F.col("shards")))
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("shards", "blocks", "n", "t")
+    right = tree.placed.join(plan, key).withColumn("block", slot(F.col("blocks")))
+    right = right.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards", "blocks", "n", "t")
+    keys = [*key, "block", "shard"]
+    right = right.toDF(*right.columns)  # both sides may come from one table
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, schema)
 
-    extra = [StructField("cell", IntegerType()), StructField("angle", FloatType())]
-    return df.mapInArrow(run, StructType([*df.schema.fields, *extra]))
 
+def _plan(routed: DataFrame, tree: Tree, by: list[str]) -> DataFrame:
+    """Per leaf that targets look into: sources ``n``, targets ``t``, and into how many blocks and shards they are cut."""
+    key = [*by, "node"]
+    cut = lambda c: F.ceil(F.col(c) / tree.rows).cast("int")
+    sizes = tree.placed.groupBy(*key).agg(F.count("*").alias("n"))
+    load = routed.groupBy(*key).agg(F.count("*").alias("t"))
+    return sizes.join(load, key).select(*key, "n", "t", cut("n").alias("blocks"), cut("t").alias("shards"))
 
-def _search(targets: DataFrame, sources: DataFrame, by: list[str], kernel, schema: str, limit_angle: float | None, skip_self: bool) -> DataFrame:
-    """Runs ``kernel`` on every (target shard, source block) that can hold an answer.
 
-    ``limit_angle`` fixes how far an answer may lie; without it each target
-    gets the bound that its nearest source cannot exceed.
-    """
-    pivots = choose_pivots(sources, by)
-    if not len(pivots):
-        return targets.sparkSession.createDataFrame([], schema)
-    block_rows = max(1, BLOCK_FLOATS // pivots.shape[1])
-    placed = _with_home(sources, pivots)
-    stats = placed.groupBy(*by, "cell").agg(
-        F.count("*").alias("n"), F.max("angle").alias("far"), F.min("angle").alias("near")
-    )
-    cell = F.struct("cell", "far", "near", "n", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
-    # one entry per pivot at most
-    packed = stats.groupBy(*by).agg(F.collect_list(cell).alias("_cells"))
-    routed = attach(_with_angles(targets, pivots), packed, by).where(F.col("_cells").isNotNull())
-
-    def at(c: Column) -> Column:
-        return F.get(F.col("_a"), c["cell"])
-
-    if limit_angle is not None:
-        bound = F.lit(float(limit_angle))
-    elif skip_self:
-        # any member but the target itself lies within the radius of a cell of two or more
-        bound = F.array_min(F.transform(F.filter("_cells", lambda c: c["n"] >= 2), lambda c: at(c) + c["far"]))
-        bound = F.coalesce(bound, F.lit(math.pi))
-    else:
-        bound = F.array_min(F.transform("_cells", lambda c: at(c) + c["near"]))
-    routed = routed.withColumn("_bound", bound + F.lit(ANGLE_SLACK))
-    reach = F.filter("_cells", lambda c: at(c) - c["far"] <= F.col("_bound"))
-    routed = materialize(
-        routed.withColumn("_reach", F.transform(reach, lambda c: F.struct(c["cell"].alias("cell"), c["blocks"].alias("blocks"))))
-        .drop("_a", "_cells", "_bound"),
-        "routed",
-    )
-    load = (
-        routed.select(*by, F.explode("_reach.cell").alias("cell")).groupBy(*by, "cell").agg(F.count("*").alias("t"))
-        .join(stats.select(*by, "cell", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")), [*by, "cell"])
-    )
-    shards = F.ceil(F.col("t") / SHARD_ROWS).cast("int")
-    plan = load.groupBy(*by).agg(
-        F.map_from_entries(F.collect_list(F.struct("cell", F.struct("blocks", shards.alias("shards"))))).alias("_plan")
-    )
-    slot = lambda n: F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1))).cast("int")
-    left = (
-        attach(routed, plan, by)
-        .withColumn("_c", F.explode("_reach"))
-        .withColumn("cell", F.col("_c.cell"))
-        .withColumn("shard", slot(F.col("_plan")[F.col("cell")]["shards"]))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_c.blocks") - 1)))
-        .drop("_plan", "_reach", "_c")
-    )
-    right = (
-        attach(placed, plan, by)
-        .withColumn("_p", F.col("_plan")[F.col("cell")])
-        .where(F.col("_p").isNotNull())
-        .withColumn("block", slot(F.col("_p.blocks")))
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("_p.shards") - 1)))
-        .drop("_plan", "_p", "angle")
+def _routed(targets: DataFrame, tree: Tree, by: list[str], limit_angle: float) -> DataFrame:
+    """Targets with every leaf that can hold a source within a fixed angle."""
+    return _descend(targets.select(*by, "id", "v", F.lit(float(limit_angle)).alias("bound")), tree, by, "near")
+
+
+def search_cost(targets: DataFrame, sources: DataFrame, by: list[str] | None = None, threshold: float = 0.92) -> DataFrame:
+    """One row on a search for near pairs: pairs compared of all pairs in groups, and how often a source is copied at most and on average."""
+    by = list(by or [])
+    limit = math.acos(max(-1.0, min(1.0, threshold)))
+    tree = build_tree(sources.select(*by, "id", "v"), by)
+    schema = "n_leaves bigint, pairs double, compared double, share_skipped double, copies_max bigint, copies_mean double"
+    if tree is None:
+        return targets.sparkSession.createDataFrame([(0, 0.0, 0.0, 0.0, 0, 0.0)], schema)
+    plan = _plan(_routed(targets, tree, by, limit), tree, by)
+    n, t = (df.groupBy(*by).agg(F.count("*").cast("double").alias(c)) for df, c in ((sources, "n_all"), (targets, "t_all")))
+    pairs = (attach(n, t, by)).agg(F.sum(F.col("n_all") * F.col("t_all")).alias("pairs"))
+    got = plan.agg(
+        F.count("*").alias("n_leaves"), F.coalesce(F.sum(F.col("n").cast("double") * F.col("t")), F.lit(0.0)).alias("compared"),
+        F.max("shards").cast("bigint").alias("copies_max"), (F.sum(F.col("n").cast("double") * F.col("shards")) / F.sum("n")).alias("copies_mean"),
     )
-    keys = [*by, "cell", "block", "shard"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, schema)
+    out = attach(got, pairs, [])
+    return out.select("n_leaves", "pairs", "compared", (1 - F.col("compared") / F.col("pairs")).alias("share_skipped"), "copies_max", "copies_mean")
 
 
 def _key_ddl(df: DataFrame, by: list[str]) -> str:
@@ -198,7 +254,23 @@ def nearest(targets: DataFrame, sources: DataFrame, by: list[str] | None = None,
 
     schema = _key_ddl(targets, by) + "id bigint, s double, r bigint"
     cols = [*by, "id", "v"]
-    found = _search(targets.select(*cols), sources.select(*cols), by, kernel, schema, None, skip_self)
+    tree = build_tree(sources.select(*cols), by)
+    if tree is None:
+        none = targets.sparkSession.createDataFrame([], _key_ddl(targets, by) + "id bigint, nn_sim double, nn_id bigint")
+        return none
+    start = targets.select(*cols, F.lit(math.pi).alias("bound"))
+    home = _descend(start, tree, by, "home", skip_self)
+    found = _products_of(home, tree, by, kernel, schema)
+    if tree.levels:
+        # the best of the home leaf bounds the rest of the search; of a leaf with copies of one vector each block gives its best
+        found = materialize(found, "home")
+        home = materialize(home.select(*by, "id", F.col("node").alias("home"), "bound"), "homes")
+        best = found.groupBy(*by, "id").agg(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.max("s")))).alias("_a"))
+        near = home.join(best, [*by, "id"], "left")
+        near = near.select(*by, "id", "home", F.least("bound", F.coalesce("_a", F.lit(math.pi)) + F.lit(ANGLE_SLACK)).alias("bound"))
+        rest = _descend(targets.select(*cols).join(near, [*by, "id"]).select(*cols, "home", "bound"), tree, by, "nearest", skip_self)
+        rest = rest.where("node <> home").drop("home")
+        found = found.unionByName(_products_of(materialize(rest, "routed"), tree, by, kernel, schema))
     best = found.groupBy(*by, "id").agg(F.max(F.struct("s", (-F.col("r")).alias("r"))).alias("b"))
     return best.select(*by, "id", F.col("b.s").alias("nn_sim"), (-F.col("b.r")).alias("nn_id"))
 
@@ -223,9 +295,11 @@ def earlier_neighbours(targets: DataFrame, sources: DataFrame, by: list[str], th
 
     schema = _key_ddl(targets, by) + "id bigint, near_kept boolean, near_open boolean"
     limit = math.acos(max(-1.0, min(1.0, threshold)))
-    found = _search(
-        targets.select(*by, "id", "v"), sources.select(*by, "id", "v", "kept"), by, kernel, schema, limit, False
-    )
+    tree = build_tree(sources.select(*by, "id", "v", "kept"), by)
+    if tree is None:
+        return targets.sparkSession.createDataFrame([], schema)
+    routed = _routed(targets, tree, by, limit)
+    found = _products_of(materialize(routed, "routed") if tree.levels else routed, tree, by, kernel, schema)
     return found.groupBy(*by, "id").agg(F.bool_or("near_kept").alias("near_kept"), F.bool_or("near_open").alias("near_open"))
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from queue import SimpleQueue
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.frames import ranked
 from ..functions.text import col_of, sql_identifiers, strip
+from ..session import scratch_path
 
 # --- fixed values -----------------------------------------------------------
 SKIP_TYPES = ("struct", "map", "array", "double", "float", "timestamp", "binary", "variant", "interval")
@@ -22,6 +27,9 @@ CURATED_CAP, HISTORY_CAP = 20, 5
 QUESTION_CUT, SQL_CUT = 200, 160
 # ----------------------------------------------------------------------------
 
+#: Rows in which a column may show that it holds too many values.
+PROBE = 1_000
+
 CATALOG_SCHEMA = "table string, position int, column string, type string, comment string"
 
 
@@ -75,16 +83,6 @@ def _ranged(schema: StructType) -> list[str]:
     return [f.name for f in schema.fields if any(s in f.dataType.simpleString() for s in RANGE_TYPES)]
 
 
-def table_counts(tables: dict[str, DataFrame | None], spark: SparkSession) -> DataFrame:
-    """Rows per table; -1 where the table could not be opened."""
-    parts = [
-        (spark.range(1).select(F.lit(-1).cast("bigint").alias("row_count")) if df is None
-         else df.agg(F.count("*").alias("row_count"))).select(F.lit(t).alias("table"), "row_count")
-        for t, df in tables.items()
-    ]
-    return reduce(DataFrame.unionAll, parts)
-
-
 def open_tables(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame | None]:
     """Parquet tables by path; an unreadable one maps to None instead of failing the run."""
     from pyspark.errors import AnalysisException
@@ -115,54 +113,123 @@ def resolve_tables(wanted: DataFrame, registered: DataFrame, profiled: DataFrame
     )
 
 
-def require_tables(resolved: DataFrame, by: list[str]) -> DataFrame:
-    """The kept tables; a group that lost every table fails the job.
+def require_tables(resolved: DataFrame, by: list[str], fail: bool = True) -> DataFrame:
+    """``(by…, table, error)``: the kept tables; a group that lost every table fails the job.
 
-    ``resolved`` is read twice, so pass it written where it is costly.
+    With ``fail`` false such a group is a row without a table that says so, and
+    the other groups go on.  ``resolved`` is read twice, so pass it written
+    where it is costly.
     """
-    left = resolved.groupBy(*by).agg(F.count_if("kept").alias("n_kept"))
-    checked = left.select(
-        *by,
-        F.when(F.col("n_kept") == 0, F.raise_error(F.lit("no readable table left")).cast("bigint"))
-        .otherwise(F.col("n_kept")).alias("n_kept"),
-    )
-    return resolved.where("kept").join(checked.where("n_kept > 0"), by).select(*by, "table")
+    none = F.lit("no readable table left")
+    lost = resolved.groupBy(*by).agg(F.count_if("kept").alias("n_kept")).where("n_kept = 0")
+    error = F.raise_error(none).cast("string") if fail else none
+    name = F.lit(None).cast(resolved.schema["table"].dataType).alias("table")
+    kept = resolved.where("kept").select(*by, "table", F.lit("").alias("error"))
+    return kept.unionByName(lost.select(*by, name, error.alias("error")))
+
+
+class _Bounded:
+    """The distinct values of some columns of one task: exact up to ``cap``, then only that there are more."""
+
+    def __init__(self, names: list[str], cap: int):
+        self.cap, self.values = cap, {c: set() for c in names}
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        for c, seen in self.values.items():
+            if len(seen) <= self.cap:
+                new = pc.unique(batch.column(c)).drop_null()
+                # any cap + 1 values show that there are more
+                seen.update(new[: len(seen) + self.cap + 1].to_pylist())
+
+    def rows(self) -> pa.RecordBatch:
+        found = [(c, v, False) for c, seen in self.values.items() if len(seen) <= self.cap for v in seen]
+        found += [(c, None, True) for c, seen in self.values.items() if len(seen) > self.cap]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found) if found else ((), (), ()), (pa.string(), pa.string(), pa.bool_()))], ["column", "value", "over"])
+
+
+def bounded_values(df: DataFrame, names: list[str], cap: int = VALUE_CAP) -> DataFrame:
+    """``(column, value)`` of the columns with 1 to ``cap`` distinct values, counted exactly in one pass.
+
+    A task holds at most ``cap`` values a column, or the fact that it has seen
+    more; it hands on that much, whatever the table holds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = _Bounded(names, cap)
+        for batch in batches:
+            kept.add(batch)
+        yield kept.rows()
+
+    texts = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in names])
+    found = texts.mapInArrow(run, "column string, value string, over boolean").distinct()
+    each = found.groupBy("column").agg(F.count("value").alias("n"), F.bool_or("over").alias("over"))
+    return found.join(each.where(f"not over and n between 1 and {cap}"), "column").select("column", "value")
+
+
+def _may_qualify(df: DataFrame, names: list[str], cap: int) -> list[str]:
+    """Columns that ``PROBE`` of their rows do not already show to hold more than ``cap`` values; what some rows hold, all do."""
+    probe = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in names]).limit(PROBE)
+    counts = probe.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(names)]).first()
+    return [c for i, c in enumerate(names) if counts[i] <= cap]
 
 
 def low_card_values(df: DataFrame, cap: int = VALUE_CAP) -> DataFrame:
-    """``(column, value)`` of every eligible column with 1 to ``cap`` distinct values.
+    """``(column, value)`` of every eligible column with 1 to ``cap`` distinct values, exactly.
 
-    Pass one sketches the distinct counts of all columns in one aggregation
-    with fixed-size buffers.  Pass two reads only the columns that may qualify
-    and takes their exact, by then bounded, value sets.  Keys and free text
-    with billions of values are never exploded or shuffled.
+    Most columns are ruled out by proof: a bounded number of rows already holds
+    more values.  The rest is read once, with at most ``cap`` values a column
+    kept by a task.  Keys and free text with billions of values are never
+    exploded, shuffled or sketched.
     """
     names = _sampled(df.schema)
-    spark = df.sparkSession
-    if not names:
-        return spark.createDataFrame([], "column string, value string")
-    sketch = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(names)]).first()
-    # sketches of small sets are near exact, so four times the cap leaves ample slack
-    few = [c for i, c in enumerate(names) if 0 < sketch[i] <= 4 * cap]
+    few = _may_qualify(df, names, cap) if names else []
     if not few:
-        return spark.createDataFrame([], "column string, value string")
-    sets = df.agg(*[F.collect_set(F.col(f"`{c}`").cast("string")).alias(f"c{i}") for i, c in enumerate(few)])
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("values")) for i, c in enumerate(few)])
-    return (
-        sets.select(F.explode(pairs).alias("p"))
-        .where(F.size("p.values").between(1, cap))
-        .select("p.column", F.explode("p.values").alias("value"))
-    )
+        return df.sparkSession.createDataFrame([], "column string, value string")
+    return bounded_values(df, few, cap)
+
+
+def _profiled(tables: Mapping[str, DataFrame], one: Callable[[DataFrame], DataFrame], schema: str, threads: int) -> DataFrame:
+    """``one`` of every table, each written as it is done to one shared table; the plan of what is returned does not grow with the tables."""
+    names = list(tables)
+    if not names:
+        raise ValueError("no table to profile")
+    spark = tables[names[0]].sparkSession
+    path = scratch_path(spark, "profiles")
+    spark.createDataFrame([], schema).write.parquet(f"{path}/none")
+    # a writer has a folder to itself, or writers would clear each other's unfinished files
+    slots: SimpleQueue = SimpleQueue()
+    for i in range(threads):
+        slots.put(i)
+
+    def write(name: str) -> None:
+        slot = slots.get()
+        try:
+            one(tables[name]).select(F.lit(name).alias("table"), "*").write.mode("append").parquet(f"{path}/{slot}")
+        finally:
+            slots.put(slot)
+
+    with ThreadPoolExecutor(threads) as pool:
+        list(pool.map(write, names))
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
 
 
 def profile_tables(tables: Mapping[str, DataFrame], cap: int = VALUE_CAP, threads: int = 8) -> DataFrame:
-    """``(table, column, value)`` over several tables; a small pool keeps their sketch jobs in flight."""
+    """``(table, column, value)`` over any number of tables; a small pool keeps a few tables in flight."""
+    return _profiled(tables, lambda df: low_card_values(df, cap), "table string, column string, value string", threads)
 
-    def one(name: str) -> DataFrame:
-        return low_card_values(tables[name], cap).select(F.lit(name).alias("table"), "column", "value")
 
-    with ThreadPoolExecutor(threads) as pool:
-        return reduce(DataFrame.unionByName, pool.map(one, list(tables)))
+def profile_ranges(tables: Mapping[str, DataFrame], threads: int = 8) -> DataFrame:
+    """``(table, column, lo, hi)`` over any number of tables."""
+    return _profiled(tables, date_ranges, "table string, column string, lo string, hi string", threads)
+
+
+def table_counts(tables: Mapping[str, DataFrame | None], spark: SparkSession, threads: int = 8) -> DataFrame:
+    """``(table, row_count)`` over any number of tables; -1 where one could not be opened."""
+    lost = spark.createDataFrame([(t, -1) for t, df in tables.items() if df is None], "table string, row_count bigint")
+    opened = {t: df for t, df in tables.items() if df is not None}
+    if not opened:
+        return lost
+    return lost.unionByName(_profiled(opened, lambda df: df.agg(F.count("*").alias("row_count")), "table string, row_count bigint", threads))
 
 
 def date_ranges(df: DataFrame) -> DataFrame:
@@ -392,6 +459,98 @@ def solver_context(profiles: DataFrame, by: list[str], instructions: DataFrame |
     )
 
 
+def _part(*keys) -> Column:
+    """A row's place in its section; numbers sort as text of one length."""
+    return F.array(*[F.lpad(k.cast("string"), 12, "0") if isinstance(k, Column) else F.col(k).cast("string") for k in keys]).alias("part")
+
+
+def _with_head(section: int, head: str, lines: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, section, part, text) of a section's lines under its head; a blank line comes before the head."""
+    heads = lines.select(*by).distinct().select(*by, F.lit(section).alias("section"), F.array().cast("array<string>").alias("part"), F.lit(f"\n{head}").alias("text"))
+    return heads.unionByName(lines.select(*by, F.lit(section).alias("section"), "part", "text"))
+
+
+def _one_line(spaces: DataFrame, by: list[str], section: int, text: Column) -> DataFrame:
+    rows = spaces.select(*by, F.lit(section).alias("section"), F.array().cast("array<string>").alias("part"), text.alias("text"))
+    return rows.where(F.col("text").isNotNull())
+
+
+def _curated_rows(curated: DataFrame, by: list[str], order: str = "pos") -> DataFrame:
+    top = first_rows(curated.select(*by, order, "text"), by, [order], CURATED_CAP).where(F.coalesce("text", F.lit("")) != "")
+    return top.select(*by, _part(F.col("_rn")), F.concat(F.lit("  - "), "text").alias("text"))
+
+
+def context_sections(
+    spaces: DataFrame,
+    by: list[str],
+    curated: DataFrame | None = None,
+    history: DataFrame | None = None,
+    fks: DataFrame | None = None,
+    shared: DataFrame | None = None,
+    extra: str = "",
+) -> DataFrame:
+    """The context document as rows ``(by…, section, part, text)``; a space with a third of all tables is many rows, no value.
+
+    Their texts, in the order of section and part and joined by line ends, are
+    what ``context_document`` joins for small spaces.
+    """
+    title, about = (F.concat(F.lit(f"{head}: "), F.coalesce(c, F.lit(""))) for head, c in (("Space title", "title"), ("Space description", "description")))
+    parts = [
+        _one_line(spaces, by, 0, title),
+        _one_line(spaces, by, 1, F.concat(F.lit("\n"), about)),
+        _one_line(spaces, by, 2, F.concat(F.lit("\n"), _section("Space instructions:\n", "instructions"))),
+        _one_line(spaces, by, 7, F.when(F.col("n_tables") == 1, F.lit(f"\n{SINGLE_TABLE_NOTE}"))),
+    ]
+    many = spaces.where("n_tables > 1").select(*by)
+    if curated is not None:
+        parts.append(_with_head(3, "CURATED QUESTIONS (style to follow, not to copy):", _curated_rows(curated, by).join(many, by, "left_semi"), by))
+    if history is not None:
+        # five lines at most
+        block = history_lines(history, by).join(spaces.select(*by), by, "left_semi").where("history_block <> ''")
+        parts.append(_with_head(4, "Questions from history (vocabulary only):", block.select(*by, F.array(F.lit("0")).alias("part"), F.col("history_block").alias("text")), by))
+    if fks is not None:
+        text = F.concat(F.lit("  - "), "from_table", F.lit("."), "fk_col", F.lit(" → "), "ref_table", F.lit("."), "ref_col").alias("text")
+        declared = fks.join(spaces.select(*by), by, "left_semi")
+        parts.append(_with_head(5, "Declared join paths:", declared.select(*by, _part("from_table", "fk_col", "ref_table", "ref_col"), text), by))
+    if shared is not None:
+        inferred = shared.join(many, by, "left_semi")
+        inferred = inferred.join(fks.select(*by).distinct(), by, "left_anti") if fks is not None else inferred
+        named = _ordered_text(inferred, [*by, "column"], ["table"], "table", "tables", ", ")
+        text = F.concat(F.lit("  - `"), "column", F.lit("` appears in: "), "tables").alias("text")
+        parts.append(_with_head(5, "Join columns inferred from shared names:", named.select(*by, _part("column"), text), by))
+    if extra:
+        parts.append(_one_line(spaces, by, 6, F.lit(f"\nExtra instructions:\n{extra}")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def solver_sections(profiles: DataFrame, by: list[str], instructions: DataFrame | None = None, curated: DataFrame | None = None) -> DataFrame:
+    """The solver's context as rows ``(by…, section, part, text)``, one for each table, for the instructions and for each curated question."""
+    block = F.concat(F.lit("TABLE "), "table", F.lit("\n"), "schema_text", F.lit("\nsample values:\n"), "column_samples")
+    # a blank line stands between tables
+    first = profiles.groupBy(*by).agg(F.min("table").alias("_first"))
+    tables = profiles.join(first, by).withColumn("text", F.when(F.col("table") == F.col("_first"), block).otherwise(F.concat(F.lit("\n"), block)))
+    parts = [tables.select(*by, F.lit(0).alias("section"), _part("table"), "text")]
+    if instructions is not None:
+        own = instructions.join(first.select(*by), by, "left_semi").where(F.coalesce("instructions", F.lit("")) != "")
+        parts.append(_one_line(own, by, 1, F.concat(F.lit("\nSPACE INSTRUCTIONS:\n"), "instructions")))
+    if curated is not None:
+        parts.append(_with_head(2, "CURATED EXAMPLE QUESTIONS:", _curated_rows(curated, by).join(first.select(*by), by, "left_semi"), by))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def document_lines(sections: DataFrame, by: list[str]) -> DataFrame:
+    """``(by…, line_no, line)`` of documents in sections, numbered from 1; the order is found by a distributed sort."""
+    lines = sections.select(*by, "section", "part", F.posexplode(F.split("text", "\n")).alias("_k", "line"))
+    numbered = ranked(lines, by, ["section", "part", "_k"], "document-lines")
+    return numbered.select(*by, (F.col("rank") + 1).alias("line_no"), "line")
+
+
+def write_documents(sections: DataFrame, by: list[str], path: str) -> None:
+    """Documents as ordered lines, a space's part files in the order of their names; whoever reads a file puts it together."""
+    lines = document_lines(sections, by)
+    lines.repartitionByRange(*by, "line_no").sortWithinPartitions(*by, "line_no").write.mode("overwrite").parquet(path)
+
+
 def schema_text(catalog: DataFrame, by: list[str]) -> DataFrame:
     """Schema lines per table in column order."""
     note = F.coalesce(F.col("comment"), F.lit(""))

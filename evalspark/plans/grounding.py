@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.cells import ROW_CAP
 from ..operators import gate, profile as pf, scorecard as sc
 from ..operators import validate as va
 from ..session import materialize, scratch_path
 from ..sources import history as hist
 from ..sources import spaces as sp
 from .common import TABLES, table, tables, view, with_views
-from .quality import every_item, star_catalog
+from .quality import every_item, star_catalog, star_views
 from .registry import ORACLES, query, r6
 
 # columns of the test tables by type, for the oracle texts
@@ -272,11 +271,10 @@ def resolution(spark, d):
     return _resolved(spark, d)
 
 
-@query("p2_required_tables", f"""WITH {_FLEET} SELECT space_id, "table" FROM resolved WHERE kept""")
+@query("p2_required_tables", f"""WITH {_FLEET} SELECT space_id, "table", '' AS error FROM resolved WHERE kept
+    UNION ALL SELECT space_id, NULL, 'no readable table left' FROM resolved GROUP BY space_id HAVING NOT BOOL_OR(kept)""")
 def required(spark, d):
-    r = materialize(_resolved(spark, d), "resolved")
-    lost = r.groupBy("space_id").agg(F.count_if("kept").alias("n")).where("n = 0")
-    return pf.require_tables(r.join(lost, "space_id", "left_anti"), ["space_id"])
+    return pf.require_tables(materialize(_resolved(spark, d), "resolved"), ["space_id"], fail=False)
 
 
 _KINDS = "['decimal(12,2)', 'array<string>', 'timestamp', 'boolean', 'map<string,int>', 'date', 'struct<a:int>']"
@@ -290,10 +288,6 @@ def eligibility(spark, d):
     return pf.column_eligibility(l)
 
 
-def _union(frames) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
 @query("p4_low_card_values", " UNION ALL ".join(
     f"""SELECT * FROM (SELECT '{t}' AS "table", '{c}' AS "column", CAST({c} AS VARCHAR) AS value FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} QUALIFY COUNT(*) OVER () <= 30) q"""
     for t, cols in _SAMPLED.items() for c in cols))
@@ -304,34 +298,95 @@ def low_card(spark, d):
 @query("p5_date_ranges", " UNION ALL ".join(
     f"""SELECT '{t}' AS "table", '{c}' AS "column", CAST(MIN({c}) AS VARCHAR) AS lo, CAST(MAX({c}) AS VARCHAR) AS hi FROM {t}""" for t, cols in _RANGED.items() for c in cols))
 def ranges(spark, d):
-    return _union([pf.date_ranges(df).select(F.lit(t).alias("table"), "column", "lo", "hi") for t, df in tables(spark, d).items()])
+    return pf.profile_ranges(tables(spark, d))
 
 
-@query("q16_profiled_items", f"""WITH v AS ({ORACLES["p4_low_card_values"]}), r AS ({ORACLES["p5_date_ranges"]}),
+# Every item that profiled columns and date ranges give, with what it is made of: its values (raw, x2, y), column pair (c, c2) and date column (d).
+_ITEMS = f"""WITH v AS ({ORACLES["p4_low_card_values"]}), r AS ({ORACLES["p5_date_ranges"]}),
     c AS (SELECT "table" AS t, "column" AS c, MIN(value) AS least FROM v GROUP BY ALL),
     w AS (SELECT *, COALESCE(LEAD(c) OVER (PARTITION BY t ORDER BY c), FIRST_VALUE(c) OVER (PARTITION BY t ORDER BY c)) AS c2 FROM c),
     p AS (SELECT w.t, w.c, w.c2, n.least AS x2, replace(value, '''', '''''') AS x, value AS raw,
                  COALESCE(LEAD(value) OVER (PARTITION BY w.t, w.c ORDER BY value), FIRST_VALUE(value) OVER (PARTITION BY w.t, w.c ORDER BY value)) AS y
           FROM v JOIN w ON v."table" = w.t AND v."column" = w.c JOIN c n ON n.t = w.t AND n.c = w.c2),
-    d AS (SELECT "table" AS t, "column" AS d, concat("column", ' BETWEEN ''', lo, ''' AND ''', hi, '''') AS span FROM r WHERE lo IS NOT NULL)
-    SELECT DISTINCT * FROM (
-        SELECT t AS "table", 'aggregation' AS category, 'medium' AS difficulty, concat('SELECT ', c, ', COUNT(*) AS n FROM ', t, ' GROUP BY ', c) AS expected_sql FROM p
-        UNION ALL SELECT t, 'filter', 'easy', concat('SELECT COUNT(*) AS n FROM ', t, ' WHERE ', c, ' = ''', x, '''') FROM p
-        UNION ALL SELECT t, 'ranking', 'hard', concat('SELECT ', c, ', COUNT(*) AS n FROM ', t, ' WHERE ', c, ' <> ''', x, ''' GROUP BY ', c, ' HAVING COUNT(*) > 1 ORDER BY n DESC, ', c, ' LIMIT 3') FROM p
-        UNION ALL SELECT t, 'ratio_or_delta', 'hard', concat('SELECT 100.0 * SUM(CASE WHEN ', c, ' = ''', x, ''' THEN 1 ELSE 0 END) / COUNT(*) AS pct FROM ', t) FROM p
-        UNION ALL SELECT t, 'distinct_count', 'easy', concat('SELECT COUNT(DISTINCT ', c, ') AS n FROM ', t, ' WHERE ', c, ' <> ''', x, '''') FROM p
-        UNION ALL SELECT t, 'windowed', 'hard', concat('SELECT ', c, ', RANK() OVER (ORDER BY COUNT(*) DESC) AS rk FROM ', t, ' WHERE ', c, ' <> ''', x, ''' GROUP BY ', c) FROM p
-        UNION ALL SELECT t, 'multi_condition', 'medium', concat('SELECT ', c, ', COUNT(*) AS n FROM ', t, ' WHERE ', c, ' = ''', x, ''' AND ', c2, ' = ''', replace(x2, '''', ''''''), ''' GROUP BY ', c) FROM p WHERE c <> c2
-        UNION ALL SELECT t, 'multi_condition', 'medium', concat('SELECT ', c, ', COUNT(*) AS n FROM ', t, ' WHERE ', c, ' <> ''', x, ''' AND ', c2, ' <> ''', replace(y, '''', ''''''), ''' GROUP BY ', c) FROM p WHERE c = c2 AND raw <> y
-        UNION ALL SELECT t, 'time_series', 'medium', concat('SELECT date_trunc(''month'', ', d, ') AS month, COUNT(*) AS n FROM ', t, ' WHERE ', span, ' GROUP BY date_trunc(''month'', ', d, ')') FROM d
-        UNION ALL SELECT t, 'cohort', 'hard', concat('WITH c AS (SELECT ', c, ' AS k, MIN(', d, ') AS start FROM ', t, ' WHERE ', span, ' GROUP BY ', c, ') SELECT date_trunc(''month'', start) AS cohort, date_trunc(''month'', ', d,
+    d AS (SELECT "table" AS t, "column" AS d, concat("column", ' BETWEEN ''', lo, ''' AND ''', hi, '''') AS span FROM r WHERE lo IS NOT NULL),
+    items AS MATERIALIZED (SELECT DISTINCT * FROM (
+        SELECT 'aggregation' AS fam, t, c, NULL AS raw, NULL AS c2, NULL AS x2, NULL AS y, NULL AS d, 'aggregation' AS category, 'medium' AS difficulty,
+            concat('SELECT ', c, ', COUNT(*) AS n FROM ', t, ' GROUP BY ', c) AS expected_sql FROM p
+        UNION ALL SELECT 'filter', t, c, raw, NULL, NULL, NULL, NULL, 'filter', 'easy', concat('SELECT COUNT(*) AS n FROM ', t, ' WHERE ', c, ' = ''', x, '''') FROM p
+        UNION ALL SELECT 'ranking', t, c, raw, NULL, NULL, NULL, NULL, 'ranking', 'hard', concat('SELECT ', c, ', COUNT(*) AS n FROM ', t, ' WHERE ', c, ' <> ''', x, ''' GROUP BY ', c, ' HAVING COUNT(*) > 1 ORDER BY n DESC, ', c, ' LIMIT 3') FROM p
+        UNION ALL SELECT 'ratio', t, c, raw, NULL, NULL, NULL, NULL, 'ratio_or_delta', 'hard', concat('SELECT 100.0 * SUM(CASE WHEN ', c, ' = ''', x, ''' THEN 1 ELSE 0 END) / COUNT(*) AS pct FROM ', t) FROM p
+        UNION ALL SELECT 'distinct', t, c, raw, NULL, NULL, NULL, NULL, 'distinct_count', 'easy', concat('SELECT COUNT(DISTINCT ', c, ') AS n FROM ', t, ' WHERE ', c, ' <> ''', x, '''') FROM p
+        UNION ALL SELECT 'windowed', t, c, raw, NULL, NULL, NULL, NULL, 'windowed', 'hard', concat('SELECT ', c, ', RANK() OVER (ORDER BY COUNT(*) DESC) AS rk FROM ', t, ' WHERE ', c, ' <> ''', x, ''' GROUP BY ', c) FROM p
+        UNION ALL SELECT 'pair', t, c, raw, c2, x2, NULL, NULL, 'multi_condition', 'medium', concat('SELECT ', c, ', COUNT(*) AS n FROM ', t, ' WHERE ', c, ' = ''', x, ''' AND ', c2, ' = ''', replace(x2, '''', ''''''), ''' GROUP BY ', c) FROM p WHERE c <> c2
+        UNION ALL SELECT 'rest', t, c, raw, NULL, NULL, y, NULL, 'multi_condition', 'medium', concat('SELECT ', c, ', COUNT(*) AS n FROM ', t, ' WHERE ', c, ' <> ''', x, ''' AND ', c2, ' <> ''', replace(y, '''', ''''''), ''' GROUP BY ', c) FROM p WHERE c = c2 AND raw <> y
+        UNION ALL SELECT 'series', t, NULL, NULL, NULL, NULL, NULL, d, 'time_series', 'medium', concat('SELECT date_trunc(''month'', ', d, ') AS month, COUNT(*) AS n FROM ', t, ' WHERE ', span, ' GROUP BY date_trunc(''month'', ', d, ')') FROM d
+        UNION ALL SELECT 'cohort', t, c, NULL, NULL, NULL, NULL, d, 'cohort', 'hard', concat('WITH c AS (SELECT ', c, ' AS k, MIN(', d, ') AS start FROM ', t, ' WHERE ', span, ' GROUP BY ', c, ') SELECT date_trunc(''month'', start) AS cohort, date_trunc(''month'', ', d,
             ') AS month, COUNT(DISTINCT k) AS n_values, COUNT(*) AS n FROM ', t, ' JOIN c ON ', c, ' = k WHERE ', span, ' GROUP BY date_trunc(''month'', start), date_trunc(''month'', ', d, ')') FROM c JOIN d USING (t)
-        UNION ALL SELECT t, 'funnel', 'hard', concat('WITH f AS (SELECT MIN(', d, ') AS start FROM ', t, ' WHERE ', c, ' = ''', replace(y, '''', ''''''), ''') SELECT COUNT(*) AS step_1, COUNT(CASE WHEN ', c, ' = ''', x,
-            ''' THEN 1 END) AS step_2, COUNT(CASE WHEN ', c, ' = ''', x, ''' AND ', d, ' > start THEN 1 END) AS step_3 FROM ', t, ' CROSS JOIN f WHERE ', span) FROM p JOIN d USING (t) WHERE raw <> y) i""")
+        UNION ALL SELECT 'funnel', t, c, raw, NULL, NULL, y, d, 'funnel', 'hard', concat('WITH f AS (SELECT MIN(', d, ') AS start FROM ', t, ' WHERE ', c, ' = ''', replace(y, '''', ''''''), ''') SELECT COUNT(*) AS step_1, COUNT(CASE WHEN ', c, ' = ''', x,
+            ''' THEN 1 END) AS step_2, COUNT(CASE WHEN ', c, ' = ''', x, ''' AND ', d, ' > start THEN 1 END) AS step_3 FROM ', t, ' CROSS JOIN f WHERE ', span) FROM p JOIN d USING (t) WHERE raw <> y) i)
+    """
+
+
+@query("q16_profiled_items", _ITEMS + 'SELECT DISTINCT t AS "table", category, difficulty, expected_sql FROM items')
 def profiled_items(spark, d):
     return every_item(spark, d).select("table", "category", "difficulty", "expected_sql")
 
 
+def _cells_sql() -> str:
+    """Every row of every table as (t, rid, day) with a (c, v) for each of its columns that values are sampled of."""
+    parts = []
+    for t, names in _SAMPLED.items():
+        day = f"CAST({_RANGED[t][0]} AS TIMESTAMP)" if t in _RANGED else "CAST(NULL AS TIMESTAMP)"
+        cells = ", ".join(f"{{'c': '{n}', 'v': CAST({n} AS VARCHAR)}}" for n in names)
+        parts.append(f"SELECT '{t}' AS t, rid, day, x.c, x.v FROM (SELECT row_number() OVER () AS rid, {day} AS day, UNNEST([{cells}]) AS x FROM {t})")
+    return " UNION ALL ".join(parts)
+
+
+_MONTH = "strftime(date_trunc('month', {}), '%Y-%m-%d %H:%M:%S')"
+# what each kind of item returns, as rows of text, worked out from the cells and not by running its statement
+_RESULTS = f""",
+    cell AS MATERIALIZED (SELECT x.* FROM ({_cells_sql()}) x JOIN c USING (t, c)),
+    g AS MATERIALIZED (SELECT t, c, v, COUNT(*) AS n FROM cell GROUP BY ALL),
+    total AS (SELECT t, c, SUM(n) AS n FROM g GROUP BY ALL),
+    ranks AS (SELECT i.expected_sql, g.v, g.n, ROW_NUMBER() OVER (PARTITION BY i.expected_sql ORDER BY g.n DESC, TRY_CAST(g.v AS BIGINT), g.v) AS place, RANK() OVER (PARTITION BY i.expected_sql ORDER BY g.n DESC) AS rk
+              FROM items i JOIN g USING (t, c) WHERE i.fam IN ('ranking', 'windowed') AND g.v <> i.raw AND (i.fam = 'windowed' OR g.n > 1)),
+    days AS (SELECT DISTINCT t, rid, day FROM cell WHERE day IS NOT NULL),
+    starts AS (SELECT t, c, v, MIN(day) AS start FROM cell WHERE day IS NOT NULL GROUP BY ALL),
+    made AS (
+        SELECT expected_sql, concat(COALESCE(g.v, '∅'), '|', g.n) AS line FROM items i JOIN g USING (t, c) WHERE fam = 'aggregation'
+        UNION ALL SELECT expected_sql, CAST(COALESCE(g.n, 0) AS VARCHAR) FROM items i LEFT JOIN g ON g.t = i.t AND g.c = i.c AND g.v = i.raw WHERE fam = 'filter'
+        UNION ALL SELECT expected_sql, concat(v, '|', r.n) FROM items i JOIN ranks r USING (expected_sql) WHERE fam = 'ranking' AND place <= 3
+        UNION ALL SELECT expected_sql, concat(q // 100000000000000, '.', lpad(CAST(q % 100000000000000 AS VARCHAR), 14, '0')) FROM (
+            SELECT i.expected_sql, (2 * 100::HUGEINT * 100000000000000 * COALESCE(g.n, 0) + o.n) // (2 * o.n) AS q
+            FROM items i JOIN total o USING (t, c) LEFT JOIN g ON g.t = i.t AND g.c = i.c AND g.v = i.raw WHERE fam = 'ratio') z
+        UNION ALL SELECT expected_sql, CAST(COUNT(g.v) AS VARCHAR) FROM items i LEFT JOIN g ON g.t = i.t AND g.c = i.c AND g.v <> i.raw WHERE fam = 'distinct' GROUP BY expected_sql
+        UNION ALL SELECT expected_sql, concat(v, '|', rk) FROM items i JOIN ranks r USING (expected_sql) WHERE fam = 'windowed'
+        UNION ALL SELECT expected_sql, concat(i.raw, '|', COUNT(*)) FROM items i JOIN cell a ON a.t = i.t AND a.c = i.c AND a.v = i.raw JOIN cell b ON b.t = i.t AND b.rid = a.rid AND b.c = i.c2 AND b.v = i.x2
+            WHERE fam = 'pair' GROUP BY expected_sql, i.raw
+        UNION ALL SELECT expected_sql, concat(g.v, '|', g.n) FROM items i JOIN g ON g.t = i.t AND g.c = i.c AND g.v <> i.raw AND g.v <> i.y WHERE fam = 'rest'
+        UNION ALL SELECT expected_sql, concat({_MONTH.format("day")}, '|', COUNT(*)) FROM items i JOIN days USING (t) WHERE fam = 'series' GROUP BY expected_sql, date_trunc('month', day)
+        UNION ALL SELECT expected_sql, concat({_MONTH.format("start")}, '|', {_MONTH.format("day")}, '|', COUNT(DISTINCT v), '|', COUNT(*))
+            FROM items i JOIN cell USING (t, c) JOIN starts USING (t, c, v) WHERE fam = 'cohort' AND day IS NOT NULL GROUP BY expected_sql, date_trunc('month', start), date_trunc('month', day)
+        UNION ALL SELECT expected_sql, concat(COUNT(*), '|', COUNT(CASE WHEN cell.v = i.raw THEN 1 END), '|', COUNT(CASE WHEN cell.v = i.raw AND day > start THEN 1 END))
+            FROM items i JOIN cell USING (t, c) LEFT JOIN starts s ON s.t = i.t AND s.c = i.c AND s.v = i.y WHERE fam = 'funnel' AND day IS NOT NULL GROUP BY expected_sql),
+    sums AS (SELECT expected_sql, COUNT(*) AS n, STRING_AGG(line, ';' ORDER BY line) AS lines FROM made GROUP BY expected_sql)
+    SELECT i.expected_sql, TRUE AS sql_executes, '' AS sql_error, LEAST(COALESCE(n, 0), 51) AS n_result_rows, COALESCE(n, 0) > 0 AS nonempty_result, TRUE AS sql_deterministic,
+           CASE WHEN COALESCE(n, 0) <= 50 THEN COALESCE(lines, '') END AS sorted_rows
+    FROM (SELECT DISTINCT expected_sql FROM items) i LEFT JOIN sums USING (expected_sql)"""
+
+
+@query("v1_execute_and_capture", _ITEMS.rstrip() + _RESULTS)
+def execute(spark, d):
+    """Captures of the statements of all items; rows in any order, of results that the cap left whole."""
+    star_views(spark, d)
+    made = materialize(every_item(spark, d).select(va.statement_id("expected_sql").alias("question_id"), "expected_sql").distinct(), "statements")
+    got = va.execute_items(made, "question_id").join(made, "question_id")
+    rows = F.from_json("expected_rows_json", "array<array<string>>")
+    lines = F.array_sort(F.transform(rows, lambda r: F.array_join(r, "|", "∅")))
+    whole = F.when(F.col("n_result_rows") <= ROW_CAP, F.array_join(lines, ";"))
+    return got.select("expected_sql", "sql_executes", "sql_error", "n_result_rows", "nonempty_result", "sql_deterministic", whole.alias("sorted_rows"))
+
+
 @query("p6_declared_fks", """SELECT o_orderstatus AS table_schema, concat('orders', o_orderkey) AS table_name, concat('col', l_linenumber) AS fk_col,
     concat_ws('.', 'cat', c_mktsegment, c_name) AS ref_table, concat('key', c_nationkey) AS ref_col
     FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority <> '5-LOW'""")
@@ -403,12 +458,24 @@ _NL = "chr(10)"
         CASE WHEN n_tables = 1 THEN '{pf.SINGLE_TABLE_NOTE}' END) AS context
     FROM s LEFT JOIN c USING (space_id) LEFT JOIN h USING (space_id) LEFT JOIN f USING (space_id) LEFT JOIN j USING (space_id)""")
 def context(spark, d):
+    return pf.context_document(*_context_parts(spark, d), extra="be brief")
+
+
+def _context_parts(spark, d):
     c = table(spark, d, "conversations").withColumn("space_id", F.col("conv_id"))
     fks = c.where("turn >= 4").select("space_id", F.concat(F.lit("t"), "turn").alias("from_table"), F.lit("k").alias("fk_col"), F.lit("u").alias("ref_table"), F.col("role").alias("ref_col"))
     shared = c.where("turn BETWEEN 1 AND 3").select("space_id", F.concat(F.lit("c"), "turn").alias("column"), F.explode(F.array(F.lit("b"), F.lit("a"))).alias("table"))
-    return pf.context_document(
-        _space_rows(spark, d), ["space_id"], view(spark, d, "curated"), view(spark, d, "history"), fks, shared, extra="be brief"
-    )
+    return _space_rows(spark, d), ["space_id"], view(spark, d, "curated"), view(spark, d, "history"), fks, shared
+
+
+def _lines_of(name: str) -> str:
+    """The lines of the documents that another query gives, in order."""
+    return f"""SELECT space_id, UNNEST(RANGE(1, len(l) + 1)) AS line_no, UNNEST(l) AS line FROM (SELECT space_id, string_split(context, chr(10)) AS l FROM ({ORACLES[name]}) x) y"""
+
+
+@query("p9_context_sections", _lines_of("p9_context_document"))
+def context_sections(spark, d):
+    return pf.document_lines(pf.context_sections(*_context_parts(spark, d), extra="be brief"), ["space_id"])
 
 
 @query("p10_solver_context", with_views("curated") + f""", t AS (SELECT o_custkey AS space_id, STRING_AGG(concat('TABLE ', o_orderkey, {_NL}, '  - a: string  -- ', o_orderstatus, {_NL}, '  - b: int', {_NL}, 'sample values:', {_NL}, '  - a: [''', o_orderpriority, ''']'), {_NL} || {_NL} ORDER BY CAST(o_orderkey AS VARCHAR)) AS b
@@ -417,6 +484,10 @@ def context(spark, d):
     SELECT t.space_id, concat_ws({_NL} || {_NL}, t.b, concat('SPACE INSTRUCTIONS:', {_NL}, c_mktsegment), CASE WHEN c.b <> '' THEN concat('CURATED EXAMPLE QUESTIONS:', {_NL}, c.b) END) AS context
     FROM t LEFT JOIN customer ON c_custkey = t.space_id LEFT JOIN c ON c.space_id = t.space_id""")
 def solver_context(spark, d):
+    return pf.solver_context(*_solver_parts(spark, d))
+
+
+def _solver_parts(spark, d):
     o = table(spark, d, "orders").select(
         F.col("o_custkey").alias("space_id"), F.col("o_orderkey").cast("string").alias("table"), "o_orderstatus", "o_orderpriority"
     )
@@ -429,4 +500,9 @@ def solver_context(spark, d):
     spans = spark.createDataFrame([], "space_id bigint, table string, column string, lo string, hi string")
     profiles = pf.schema_text(cols, key).join(pf.sample_lines(values, spans, key), key)
     instructions = table(spark, d, "customer").select(F.col("c_custkey").alias("space_id"), F.col("c_mktsegment").alias("instructions"))
-    return pf.solver_context(profiles, ["space_id"], instructions, view(spark, d, "curated"))
+    return profiles, ["space_id"], instructions, view(spark, d, "curated")
+
+
+@query("p10_solver_sections", _lines_of("p10_solver_context"))
+def solver_sections(spark, d):
+    return pf.document_lines(pf.solver_sections(*_solver_parts(spark, d)), ["space_id"])

@@ -149,11 +149,11 @@ def gate_metrics(spark, d):
 
 
 @query("t9_review_queue", with_views(*_VIEWS) + f""", {_REPAIRED}
-    SELECT question_id, difficulty_empirical, verify_agreement, difficulty_empirical = 'suspect' AS first_in_line FROM repaired
-    WHERE verify_tier = 'quarantine'""")
+    SELECT ROW_NUMBER() OVER (ORDER BY difficulty_empirical = 'suspect' DESC, verify_agreement NULLS FIRST, question_id) AS place, question_id, difficulty_empirical, verify_agreement,
+           difficulty_empirical = 'suspect' AS first_in_line FROM repaired WHERE verify_tier = 'quarantine'""")
 def review_queue(spark, d):
     return gate.review_queue(repaired_items(spark, d)).select(
-        "question_id", "difficulty_empirical", "verify_agreement", (F.col("difficulty_empirical") == "suspect").alias("first_in_line")
+        "place", "question_id", "difficulty_empirical", "verify_agreement", (F.col("difficulty_empirical") == "suspect").alias("first_in_line")
     )
 
 

@@ -21,10 +21,8 @@ def norm(a):
 @pytest.fixture(autouse=True)
 def small_blocks(monkeypatch):
     monkeypatch.setattr(near, "BLOCK_FLOATS", 7 * 12)
-    monkeypatch.setattr(near, "SHARD_ROWS", 5)
     monkeypatch.setattr(near, "PRODUCT_CELLS", 14)
-    monkeypatch.setattr(near, "PIVOTS", 8)
-    monkeypatch.setattr(near, "PIVOT_STEP", 1)
+    monkeypatch.setattr(near, "FANOUT", 3)
 
 
 def clustered(rng, n, hot=True):
@@ -111,3 +109,40 @@ def test_nn_summary(spark):
     nn = spark.createDataFrame([(i, i / 10) for i in range(7)], "id int, nn_sim double")
     r = nn_summary(nn).first()
     assert r["nn_cosine_p10"] == pytest.approx(np.percentile(np.arange(7) / 10, 10))
+
+
+def test_tree_of_every_group(spark):
+    rng = np.random.default_rng(8)
+    a = clustered(rng, 150)
+    rows = unit(make(spark, a, np.arange(150) % 2), by=["space"])
+    tree = near.build_tree(rows, ["space"])
+    assert len(tree.levels) > 1
+    assert sorted(r["id"] for r in tree.placed.collect()) == list(range(150))
+    # equal vectors share a leaf; of other leaves none holds more than a block
+    sizes = tree.placed.groupBy("space", "node").agg(F.count("*").alias("n"), F.count_distinct("v").alias("kinds")).collect()
+    assert all(r["n"] <= 7 or r["kinds"] <= 12 for r in sizes)
+    assert near.build_tree(rows.where("false"), ["space"]) is None
+
+
+@pytest.mark.parametrize("threshold", [0.97, 0.92, 0.5, 0.1])
+def test_near_pairs_at_all_thresholds(spark, threshold):
+    rng = np.random.default_rng(9)
+    a = clustered(rng, 80)
+    A = norm(a).astype(float)
+    rows = unit(make(spark, a))
+    got = {r["id"] for r in near.earlier_neighbours(rows, rows.withColumn("kept", F.lit(True)), [], threshold).collect()}
+    sims = A @ A.T
+    edge = {i for i in range(80) if any(abs(sims[i, j] - threshold) < 1e-5 for j in range(i))}
+    assert got - edge == {i for i in range(80) if any(sims[i, j] >= threshold for j in range(i))} - edge
+
+
+def test_search_cost_skips_and_bounds_copies(spark):
+    rng = np.random.default_rng(10)
+    a = rng.normal(size=(6, 12))[np.arange(300) % 6] + 0.05 * rng.normal(size=(300, 12))
+    rows = unit(make(spark, a))
+    cost = near.search_cost(rows, rows, [], 0.92).first()
+    assert cost["pairs"] == 300 * 300 and cost["n_leaves"] > 6
+    assert 0.5 < cost["share_skipped"] < 1
+    # six families of 50: a source meets the shards (of 7 rows) of its own family, not of all 300 targets
+    assert cost["copies_max"] <= 9
+    assert near.search_cost(rows, rows.where("false")).first()["pairs"] == 0.0
