@@ -46,7 +46,7 @@ LONGEST, MIN_COUNT, TOP = 3, 10, 2000
 #: A candidate goes if a longer one around it has this share of its count, in percent.
 COVERED = 50
 #: Bytes of text that a worker counts at a time; rows of a batch it returns.
-SLICE, ROWS = 12_000_000, 100_000
+SLICE, ROWS = 6_000_000, 100_000
 #: Places of a bit table (8 MB), whatever the corpus.
 PLACES = 1 << 26
 _BITMAP = 32_768
