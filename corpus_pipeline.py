@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evalspark.llm import bpe, fmindex, linededup, rules, simhash
-from evalspark.llm.frames import documents, materialize
+from evalspark.llm.frames import documents, free_name, materialize
 from evalspark.llm.queries import tokenizer_path
 
 
@@ -26,7 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without later copies of repeated line runs."""
-    return _sized(linededup.dedup_lines(docs), docs.columns)
+    names = free_name(docs, "removed"), free_name(docs, "n_removed")
+    return _sized(linededup.dedup_lines(docs, names=names), docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from functools import cache
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from evalspark.llm.frames import map_rows
+from evalspark.llm.frames import add_columns, map_rows, materialize
 
 #: (phrase, item) pairs of one broadcast block.
 BLOCK = 200_000
@@ -244,7 +244,11 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Data
     for b in range(blocks):
         part = pairs.filter(F.pmod(F.xxhash64("item", "phrase"), F.lit(blocks)) == b)
         if got := [(r["item"], r["phrase"]) for r in part.collect()]:  # about BLOCK pairs
-            df = map_rows(df, block(docs.sparkSession.sparkContext.broadcast(Queries(got))), schema, SHARD_ROWS)
+            held = docs.sparkSession.sparkContext.broadcast(Queries(got))
+            df = map_rows(df, block(held), schema, SHARD_ROWS)
+            if blocks > 1:  # one block's phrases are alive at a time, one block's search is a job
+                df = materialize(df, "spans")
+                held.unpersist()
     return df
 
 
@@ -266,12 +270,25 @@ def without(text: str, spans: list[dict]) -> str:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """``docs`` with the removal spans cut out of the texts, in the same columns."""
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    found = occurrences(rows, benchmark, window).select("row", "spans")
-
-    def cut(x):
-        return {"row": [r | {text: r[text] and without(r[text], s)} for r, s in zip(x["row"], x["spans"])]}
+    """``docs`` with the removal spans cut out of the texts, in the same columns.
 
+    Phrases of one block are searched and cut out in one pass over the texts.
+    """
     text = next(c for c in docs.columns if c.lower() == "text")
-    return map_rows(found, cut, f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
+    order = [F.col(f"`{c}`") for c in docs.columns]
+    pairs = phrases(benchmark, window)
+    count = pairs.count()
+    if not count:
+        return docs
+    if count > BLOCK:
+        rows = docs.select(F.struct(*order).alias("row"), "text")
+        found = occurrences(rows, benchmark, window).select("row.*", F.col("spans").alias("spans to cut"))
+        cut = add_columns(found, [text, "spans to cut"], lambda x: {text: [t and without(t, s) for t, s in zip(x[text], x["spans to cut"])]}, f"`{text}` string")
+        return cut.select(*order)
+    held = docs.sparkSession.sparkContext.broadcast(Queries([(r["item"], r["phrase"]) for r in pairs.collect()]))  # BLOCK pairs at most
+
+    def cut_out(x):
+        found = search(x[text], held.value)
+        return {text: [t and without(t, [{"lo": lo, "hi": hi} for lo, hi in merged(spans)]) for t, (_, spans, _) in zip(x[text], found)]}
+
+    return add_columns(docs, [text], cut_out, f"`{text}` string", SHARD_ROWS).select(*order)

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from evalspark.llm.frames import materialize
+from evalspark.llm.frames import free_name, materialize
 
 MIN_WORDS = 50
 _TRIM = " \t\r\x0b\x0c"
@@ -101,18 +101,24 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return runs.agg(F.min("ln").alias("lo"), F.max("ln").alias("hi"), F.count("*").alias("n_lines")).drop("island")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with text as it remains, and the columns removed (array of runs lo, hi) and n_removed (lines with words)."""
-    runs = later_copies(docs, min_words).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("removed"), F.sum("n_lines").alias("n_removed"))
-    kept = [c for c in docs.columns if c.lower() not in ("removed", "n_removed", "_rid")]
-    rows = docs.select(*kept, F.monotonically_increasing_id().alias("_rid"))
-    rows = rows.join(runs.withColumnRenamed("rid", "_rid"), "_rid", "left")
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, names: tuple[str, str] = ("removed", "n_removed")) -> DataFrame:
+    """``docs`` with text as it remains, and two columns more: the runs removed (array of lo, hi), and their number of lines with words.
+
+    Columns of these two names are replaced; all others stay, whatever their names.
+    """
+    rid = free_name(docs, "_rid")
+    runs = later_copies(docs.select("doc_id", "text"), min_words).groupBy("rid")
+    runs = runs.agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("removed"), F.sum("n_lines").alias("n_removed"))
+    kept = [c for c in docs.columns if c.lower() not in [n.lower() for n in names]]
+    given = docs.select(*[F.col(f"`{c}`") for c in kept], F.monotonically_increasing_id().alias(rid))
+    removed, n = free_name(given, "removed"), free_name(given, "n_removed")
+    rows = given.join(runs.toDF(rid, removed, n), rid, "left")
     lines = F.split("text", "\n")
     # the lines before each run, and those after the last one
-    starts = F.concat(F.array(F.lit(0)), F.transform("removed", lambda r: r["hi"] + 1))
-    ends = F.concat(F.transform("removed", lambda r: r["lo"]), F.array(F.size(lines)))
+    starts = F.concat(F.array(F.lit(0)), F.transform(removed, lambda r: r["hi"] + 1))
+    ends = F.concat(F.transform(removed, lambda r: r["lo"]), F.array(F.size(lines)))
     left = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a)))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    text = F.when(F.col(removed).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     out = [text.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in kept]
     nothing = F.expr("cast(array() AS array<struct<lo:int,hi:int>>)")
-    return rows.select(*out, F.coalesce("removed", nothing).alias("removed"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"))
+    return rows.select(*out, F.coalesce(removed, nothing).alias(names[0]), F.coalesce(n, F.lit(0)).cast("long").alias(names[1]))

@@ -24,7 +24,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evalspark.llm.frames import map_rows, materialize
+from evalspark.llm.frames import add_columns, free_name, map_rows, materialize
 from evalspark.llm.measures import COUNTS, columns
 
 ALPHA, DELTA = 0.02, 0.05
@@ -137,7 +137,19 @@ def kept(table: dict[str, dict[str, float]]) -> Column:
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, in the same columns."""
-    table = cutoffs(materialize(measured(docs, "doc_id"), "measures"), labels)
-    rows = docs.select(F.struct("*").alias("row"), "text", "lang")
-    return measured(rows, "row").filter(kept(table)).select("row.*")
+    """The rows of ``docs`` that are kept, in the same columns, whatever their names.
+
+    Every text is measured once; the rows are written with their measures, so
+    that the cutoffs and the verdicts read the same ones.
+    """
+    name = free_name(docs, "measures")
+
+    def count(x):
+        got = columns(x["text"])
+        return {name: [dict(zip(got, row)) for row in zip(*got.values())]}
+
+    fields = ", ".join(f"{c}: long" for c in COUNTS)
+    rows = materialize(add_columns(docs, ["text"], count, f"{name} struct<{fields}>"), "measured")
+    table = cutoffs(rows.select("doc_id", "lang", f"{name}.*"), labels)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return rows.select(row, "lang", f"{name}.*").filter(kept(table)).select("row.*")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evalspark.llm.components import components
-from evalspark.llm.frames import bare, map_rows, materialize
+from evalspark.llm.frames import bare, free_name, map_rows, materialize
 
 #: Rows of one anchor from which it is covered a second time.
 HOT = 2048
@@ -193,5 +193,6 @@ def one_of_each(docs: DataFrame, most: int = 3, shingle: int = 3) -> DataFrame:
     """The rows that stay: of each group the one with the smallest id, of equal ids the first row; null ids last."""
     groups = near_groups(docs, most, shingle)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("_first"))
-    stay = first.select(F.col("_first.rid").alias("_rid"))
-    return docs.withColumn("_rid", F.monotonically_increasing_id()).join(stay, "_rid", "left_semi").drop("_rid")
+    rid = free_name(docs, "_rid")
+    stay = first.select(F.col("_first.rid").alias(rid))
+    return docs.withColumn(rid, F.monotonically_increasing_id()).join(stay, rid, "left_semi").drop(rid)

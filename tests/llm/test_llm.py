@@ -42,7 +42,7 @@ ROWS = [(i, t) for i, t in enumerate(TEXTS)] + [(100, TEXTS[9]), (100, TEXTS[9])
 
 def write(path, rows, items, labels):
     n = len(rows)
-    extra = {c: pa.array([rnd.choice([None, c]) for _ in rows], pa.string()) for c in ("rid", "block", "words", "held_out", "ids", "row", "kind", "count", "rank", "spans", "n_words", "fp")}
+    extra = {c: pa.array([rnd.choice([None, c]) for _ in rows], pa.string()) for c in ("rid", "block", "words", "held_out", "ids", "row", "kind", "count", "rank", "spans", "n_words", "fp", "_rid", "removed", "n_removed", "measures")}
     table = {
         "doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string()),
         "lang": pa.array([rnd.choice([None, "en", "xx"]) for _ in rows], pa.string()), "source": pa.array([None] * n, pa.string()), "n_chars": pa.array([None] * n, pa.int64()),
@@ -291,10 +291,16 @@ def test_pipeline(spark, odd, tok):
     )
 
 
-def test_pipeline_keeps_the_columns(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+@pytest.mark.parametrize("where", ["odd", SF])
+def test_pipeline_keeps_the_columns(spark, odd, where):
+    docs = spark.read.parquet(f"{odd if where == 'odd' else SF}/documents.parquet")
+    if where == "odd":
+        given = {(r["doc_id"], r["text"], c, r[c]) for r in docs.collect() for c in ("_rid", "removed", "n_removed", "measures", "spans", "row")}
+        stay = corpus_pipeline.materialize(simhash.one_of_each(linededup.dedup_lines(docs, names=("cut", "n_cut"))), "stay").collect()
+        # texts change, callers' columns do not
+        assert {(r["doc_id"], c, r[c]) for r in stay for c in ("_rid", "removed", "n_removed", "measures")} <= {(i, c, v) for i, _, c, v in given}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = corpus_pipeline.materialize(stage(spark, docs, SF), name)
+        after = corpus_pipeline.materialize(stage(spark, docs, odd if where == "odd" else SF), name)
         assert after.dtypes == docs.dtypes and after.count() <= docs.count()
         docs = after
 
