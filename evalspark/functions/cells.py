@@ -19,7 +19,8 @@ MAX_WIDTH = 7
 _PLAIN = r"^[+-]?(?:(?:0|[1-9][0-9]*)(?:\.[0-9]+)?|\.[0-9]+)$"
 _CANONICAL = r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]*[1-9])?$"
 _SCIENTIFIC = r"^[+-]?(?:0\.[0-9]+|[1-9][0-9]*(?:\.[0-9]+)?|\.[0-9]+)[eE][+-]?[0-9]+$"
-_MAX_EXPONENT = 999_999
+# Numbers with more places before or behind the point keep an exponent, one for each value: it is of the number, however it is spelled.
+_MAX_PLACES = 1_000_000
 
 
 def _bind(value: Column, body) -> Column:
@@ -40,7 +41,10 @@ def _plain_number(s: Column) -> Column:
 
 
 def _expand_exponent(s: Column) -> Column:
-    """``1.5E2`` to ``150`` by moving the point; no binary arithmetic, so no digit is lost."""
+    """``1.5E2`` to ``150`` by moving the point; no binary arithmetic, so no digit is lost.
+
+    Equal numbers get equal texts at every size; an exponent of more than 18 digits stays as written.
+    """
     lower = F.translate(s, "E", "e")
     mantissa = F.ltrim(F.substring_index(lower, "e", 1), F.lit("+-"))
     whole = F.substring_index(mantissa, ".", 1)
@@ -49,11 +53,11 @@ def _expand_exponent(s: Column) -> Column:
         F.when(s.startswith("-"), "-").otherwise("").alias("sign"),
         F.concat(whole, frac).alias("digits"),
         F.length(whole).alias("point"),
-        F.ltrim(F.substring_index(lower, "e", -1), F.lit("+")).try_cast("int").alias("shift"),
+        F.ltrim(F.substring_index(lower, "e", -1), F.lit("+")).try_cast("bigint").alias("shift"),
     )
 
-    def move(p: Column) -> Column:
-        point = p["point"] + p["shift"]
+    def written_out(p: Column) -> Column:
+        point = (p["point"] + p["shift"]).cast("int")
         padded = F.concat(
             F.repeat(F.lit("0"), F.greatest(-point, F.lit(0))),
             p["digits"],
@@ -63,8 +67,20 @@ def _expand_exponent(s: Column) -> Column:
         left = F.ltrim(F.substr(padded, F.lit(1), cut), F.lit("0"))
         right = F.substr(padded, cut + 1)
         left = F.when(left == "", "0").otherwise(left)
-        joined = F.when(right == "", F.concat(p["sign"], left)).otherwise(F.concat(p["sign"], left, F.lit("."), right))
-        return F.when(F.abs(p["shift"]) <= _MAX_EXPONENT, _plain_number(joined)).otherwise(s)
+        return _plain_number(F.when(right == "", F.concat(p["sign"], left)).otherwise(F.concat(p["sign"], left, F.lit("."), right)))
+
+    def move(p: Column) -> Column:
+        # the significant digits, and where the point stands before the first of them: both belong to the number, not to its spelling
+        some = F.ltrim(p["digits"], F.lit("0"))
+        at = p["point"] + p["shift"] - (F.length(p["digits"]) - F.length(some))
+        few = F.rtrim(some, F.lit("0"))
+        rest = F.when(F.length(few) > 1, F.substr(few, F.lit(2))).otherwise("0")
+        return (
+            F.when(few == "", "0")
+            .when(F.abs(at) <= _MAX_PLACES, written_out(p))
+            .when(at > 0, F.concat(p["sign"], few, F.lit("e"), (at - F.length(few)).cast("string")))
+            .otherwise(F.concat(p["sign"], F.substr(few, F.lit(1), F.lit(1)), F.lit("."), rest, F.lit("e"), (at - 1).cast("string")))
+        )
 
     return F.coalesce(_bind(parts, move), s)
 
@@ -101,19 +117,3 @@ def canon_rows(rows) -> Column:
         col_of(rows),
         lambda r: F.transform(F.transform(F.coalesce(r, blank), strip), _canon_stripped),
     )
-
-
-def cells_close(a, b) -> Column:
-    """Equal canonical cells, or two numbers, one with a fraction, within tolerance."""
-
-    def within(p: Column, kind: str) -> Column:
-        x, y = p["a"].try_cast(kind), p["b"].try_cast(kind)
-        gap = F.abs(x - y)
-        return (gap <= F.lit(ABS_TOL).cast(kind)) | (gap <= F.greatest(F.abs(x), F.abs(y)) / 1000)
-
-    return _bind(
-        F.struct(col_of(a).alias("a"), col_of(b).alias("b")),
-        lambda p: F.when(p["a"] == p["b"], True)
-        .when(~(p["a"].contains(".") | p["b"].contains(".")), False)
-        .otherwise(F.coalesce(within(p, "decimal(38,18)"), within(p, "double"), F.lit(False))),
-    )

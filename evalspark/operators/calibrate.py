@@ -54,6 +54,7 @@ def calibrate(labels: DataFrame, floor: float = KAPPA_FLOOR, by: tuple[str, ...]
     s = s.withColumn("kappa", F.when(chance >= 1, 1.0).otherwise(F.try_divide(F.col("raw_agreement") - chance, 1 - chance)))
     enough, one_class = F.col("n") >= MIN_LABELS, ph.isin(0.0, 1.0)
     s = s.withColumn("gated", enough & ~one_class)
+    # fixed values: the texts of a verdict
     return s.withColumn(
         "verdict",
         F.when(enough & one_class, "not calibratable (single-class human labels)")

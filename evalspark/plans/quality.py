@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.cells import canon_cell, canon_rows, cells_close, parse_rows
+from ..functions.cells import canon_cell, canon_rows, parse_rows
 from ..functions.text import extract_sql, has_relative_time, is_readonly, norm_question, sql_skeleton, structural_difficulty
 from ..operators import items as it
 from ..operators import match as m
@@ -381,10 +381,10 @@ def close(spark, d):
     c = lambda e: canon_cell(F.expr(e))
     return o.select(
         "o_orderkey",
-        cells_close(c("p"), c("floor(p)")).alias("floored"),
-        cells_close(c("p"), c("CAST(p AS DECIMAL(18,1))")).alias("rounded"),
-        cells_close(c("p"), c("p * 1.01")).alias("one_percent"),
-        cells_close(c("floor(p)"), c("floor(p) + 1")).alias("next_whole"),
+        m.cells_close(c("p"), c("floor(p)")).alias("floored"),
+        m.cells_close(c("p"), c("CAST(p AS DECIMAL(18,1))")).alias("rounded"),
+        m.cells_close(c("p"), c("p * 1.01")).alias("one_percent"),
+        m.cells_close(c("floor(p)"), c("floor(p) + 1")).alias("next_whole"),
     )
 
 
@@ -406,7 +406,16 @@ def permutation(spark, d):
     return m.match_permutation(p, "e", "a").select("question_id", "verdict")
 
 
-@query("m6_tolerant_rows", """SELECT o_orderkey, TRUE AS rounded, FALSE AS wrong FROM orders""")
+def _near(a: str, b: str) -> str:
+    return f"(ABS({a} - {b}) <= 1e-9 OR ABS({a} - {b}) <= GREATEST(ABS({a}), ABS({b})) / 1000)"
+
+
+# each number of a row against the one that stands for it in the other row set
+_PAIRED = " AND ".join(_near(a, b) for a, b in (("p", "p1"), ("2 * p", "2 * p1"), ("16.67", "16.666666666")))
+
+
+@query("m6_tolerant_rows", f"""WITH o AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) + 0.01 AS p, CAST(o_totalprice AS DECIMAL(18,1)) AS p1 FROM orders)
+    SELECT o_orderkey, {_PAIRED} AND {_near("0.333333", "0.33333")} AS rounded, {_PAIRED} AND {_near("0.333333", "0.34")} AS wrong FROM o""")
 def tolerant(spark, d):
     o = table(spark, d, "orders").select(
         "o_orderkey", F.col("o_orderstatus").alias("s"), F.col("o_totalprice").cast("decimal(18,2)").alias("p"),

@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from evalspark.functions.cells import canon_cell, cells_close, parse_rows
+from evalspark.functions.cells import canon_cell, parse_rows
+from evalspark.operators.match import cells_close
 from evalspark.operators.match import diff_summary, multiset_diff, rows_match, rows_match_json
 
 WIDE = [[str(i) for i in range(8)]]
@@ -128,3 +129,17 @@ def test_multiset_diff(spark):
     s = diff_summary(multiset_diff(a, b)).first()
     assert (s["n_left"], s["n_right"], s["only_left"], s["only_right"], s["both"], s["equal"]) == (3, 3, 1, 1, 2, False)
     assert diff_summary(multiset_diff(a, a)).first()["equal"]
+
+
+def test_equal_numbers_of_any_size_read_alike(spark):
+    groups = [
+        ("1e1000000", "10e999999", "0.1e1000001", "100000E+999995"), ("1e999999", "10e999998", "0.01e1000001"), ("-2.50e2000000", "-25e1999999", "-0.25E2000001"),
+        ("1.5e-2000000", "15e-2000001", "0.15e-1999999"), ("3e-1500000", "0.3e-1499999", "30e-1500001"), ("0.0e5000000", "0.000e-7000000", "0"), ("1e3", "1000", "1000.0", "10e2"),
+        ("1e99999999999", "10e99999999998"), ("7e2000000",), ("7e2000001",), ("-7e2000000",),
+    ]
+    rows = [(g, c) for g, cells in enumerate(groups) for c in cells]
+    df = spark.createDataFrame(rows, "g int, c string").select("g", F.md5(canon_cell("c").cast("binary")).alias("k"))
+    found = {}
+    for r in df.collect():
+        found.setdefault(r["g"], set()).add(r["k"])
+    assert all(len(k) == 1 for k in found.values()) and len(set.union(*found.values())) == len(groups)
