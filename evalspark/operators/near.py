@@ -115,14 +115,19 @@ def build_tree(sources: DataFrame, by: list[str]) -> Tree | None:
     levels: list[DataFrame] = []
     key = [*by, "node"]
     while len(levels) < LEVELS:
-        sizes = placed.groupBy(*key).agg(F.count("*").alias("n"), F.max("angle").alias("far"))
+        # a zero vector is as far from everything as anything: it cuts no cell
+        real = F.exists("v", lambda x: x != 0)
+        sizes = placed.groupBy(*key).agg(F.count("*").alias("n"), F.max(F.when(real, F.col("angle"))).alias("far"))
         # a cell of one direction cannot be cut
         big = materialize(sizes.where((F.col("n") > block) & (F.col("far") > ANGLE_SLACK)).select(*key), "oversize")
         if big.isEmpty():
             break
         own = placed.join(big, key, "left_semi")
         nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("id", F.lit(len(levels))), "id"))
-        picked = own.select(*key, "id", "v", nth.alias("_nth")).where(F.col("_nth") <= FANOUT)
+        picked = own.select(*key, "id", "v", nth.alias("_nth")).where(F.col("_nth") < FANOUT)
+        # the farthest vector is a pivot too, so that a cell of copies and a few others is cut
+        last = own.where(real).groupBy(*key).agg(F.max_by(F.struct("id", "v"), F.struct("angle", "id")).alias("_l"))
+        picked = picked.unionByName(last.select(*key, "_l.id", "_l.v", F.lit(FANOUT).alias("_nth")))
         # FANOUT entries at most
         pivots = materialize(picked.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_nth", "id", "v"))).alias("_pivots")), "pivots")
         moved = materialize(_assign(own.join(pivots, key), by), f"level-{len(levels)}")
