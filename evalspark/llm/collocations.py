@@ -39,8 +39,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from evalspark.functions.frames import ranked
 from evalspark.llm.frames import materialize
-from evalspark.llm.ranks import ranked
 
 LONGEST, MIN_COUNT, TOP = 3, 10, 2000
 #: A candidate goes if a longer one around it has this share of its count, in percent.

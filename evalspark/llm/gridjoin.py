@@ -38,9 +38,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from evalspark.functions.frames import ranked
 from evalspark.llm.components import components
 from evalspark.llm.frames import materialize
-from evalspark.llm.ranks import ranked
 
 THRESHOLD, SAMPLE = 0.93, 2048
 #: Grid dimensions; bytes of a block; parts of an interval; rows of the least interval within a task.

@@ -30,9 +30,8 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from evalspark.functions.frames import attach
+from evalspark.functions.frames import attach, ranked
 from evalspark.llm.frames import held_out, materialize
-from evalspark.llm.ranks import ranked
 
 FANOUT, LEVELS = 8, 3
 BLOCK = FANOUT**LEVELS
