@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from zstandard import ZstdCompressor, ZstdDecompressor
 
-from evalspark.llm.frames import bare, map_rows
+from evalspark.llm.frames import bare, map_rows, release
 from evalspark.llm.tokens import Words, encode_words, load, share, unit
 
 #: Frequent words that are broadcast, and their longest length in bytes.
@@ -89,6 +89,7 @@ def _rare(docs: DataFrame, head, buckets: int) -> DataFrame:
                     yield out()
         if held:
             yield out()
+        release()
 
     return _numbered(docs).select("text", "block").mapInArrow(each, "block int, bucket int, words binary")
 
@@ -166,6 +167,8 @@ def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
             if pieces:
                 columns["decoded"] = pa.array(_decoded(out, pieces.value), pa.string())
             yield pa.RecordBatch.from_pydict(columns)
+        table = {}
+        release()
 
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evalspark.session import materialize
 
-__all__ = ["add_columns", "documents", "bare", "free_name", "held_out", "map_rows", "materialize", "text_key"]
+__all__ = ["add_columns", "documents", "bare", "free_name", "held_out", "map_rows", "materialize", "release", "text_key"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +42,15 @@ def held_out(modulus: int, remainder: int = 2) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
+def release() -> None:
+    """Hands memory that a task has freed back to the system: Python workers live on, and the next stage's needs would add to it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
 def map_rows(df: DataFrame, fn: Callable[[list[dict]], list[dict]], schema: str, rows: int = 256) -> DataFrame:
     """``fn`` on slices of up to ``rows`` rows, given and returned as column lists.
 
@@ -57,6 +67,7 @@ def map_rows(df: DataFrame, fn: Callable[[list[dict]], list[dict]], schema: str,
             for at in range(0, batch.num_rows, rows):
                 got = fn(batch.slice(at, rows).to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
+        release()
 
     return df.mapInArrow(each, schema)
 
@@ -100,5 +111,6 @@ def add_columns(df: DataFrame, inputs: list[str], fn: Callable[[dict], dict], ad
                 got = fn({c: part.column(c).to_pylist() for c in inputs})
                 arrays = [part.column(f.name) for f in kept] + [pa.array(got[f.name], f.type) for f in types]
                 yield pa.RecordBatch.from_arrays(arrays, [f.name for f in kept] + types.names)
+        release()
 
     return df.mapInArrow(each, StructType([*kept, *new]))
