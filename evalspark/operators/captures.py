@@ -9,6 +9,11 @@ ends its batch, which is then run in smaller parts until the failing statement
 stands alone; statements of one shape fail together, so other batches do not
 pay for it.
 
+Statements that differ in compared values only (``WHERE k = 17``, ``= 18``, …)
+are one lateral join of those values with the statement: Spark plans and
+compiles it once and reads each table once for all of them.  What fails so, or
+cannot be written so, is run statement by statement as above.
+
 The second run that determinism needs is a job of its own, as Spark would run
 what two halves of one plan share only once.  No result passes the driver: it
 sees statements and error messages.
@@ -16,6 +21,7 @@ sees statements and error messages.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
@@ -28,6 +34,8 @@ from ..functions.text import col_of, is_readonly
 from ..session import materialize, scratch_path
 
 BATCH, PARTS, THREADS = 64, 8, 8
+#: Statements of one form that share a lateral join, at least and at most; statements that the driver holds at a time, for each thread.
+LEAST, SHARED, HELD = 8, 128, 1024
 REFUSED = "not run: the statement is not a plain query"
 
 _PARTS = {
@@ -73,6 +81,35 @@ def query_fault(spark: SparkSession, sql: str | None) -> str | None:
     return None
 
 
+# What a text is made of, as far as it matters here: comments, names and strings are passed over whole.
+_TOKEN = re.compile(
+    r"--[^\n]*|/\*.*?\*/|`[^`]*`"
+    r"|(?<![=\-<>!])(?P<op><=>|<=|>=|<>|!=|==|=|<|>)\s*(?:(?P<int>\d{1,9})(?![\w.])|(?P<text>'[^']*')(?!\s*'))"
+    r"|'[^']*'",
+    re.S,
+)
+
+
+def form_of(sql: str) -> tuple[str, tuple[str, ...]] | None:
+    """The statement with the integers and plain strings that it compares with put as columns of ``asked``, and those values.
+
+    None if it has none, or holds what would let a value be taken for another thing.
+    """
+    if any(c in sql for c in '\\"$') or "asked" in sql.lower():
+        return None
+    values: list[str] = []
+
+    def put(m: re.Match) -> str:
+        value = m["int"] or m["text"]
+        if not value:
+            return m[0]
+        values.append(value)
+        return f"{m['op']} asked.p{len(values) - 1}{'n' if m['int'] else 's'}"
+
+    form = _TOKEN.sub(put, sql)
+    return (form, tuple(values)) if values else None
+
+
 def capture(df: DataFrame, cap: int = ROW_CAP) -> DataFrame:
     """At most cap + 1 rows, so that a longer result can be told from one of exactly ``cap`` rows."""
     return df.limit(cap + 1)
@@ -96,6 +133,20 @@ def _capture_sql(key: str, sql: str, width: int, cap: int) -> str:
     return f"SELECT '{key}' AS sql_id, collect_list(r) AS rows FROM (SELECT array({cells}) AS r FROM {_named(sql, width)} LIMIT {cap + 1})"
 
 
+def _shared_capture_sql(form: str, asked: list[tuple[str, tuple[str, ...]]], width: int, cap: int) -> str:
+    """The captures of one form's statements: the values in which they differ joined with the statement that each of them gives."""
+    names = {int(p[1:-1]): p for p in re.findall(r"asked\.(p\d+[ns])", form)}
+    differ = [k for k in sorted(names) if len({values[k] for _, values in asked}) > 1]
+    same = asked[0][1]
+    form = re.sub(r"asked\.p(\d+)[ns]", lambda m: m[0] if int(m[1]) in differ else same[int(m[1])], form)
+    rows = ", ".join(f"({', '.join([repr(key), *[values[k] for k in differ]])})" for key, values in asked)
+    cells = ", ".join(f"CAST(c{k} AS STRING)" for k in range(width))
+    return (
+        f"SELECT asked.sql_id, collect_list(r) AS rows FROM (VALUES {rows}) AS asked({', '.join(['sql_id', *[names[k] for k in differ]])}) "
+        f"LEFT JOIN LATERAL (SELECT array({cells}) AS r FROM {_named(form, width)} LIMIT {cap + 1}) ON TRUE GROUP BY asked.sql_id"
+    )
+
+
 def _captured(rows: DataFrame) -> DataFrame:
     """Captures with a fingerprint of their rows in any order."""
     fp = F.sha2(F.to_json(F.array_sort("rows")), 256).alias("fp")
@@ -113,7 +164,7 @@ class _Store:
     """The parts of a store; threads write into folders of their own, as writers of one folder would clear each other's unfinished files."""
 
     def __init__(self, spark: SparkSession, path: str, threads: int):
-        self.spark, self.path, self.slots = spark, path, SimpleQueue()
+        self.spark, self.path, self.threads, self.slots = spark, path, threads, SimpleQueue()
         for i in range(threads):
             self.slots.put(i)
         for part, schema in _PARTS.items():
@@ -134,48 +185,101 @@ class _Store:
 class _Job:
     """What a run of statements writes: one SELECT for each, all of them one plan, then the columns of the store's part."""
 
-    def __init__(self, select: Callable[[str, str, int], str], finish: Callable[[DataFrame], DataFrame] = lambda df: df):
-        self.select, self.finish = select, finish
+    def __init__(self, select: Callable[[str, str, int], str], finish: Callable[[DataFrame], DataFrame] = lambda df: df, shared: Callable | None = None):
+        self.select, self.finish, self.shared = select, finish, shared
+
+    def together(self, spark: SparkSession, found: list[tuple[str, str, int]]) -> DataFrame:
+        """The same of statements of one form."""
+        forms = [form_of(sql) for _, sql, _ in found]
+        return self.finish(spark.sql(self.shared(forms[0][0], [(x[0], f[1]) for x, f in zip(found, forms)], found[0][2])))
 
     def rows(self, spark: SparkSession, found: list[tuple[str, str, int]]) -> DataFrame:
         # one text is analysed once; frames put together one by one would be analysed at each step
         return self.finish(spark.sql("\nUNION ALL\n".join(self.select(*x) for x in found)))
 
 
+def _alike(statements: list[tuple[str, str]]) -> bool:
+    forms = {(f or (None,))[0] for f in (form_of(sql) for _, sql in statements)}
+    return len(statements) >= LEAST and len(forms) == 1 and None not in forms
+
+
 def _run(store: _Store, statements: list[tuple[str, str]], jobs: dict[str, _Job]) -> list[tuple[str, str]]:
     """Runs a batch, one job for each part of the store it writes; returns what failed with its message."""
+    spark = store.spark
     failed: list[tuple[str, str]] = []
-    left = []
-    for i, sql in statements:
+    left: list[tuple[str, str, int]] = []
+    alike = _alike(statements) and all(job.shared for job in jobs.values())
+
+    def look(some: list[tuple[str, str]]) -> None:
+        for i, sql in some:
+            fault = query_fault(spark, sql)
+            try:
+                if fault is None:
+                    left.append((i, sql, len(spark.sql(sql).columns)))
+                else:
+                    failed.append((i, fault))
+            except Exception as e:  # the statement is data here; its failure is a result
+                failed.append((i, str(e)))
+
+    # statements of one form are queries of one width together, or each is looked at
+    look(statements[:1] if alike else statements)
+    if alike and left:
+        left = [(i, sql, left[0][2]) for i, sql in statements]
+    elif alike:
+        look(statements[1:])
+        alike = False
+    def attempt(job: _Job, part: str, some: list[tuple[str, str, int]], together: bool) -> tuple[list, list]:
+        """(failures, smaller parts to run)."""
         try:
-            left.append((i, sql, len(store.spark.sql(sql).columns)))
-        except Exception as e:  # the statement is data here; its failure is a result
-            failed.append((i, str(e)))
+            store.write(job.together(spark, some) if together else job.rows(spark, some), part)
+            return [], []
+        except Exception as e:
+            if len(some) == 1:
+                return [(some[0][0], str(e))], []
+            step = -(-len(some) // PARTS)
+            if together and step < BATCH:
+                step, together = BATCH, False
+            return [], [(some[at : at + step], together) for at in range(0, len(some), step)]
+
     for part, job in jobs.items():
         # each run is analysed anew: rand() and the like draw their seeds then
-        todo = [left] if left else []
+        todo = [(left, alike)] if left else []
         while todo:
-            some = todo.pop()
-            try:
-                store.write(job.rows(store.spark, some), part)
-            except Exception as e:
-                if len(some) == 1:
-                    failed.append((some[0][0], str(e)))
-                else:
-                    step = -(-len(some) // PARTS)
-                    todo += [some[at : at + step] for at in range(0, len(some), step)]
+            # the parts of what failed run side by side, as many as the store has writers
+            with ThreadPoolExecutor(min(len(todo), store.threads)) as pool:
+                ended = list(pool.map(lambda x: attempt(job, part, *x), todo))
+            failed += [f for got, _ in ended for f in got]
+            todo = [x for _, smaller in ended for x in smaller]
         gone = {i for i, _ in failed}
         left = [x for x in left if x[0] not in gone]
     return failed
 
 
-def _each(store: _Store, rows: Iterable, jobs: dict, threads: int, batch: int) -> None:
+def _batches(chunk: list[tuple[str, str]], share: Callable[[str], bool], threads: int, batch: int) -> list[list[tuple[str, str]]]:
+    """Statements of one form together, if there are enough, and the others in batches."""
+    forms: dict[str, list[tuple[str, str]]] = {}
+    rest: list[tuple[str, str]] = []
+    for x in chunk:
+        f = form_of(x[1]) if share(x[1]) else None
+        (forms.setdefault(f[0], []) if f else rest).append(x)
+    out = []
+    for some in forms.values():
+        if len(some) < LEAST:
+            rest += some
+        else:
+            size = -(-len(some) // -(-len(some) // SHARED))
+            out += [some[at : at + size] for at in range(0, len(some), size)]
+    rest.sort(key=lambda x: x[1])
+    size = min(batch, -(-len(rest) // threads))
+    return out + [rest[at : at + size] for at in range(0, len(rest), size or 1)]
+
+
+def _each(store: _Store, rows: Iterable, jobs: dict, threads: int, batch: int, share: Callable[[str], bool] = lambda sql: False) -> None:
     """Batches of (sql_id, sql) rows on a few threads; the next ones are read when these are done."""
     stream = iter(rows)
     with ThreadPoolExecutor(threads) as pool:
-        while chunk := [(r["sql_id"], r["sql"]) for r in islice(stream, threads * batch)]:
-            size = min(batch, -(-len(chunk) // threads))
-            parts = [chunk[at : at + size] for at in range(0, len(chunk), size)]
+        while chunk := [(r["sql_id"], r["sql"]) for r in islice(stream, threads * max(batch, HELD))]:
+            parts = _batches(chunk, share, threads, batch)
             failed = [f for got in pool.map(lambda p: _run(store, p, jobs), parts) for f in got]
             if failed:
                 store.write(store.spark.createDataFrame(failed, _PARTS["failed"]).coalesce(1), "failed")
@@ -202,23 +306,14 @@ def run_statements(
     refused = pending.where("not ro").select("sql_id", F.lit(REFUSED).alias("sql_error"))
     kept.write(refused, "failed")
 
-    def plain(rows: Iterable) -> Iterable:
-        faults = []
-        for r in rows:
-            fault = query_fault(spark, r["sql"])
-            if fault is None:
-                yield r
-            else:
-                faults.append((r["sql_id"], fault))
-            if faults and len(faults) >= batch:
-                kept.write(spark.createDataFrame(faults, _PARTS["failed"]).coalesce(1), "failed")
-                faults = []
-        if faults:
-            kept.write(spark.createDataFrame(faults, _PARTS["failed"]).coalesce(1), "failed")
-
-    first = _Job(lambda *x: _capture_sql(*x, cap), _captured)
-    again = _Job(lambda *x: _capture_sql(*x, cap), lambda df: _captured(df).select("sql_id", F.col("n_result_rows").alias("n_again"), F.col("fp").alias("fp_again")))
-    _each(kept, plain(pending.where("ro").orderBy("sql").toLocalIterator()), {"first": first} | ({"again": again} if check else {}), threads, batch)
+    def share(sql: str) -> bool:
+        # a lateral join keeps no order of rows; without a capture (cap 0) there is none to keep
+        return cap == 0 or "order" not in sql.lower()
+
+    shared = lambda *x: _shared_capture_sql(*x, cap)
+    first = _Job(lambda *x: _capture_sql(*x, cap), _captured, shared)
+    again = _Job(lambda *x: _capture_sql(*x, cap), lambda df: _captured(df).select("sql_id", F.col("n_result_rows").alias("n_again"), F.col("fp").alias("fp_again")), shared)
+    _each(kept, pending.where("ro").orderBy("sql").toLocalIterator(), {"first": first} | ({"again": again} if check else {}), threads, batch, share)
     if check:
         # captures of both runs complete: they were compared; else the whole results are, by fingerprints
         both = kept.read("first").join(kept.read("again"), "sql_id")

@@ -1,5 +1,7 @@
 """Batched execution, the capture store, and Spark's parser as guard."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +142,63 @@ def test_lost_groups(spark):
     with pytest.raises(Exception, match="no readable table left"):
         pf.require_tables(rows, ["space_id"]).collect()
     assert [tuple(r) for r in pf.require_tables(rows.where("space_id = 1"), ["space_id"]).collect()] == [(1, "a", "")]
+
+
+ALIKE = [
+    [f"SELECT COUNT(*) AS n FROM cap_t WHERE b = 2 AND a > {k}" for k in range(0, 400, 9)],
+    [f"SELECT a, name FROM cap_t WHERE name = 'n{k}' -- not 'n1'\n" for k in range(190, 210)],
+    [f"WITH c AS (SELECT b FROM cap_t WHERE a < {k}) SELECT b, COUNT(*) AS n FROM c GROUP BY b HAVING COUNT(*) > 1" for k in range(30)],
+    [f"SELECT 'x = {k}' AS s, 1 AS one FROM cap_t GROUP BY b HAVING MAX(a) >= {k}" for k in range(190, 203)],
+    [f"SELECT COUNT(CASE WHEN b = 1 THEN a END) AS n, COUNT(CASE WHEN name <> 'n{k}' THEN 1 END) AS m FROM cap_t" for k in range(9)],
+    [f"SELECT a, COUNT(*) AS n FROM cap_t WHERE a <> {k} GROUP BY a ORDER BY a DESC LIMIT 4" for k in range(190, 202)],
+]
+
+
+@pytest.mark.parametrize("alike", ALIKE)
+def test_statements_of_one_form_share_a_plan(spark, monkeypatch, alike):
+    """Each statement's capture is what it gives alone."""
+    got = run(spark, alike)
+    monkeypatch.setattr(cp, "LEAST", len(alike) + 1)
+    alone = run(spark, alike)
+    assert set(got) == set(alike)
+    bag = lambda r: (sorted(json.loads(r["expected_rows_json"])), r["n_result_rows"], r["sql_executes"], r["sql_deterministic"])
+    assert {s: bag(r) for s, r in got.items()} == {s: bag(r) for s, r in alone.items()}
+    if "ORDER" in alike[0]:
+        assert [r["expected_rows_json"] for r in got.values()] == [alone[s]["expected_rows_json"] for s in got]
+
+
+def test_plans_do_not_grow_with_values(spark, monkeypatch):
+    """200 statements of one form are one write and one check by the parser, not four batches of 200 plans."""
+    written, looked = [], []
+    write, fault = cp._Store.write, cp.query_fault
+    monkeypatch.setattr(cp._Store, "write", lambda self, df, part: written.append(part) or write(self, df, part))
+    monkeypatch.setattr(cp, "query_fault", lambda spark, sql: looked.append(sql) or fault(spark, sql))
+    got = run(spark, [f"SELECT COUNT(*) AS n FROM cap_t WHERE a = {k}" for k in range(200)], cap=0, check=False)
+    assert len(got) == 200 and all(r["sql_executes"] and r["n_result_rows"] == 1 for r in got.values())
+    assert written.count("first") == 2 and len(looked) == 1
+
+
+def test_a_form_with_failing_values(spark):
+    """One value's failure is its own, in a form that is run together and in one that cannot be."""
+    casts = [f"SELECT CAST(name AS INT) AS n FROM cap_t WHERE a = 5 AND b = {k}" for k in range(20)]
+    sums = [f"SELECT SUM(a) / {k} AS n FROM cap_t WHERE b = {k}" for k in range(3)]
+    wrong = [f"SELECT nope FROM cap_t WHERE a = {k}" for k in range(10)]
+    deleted = [f"DELETE FROM cap_t WHERE a = {k}" for k in range(10)]
+    got = run(spark, casts + sums + wrong + deleted, cap=0, check=False)
+    assert [got[s]["sql_executes"] for s in casts] == [k != 2 for k in range(20)]
+    assert [got[s]["sql_executes"] for s in sums] == [False, True, True]
+    assert all("nope" in got[s]["sql_error"] for s in wrong)
+    assert not any(got[s]["sql_executes"] for s in deleted) and spark.table("cap_t").count() == 200
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT 1", "SELECT f(x => 5)", "SELECT a FROM t WHERE b = 'it''s'", "SELECT a FROM t WHERE b = 'x' 'y'", "SELECT a FROM t WHERE b = 5.5",
+    "SELECT a FROM t WHERE b = 5L", "SELECT 'b = 5'", "SELECT `b = 5` FROM t -- b = 5", "SELECT a /* = 5 */ FROM t LIMIT 5", "SELECT a FROM t WHERE b = DATE '2024-01-01'",
+    r"SELECT a FROM t WHERE b = 'x\'' OR a = 5", 'SELECT "x = 5" = 5', "SELECT transform(x, y -> 5)", "SELECT a FROM t WHERE b = -5", "SELECT a FROM t WHERE b = ${x} OR a = 5",
+])
+def test_values_that_stay(sql):
+    assert cp.form_of(sql) is None
+
+
+def test_forms():
+    assert cp.form_of("SELECT 'a = 1' FROM t WHERE a=1 AND b <> 'x' GROUP BY 2") == ("SELECT 'a = 1' FROM t WHERE a= asked.p0n AND b <> asked.p1s GROUP BY 2", ("1", "'x'"))
