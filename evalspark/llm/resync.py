@@ -22,10 +22,12 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from evalspark.llm.frames import bare, map_rows, materialize
-from evalspark.llm.tokens import BLANKS, load, share, unit, words_of
+from evalspark.llm.tokens import BLANKS, counts_of, load, share
 
 CHUNK = 32_768
 OVERLAP = 512
+#: Short texts whose unknown words are looked up at a time.
+TEXTS = 64
 
 
 def chunk_counts(text: str, k: int, whole: int, tok, chunk: int, overlap: int) -> tuple:
@@ -94,12 +96,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, chunk: int = CHU
     kind = dict(docs.dtypes)["doc_id"]
 
     def count(x):
-        table, n = words_of(file.value), []
-        size = np.dtype(unit(table.tok)).itemsize
-        for t in x["text"]:
-            w = t.encode("utf-8", "replace").split()
-            memo = table.learn(w)
-            n.append(sum([len(memo[y]) for y in w]) // size)
+        table, n = counts_of(file.value), []
+        for at in range(0, len(x["text"]), TEXTS):
+            n += table.of([t.encode("utf-8", "replace").split() for t in x["text"][at : at + TEXTS]])
         return {"doc_id": x["doc_id"], "n_bytes": x["n_bytes"], "n_tokens": n}
 
     out = map_rows(sized.filter(F.length("text") <= chunk), count, f"doc_id {kind}, n_bytes long, n_tokens long", 4096)

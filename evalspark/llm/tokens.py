@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 
 #: Words that a worker remembers before it starts afresh, and how many it encodes at a time.
 MEMO, BATCH = 200_000, 10_000
+#: Words whose number of tokens alone a worker remembers.
+COUNTS = 400_000
 #: What every tokenizer of these drops and never crosses, in any place of a text: ASCII white space.
 BLANKS = " \t\n\r\x0b\x0c"
 
@@ -62,6 +64,27 @@ class Words:
         return self.memo
 
 
+class Counts:
+    """Numbers of tokens of words (as bytes), each encoded once as long as it is remembered."""
+
+    def __init__(self, text: str):
+        self.tok, self.memo = load(text), {}
+
+    def of(self, texts: list[list[bytes]]) -> list[int]:
+        """The tokens of each text's words."""
+        words = set().union(*texts)
+        new = [w for w in words if w not in self.memo]
+        if new and len(self.memo) > COUNTS:
+            self.memo.clear()
+            new = list(words)
+        for at in range(0, len(new), BATCH):
+            part = new[at : at + BATCH]
+            got = self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+            self.memo.update(zip(part, map(len, got)))
+        n = self.memo.__getitem__
+        return [sum(map(n, w)) for w in texts]
+
+
 @lru_cache(2)
-def words_of(text: str) -> Words:
-    return Words(text)
+def counts_of(text: str) -> Counts:
+    return Counts(text)

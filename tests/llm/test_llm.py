@@ -320,3 +320,27 @@ def test_dropped_candidates_cover_nothing(spark):
     rows = spark.createDataFrame([(r, "phone", lo, hi, "groups") for r, lo, hi in spans], "rid long, as_kind string, lo long, hi long, by string")
     # of a chain the third is kept, as nothing kept covers it
     assert sorted(tuple(x) for x in pii._apart(rows).select("rid", "lo", "hi").collect()) == [(1, 0, 10), (1, 18, 30), (1, 30, 35), (2, 5, 12), (2, 12, 14)]
+
+
+def test_words_of_many_texts_are_encoded_together(monkeypatch):
+    """Each unknown word of a slice is encoded once, in one call; a full memo starts afresh and counts stay right."""
+    from evalspark.llm import queries as q, tokens
+
+    with open(q.tokenizer_path(), encoding="utf-8") as f:
+        counts = tokens.Counts(f.read())
+    texts = [f"word{k % 5} other, {k} \x0b naïve-{k % 3}  ".encode().split() for k in range(40)] + [[]]
+    want = [sum(len(counts.tok.encode(w.decode(), add_special_tokens=False).ids) for w in t) for t in texts]
+    asked, tok = [], counts.tok
+
+    class Seen:
+        def encode_batch_fast(self, words, **options):
+            asked.append(list(words))
+            return tok.encode_batch_fast(words, **options)
+
+    counts.tok = Seen()
+    assert counts.of(texts) == want
+    assert len(asked) == 1 and len(set(asked[0])) == len(asked[0]) == len(set().union(*texts))
+    monkeypatch.setattr(tokens, "COUNTS", 3)
+    assert counts.of(texts[:7]) == want[:7] and len(asked) == 1
+    assert counts.of([[b"unseen"], *texts[:7]])[1:] == want[:7]
+    assert len(counts.memo) == len({b"unseen"}.union(*texts[:7]))
