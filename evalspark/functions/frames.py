@@ -25,6 +25,18 @@ def attach(df: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by its keys over a few tasks for each core, for work that costs far more than a shuffle.
+
+    A table in one file of few row groups is read by as many tasks, however
+    many cores there are; the count is fixed, as the rows are small where the
+    work on them is not.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
+
+
 def ranked(rows: DataFrame, by: list[str], order: list[Column | str], label: str = "ranked") -> DataFrame:
     """``rows`` with ``at`` (a unique id in the order of ``by``, then ``order``) and ``rank`` (from 0 within ``by``).
 

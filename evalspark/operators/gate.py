@@ -49,10 +49,10 @@ def derive_votes(items: DataFrame, solutions: DataFrame, on: list[str], expected
     """
     # canonical once per item, not once per vote
     own = items.select(*on, canon_rows(expected).alias("_expected"))
-    joined = solutions.join(own, on)
+    joined = solutions.join(own, on).withColumn("_voted", F.col(rows).isNotNull())
     return (
         rows_match(joined, "_expected", rows, "_match", canonical=True)
-        .withColumn("verdict", F.when(F.col(rows).isNotNull(), F.col("_match")))
+        .withColumn("verdict", F.when(F.col("_voted"), F.col("_match")))
         .select(*solutions.columns, "verdict")
     )
 

@@ -8,6 +8,7 @@ from math import isfinite
 from operator import or_
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType
 
@@ -138,13 +139,10 @@ def cells_close(a, b) -> Column:
 
 @F.arrow_udf(BooleanType())
 def _match_permutation(expected: pa.Array, actual: pa.Array) -> pa.Array:
-    return pa.array(
-        [
-            None if e is None or g is None else _columns_agree(e, g)
-            for e, g in zip(expected.to_pylist(), actual.to_pylist())
-        ],
-        type=pa.bool_(),
-    )
+    # most pairs are decided and come as nulls
+    asked = pc.and_(expected.is_valid(), actual.is_valid())
+    found = [_columns_agree(e, g) for e, g in zip(expected.filter(asked).to_pylist(), actual.filter(asked).to_pylist())]
+    return pc.replace_with_mask(pa.nulls(len(asked), pa.bool_()), asked, pa.array(found, type=pa.bool_()))
 
 
 def bag_equal(expected, actual) -> Column:
@@ -164,7 +162,9 @@ def _settled(df: DataFrame) -> DataFrame:
     """Decides the pairs (_e, _g: canonical, same size, same width) with ``_open`` true, as far as exact tests go.
 
     Adds ``_exact`` (TRUE or FALSE where decided, NULL where Python must look)
-    and nothing else.  Columns are put in the order of their bags of cells;
+    and nothing else.  Pairs whose cells, each in its place, are equal or
+    clearly within tolerance match: the first free row that an expected row
+    may take is then at the latest its own.  Of the others, columns are put in the order of their bags of cells;
     where all bags differ that order is the only permutation under which the
     rows can be equal.  Where the bags differ between the sides no permutation
     makes them equal, and without a fraction no tolerance helps.  With one,
@@ -176,7 +176,7 @@ def _settled(df: DataFrame) -> DataFrame:
     def bags(rows: str) -> Column:
         width = F.size(F.get(rows, F.lit(0)))
         column = lambda c: F.sort_array(F.transform(rows, lambda r: F.get(r, c)))
-        return F.array_sort(F.transform(F.sequence(F.lit(0), width - 1), lambda c: F.struct(column(c).alias("bag"), c.alias("at"))))
+        return F.sort_array(F.transform(F.sequence(F.lit(0), width - 1), lambda c: F.struct(column(c).alias("bag"), c.alias("at"))))
 
     def ordered(rows: str, by: str) -> Column:
         return F.sort_array(F.transform(rows, lambda r: F.transform(by, lambda x: F.get(r, x["at"]))))
@@ -187,7 +187,17 @@ def _settled(df: DataFrame) -> DataFrame:
     def words(cells: str) -> Column:
         return F.sort_array(F.filter(cells, lambda c: ~c.rlike(_DIGIT)))
 
-    usable = F.col("_open") & (F.size(F.get("_e", F.lit(0))) > 0)
+    def stands_for(p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        x, y = a.try_cast("double"), b.try_cast("double")
+        clear = F.abs(x - y) < 0.99 * _REL_F * F.greatest(F.abs(x), F.abs(y))
+        return (a == b) | ((a.contains(".") | b.contains(".")) & a.rlike(_DECIMAL) & b.rlike(_DECIMAL) & clear)
+
+    wide = F.col("_open") & (F.size(F.get("_e", F.lit(0))) > 0)
+    df = df.withColumns({f"_f{s}": F.when(wide, F.flatten(f"_{s}")) for s in "eg"})
+    placed = F.forall(F.arrays_zip(F.col("_fe").alias("a"), F.col("_fg").alias("b")), stands_for)
+    df = df.withColumn("_placed", F.coalesce(placed, F.lit(False)))
+    usable = wide & ~F.col("_placed")
     df = df.withColumns({"_be": F.when(usable, bags("_e")), "_bg": F.when(usable, bags("_g"))})
     same = F.transform("_be", lambda x: x["bag"]) == F.transform("_bg", lambda x: x["bag"])
     alone = F.size(F.array_distinct(F.transform("_be", lambda x: x["bag"]))) == F.size("_be")
@@ -196,9 +206,8 @@ def _settled(df: DataFrame) -> DataFrame:
         "_rank",
         F.when(~usable, None).when(~F.col("_same"), 1).when(~alone, 0).when(ordered("_e", "_be") == ordered("_g", "_bg"), 2).when(F.col("_same"), 1),
     )
-    df = df.withColumns({"_fe": F.when(F.col("_rank") == 1, F.flatten("_e")), "_fg": F.when(F.col("_rank") == 1, F.flatten("_g"))})
     dotted = F.exists("_fe", lambda c: c.contains(".")) | F.exists("_fg", lambda c: c.contains("."))
-    df = df.withColumn("_dotted", dotted)
+    df = df.withColumn("_dotted", F.when(F.col("_rank") == 1, dotted))
     look = F.col("_dotted")
     df = df.withColumns({f"_{k}{s}": F.when(look, f(f"_f{s}")) for s in "eg" for k, f in (("w", words), ("n", numbers))})
     # a cell with digits that is no plain number can have any form: Python decides
@@ -208,13 +217,13 @@ def _settled(df: DataFrame) -> DataFrame:
         lambda p: F.coalesce(F.abs(p["a"] - p["b"]) <= 1.01 * _REL_F * F.greatest(F.abs(p["a"]), F.abs(p["b"])) + 2 * _ABS_F, F.lit(False)),
     )
     exact = (
-        F.when(F.col("_rank") == 2, True)
+        F.when(F.col("_placed") | (F.col("_rank") == 2), True)
         .when(F.col("_rank") == 0, None)
         .when(~F.col("_dotted"), False)
         .when(F.col("_we") != F.col("_wg"), False)
         .when(plain & ~near, False)
     )
-    extra = ["_be", "_bg", "_same", "_rank", "_fe", "_fg", "_dotted", "_we", "_wg", "_ne", "_ng"]
+    extra = ["_placed", "_be", "_bg", "_same", "_rank", "_fe", "_fg", "_dotted", "_we", "_wg", "_ne", "_ng"]
     return df.withColumn("_exact", exact).drop(*extra)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.cells import canon_cell, canon_rows, parse_rows
+from ..functions.frames import spread
 from ..functions.text import extract_sql, has_relative_time, is_readonly, norm_question, sql_skeleton, structural_difficulty
 from ..operators import items as it
 from ..operators import match as m
@@ -402,7 +403,7 @@ def bag(spark, d):
 @query("m5_column_permutation", with_views("pairs") + """
     SELECT question_id, kind IN ('1-URGENT/F', '1-URGENT/O', '1-URGENT/P', '2-HIGH/O', '5-LOW/F') AS verdict FROM pairs""")
 def permutation(spark, d):
-    p = view(spark, d, "pairs").select("question_id", parse_rows("expected_json").alias("e"), parse_rows("answer_json").alias("a"))
+    p = spread(view(spark, d, "pairs"), "question_id").select("question_id", parse_rows("expected_json").alias("e"), parse_rows("answer_json").alias("a"))
     return m.match_permutation(p, "e", "a").select("question_id", "verdict")
 
 
@@ -417,7 +418,7 @@ _PAIRED = " AND ".join(_near(a, b) for a, b in (("p", "p1"), ("2 * p", "2 * p1")
 @query("m6_tolerant_rows", f"""WITH o AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) + 0.01 AS p, CAST(o_totalprice AS DECIMAL(18,1)) AS p1 FROM orders)
     SELECT o_orderkey, {_PAIRED} AND {_near("0.333333", "0.33333")} AS rounded, {_PAIRED} AND {_near("0.333333", "0.34")} AS wrong FROM o""")
 def tolerant(spark, d):
-    o = table(spark, d, "orders").select(
+    o = spread(table(spark, d, "orders"), "o_orderkey").select(
         "o_orderkey", F.col("o_orderstatus").alias("s"), F.col("o_totalprice").cast("decimal(18,2)").alias("p"),
         F.col("o_totalprice").cast("decimal(18,1)").alias("p1"),
     )
@@ -434,7 +435,7 @@ def tolerant(spark, d):
     SELECT question_id, kind, CASE WHEN kind IN ('1-URGENT/F', '1-URGENT/O', '1-URGENT/P', '2-HIGH/O', '5-LOW/F') THEN TRUE
         WHEN kind IN ('3-MEDIUM/P', '4-NOT SPECIFIED/F', '5-LOW/P') THEN NULL ELSE FALSE END AS verdict FROM pairs""")
 def rows_match(spark, d):
-    return m.rows_match_json(view(spark, d, "pairs"), "expected_json", "answer_json").select("question_id", "kind", "verdict")
+    return m.rows_match_json(spread(view(spark, d, "pairs"), "question_id"), "expected_json", "answer_json").select("question_id", "kind", "verdict")
 
 
 @query("m8_multiset_diff", with_views("expected_rows", "actual_rows") + """, l AS (SELECT k, n, v, COUNT(*) AS c FROM expected_rows GROUP BY ALL),

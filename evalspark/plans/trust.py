@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.cells import parse_rows
+from ..functions.frames import spread
 from ..functions.stats import n_for_half, wilson_bounds, wilson_half
 from ..functions.text import norm_question
 from ..operators import calibrate as cal
@@ -101,8 +102,8 @@ def vote_derivation(spark, d):
                       ELSE concat('[["', o_orderstatus, '", ', CAST(o_totalprice AS DECIMAL(18,2)), '], ["n", ', o_custkey + 1, ']]') END AS j
            FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""", lineitem=_table(spark, d, "lineitem"), orders=_table(spark, d, "orders"))
     votes = gate.derive_votes(
-        items.select("question_id", parse_rows("j").alias("expected_rows")),
-        solved.select("question_id", "solver_idx", parse_rows("j").alias("solver_rows")),
+        spread(items, "question_id").select("question_id", parse_rows("j").alias("expected_rows")),
+        spread(solved, "question_id").select("question_id", "solver_idx", parse_rows("j").alias("solver_rows")),
         ["question_id"],
     )
     return votes.select("question_id", "solver_idx", "verdict")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalspark.functions.cells import canon_cell, parse_rows
+from evalspark.operators import match
 from evalspark.operators.match import cells_close
 from evalspark.operators.match import diff_summary, multiset_diff, rows_match, rows_match_json
 
@@ -143,3 +144,50 @@ def test_equal_numbers_of_any_size_read_alike(spark):
     for r in df.collect():
         found.setdefault(r["g"], set()).add(r["k"])
     assert all(len(k) == 1 for k in found.values()) and len(set.union(*found.values())) == len(groups)
+
+
+def test_cells_in_their_places_are_settled_without_python(spark):
+    pairs = [
+        (0, [["F", "123.45"], ["n", "17"]], [["F", "123.5"], ["n", "17"]], True),
+        (1, [["-0.5"], ["-0.5"]], [["-0.5001"], ["-0.5"]], True),
+        (2, [["a", "1.5"]], [["a", "1.5"]], True),
+        (3, [["F", "123.45"], ["n", "17"]], [["F", "123.45"], ["n", "18"]], False),
+        # too near the bound, or no plain number: not settled by this test
+        (4, [["1000.0"]], [["999.0001"]], None),
+        (5, [["1000.5", "x"]], [["x", "1000.6"]], None),
+    ]
+    df = spark.createDataFrame([(k, e, g, True) for k, e, g, _ in pairs], "k int, _e array<array<string>>, _g array<array<string>>, _open boolean")
+    got = {r["k"]: r["_exact"] for r in match._settled(df).collect()}
+    assert got == {k: want for k, _, _, want in pairs}
+
+
+def test_settled_pairs_agree_with_the_search(spark):
+    rng = random.Random(5)
+    cell = lambda: rng.choice(["1", "2", "1.5", "1.501", "1.4995", "-1.5", "x", "\u0000NULL", "100.1", "100.15", "1e5.", "7a.1"])
+    pairs = []
+    for k in range(3000):
+        rows, width = rng.randint(1, 3), rng.randint(1, 3)
+        e = [[cell() for _ in range(width)] for _ in range(rows)]
+        g = [[rng.choice([v, v, v, cell()]) for v in r] for r in e]
+        pairs.append((k, e, g, True))
+    df = spark.createDataFrame(pairs, "k int, _e array<array<string>>, _g array<array<string>>, _open boolean")
+    got = {r["k"]: r["_exact"] for r in match._settled(df).collect()}
+    wrong = [(e, g) for k, e, g, _ in pairs if got[k] is not None and got[k] != match._columns_agree(e, g)]
+    assert not wrong and sum(v is True for v in got.values()) > 300
+
+
+def test_votes_of_one_row_group_are_spread(spark, tmp_path):
+    from evalspark.plans.registry import QUERIES
+    from evalspark.plans import trust  # noqa: F401
+
+    orders = spark.range(1, 301).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "substring('FOP', CAST(id % 3 + 1 AS INT), 1) AS o_orderstatus", "CAST(1000 + id AS DOUBLE) + 0.37 AS o_totalprice")
+    lines = spark.range(1, 301).selectExpr("id AS l_orderkey", "explode(sequence(1, 7)) AS l_linenumber")
+    orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    votes = QUERIES["t3_vote_derivation"](spark, str(tmp_path))
+    assert votes.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    status = {r["o_orderkey"]: r["o_orderstatus"] for r in orders.collect()}
+    want = {0: True, 1: True, 3: None, 4: False, 5: True, 6: False}
+    got = votes.collect()
+    assert len(got) == 2100
+    assert all(r["verdict"] == (status[r["question_id"]] == "F" if r["solver_idx"] == 2 else want[r["solver_idx"]]) for r in got)
