@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.cells import ROW_CAP
-from ..operators import gate, profile as pf, scorecard as sc
+from ..operators import gate, items as it, profile as pf, scorecard as sc
 from ..operators import validate as va
-from ..session import materialize, scratch_path
+from ..session import materialize, scratch_path, with_statistics
 from ..sources import history as hist
 from ..sources import spaces as sp
-from .common import TABLES, table, tables, view, with_views
-from .quality import every_item, star_catalog, star_views
+from .common import TABLES, table, table_path, tables, view, with_views
+from .quality import every_item, profiles, star_catalog, star_views
 from .registry import ORACLES, query, r6
 
 # columns of the test tables by type, for the oracle texts
@@ -379,8 +379,14 @@ _RESULTS = f""",
 def execute(spark, d):
     """Captures of the statements of all items; rows in any order, of results that the cap left whole."""
     star_views(spark, d)
-    made = materialize(every_item(spark, d).select(va.statement_id("expected_sql").alias("question_id"), "expected_sql").distinct(), "statements")
-    got = va.execute_items(made, "question_id").join(made, "question_id")
+    values, ranges = profiles(spark, d)
+    made = materialize(it.profiled_items(values, ranges).select(va.statement_id("expected_sql").alias("question_id"), "expected_sql").distinct(), "statements")
+    # cohorts join a table that has dates with the groups of its columns; one row for each such table
+    dated = values.join(ranges.select("table").distinct(), "table", "left_semi").groupBy("table").agg(F.sort_array(F.collect_set("column")).alias("columns"))
+    grouped = {r["table"]: r["columns"] for r in dated.collect()}
+    with with_statistics(spark, {t: table_path(d, t) for t in grouped}, grouped):
+        got = va.execute_items(made, "question_id")
+    got = got.join(made, "question_id")
     rows = F.from_json("expected_rows_json", "array<array<string>>")
     lines = F.array_sort(F.transform(rows, lambda r: F.array_join(r, "|", "∅")))
     whole = F.when(F.col("n_result_rows") <= ROW_CAP, F.array_join(lines, ";"))

@@ -226,8 +226,13 @@ def customer_items(spark, d):
 
 def every_item(spark, d):
     """Items of every profiled column and date range of every table."""
+    return it.profiled_items(*profiles(spark, d))
+
+
+def profiles(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The values and the date ranges of every table."""
     opened = tables(spark, d)
-    return it.profiled_items(pf.profile_tables(opened), pf.profile_ranges(opened))
+    return pf.profile_tables(opened), pf.profile_ranges(opened)
 
 
 @query("q17_distribution_check", with_views("raw_items") + """

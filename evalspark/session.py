@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -56,3 +58,33 @@ def materialize(df, label: str):
     path = scratch_path(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def with_statistics(spark: SparkSession, paths: Mapping[str, str], columns: Mapping[str, list[str]]) -> Iterator[None]:
+    """Within it the views that ``columns`` names read the parquet files in ``paths`` with statistics of those columns.
+
+    Without statistics Spark takes the groups of a table to be about as large as
+    the table, so that joining the two shuffles the whole table by a few keys;
+    with them it sends the groups to the table.  The views, the setting and the
+    catalog are afterwards as before: what reads the views has to run within.
+    """
+    before = {name: spark.table(name) for name in columns}
+    cbo = spark.conf.get("spark.sql.cbo.enabled")
+    made = []
+    try:
+        for name, names in columns.items():
+            kept = f"evalspark_{name}_{uuid.uuid4().hex}"
+            # a table over a path is external: dropping it leaves the files
+            spark.catalog.createTable(kept, path=paths[name], source="parquet", schema=before[name].schema)
+            made.append(kept)
+            spark.sql(f"ANALYZE TABLE {kept} COMPUTE STATISTICS FOR COLUMNS {', '.join(f'`{c}`' for c in names)}")
+            spark.table(kept).createOrReplaceTempView(name)
+        spark.conf.set("spark.sql.cbo.enabled", "true")
+        yield
+    finally:
+        spark.conf.set("spark.sql.cbo.enabled", cbo)
+        for name, df in before.items():
+            df.createOrReplaceTempView(name)
+        for kept in made:
+            spark.sql(f"DROP TABLE {kept}")

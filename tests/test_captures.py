@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evalspark.operators import captures as cp
 from evalspark.operators import profile as pf
 from evalspark.operators import validate as va
+from evalspark.plans import grounding
 from evalspark.session import scratch_path
 
 
@@ -202,3 +203,38 @@ def test_values_that_stay(sql):
 
 def test_forms():
     assert cp.form_of("SELECT 'a = 1' FROM t WHERE a=1 AND b <> 'x' GROUP BY 2") == ("SELECT 'a = 1' FROM t WHERE a= asked.p0n AND b <> asked.p1s GROUP BY 2", ("1", "'x'"))
+
+
+COHORT = "WITH c AS (SELECT {c} AS k, MIN({d}) AS start FROM {t} GROUP BY {c}) SELECT start, {d}, COUNT(DISTINCT k) AS n_values, COUNT(*) AS n FROM {t} JOIN c ON {c} = k GROUP BY start, {d}"
+
+
+def test_cohorts_do_not_shuffle_their_table(spark, monkeypatch, tmp_path):
+    """A table joined with its own groups is sent the groups; the views, the setting and the catalog are as before."""
+    days = "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(id % 50)"
+    for t in grounding.TABLES:
+        spark.sql(f"SELECT id, CASE WHEN id % 9 > 0 THEN concat('v', id % 3) END AS `a b`, {days} AS day FROM range(5000)").coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    sql, seen = COHORT.format(t="orders", c="`a b`", d="day"), []
+
+    def joins():
+        plan = spark.sql(sql)._jdf.queryExecution().executedPlan().toString()
+        return "BroadcastHashJoin" in plan, "SortMergeJoin" in plan
+
+    def execute_items(items, key):
+        seen.append((joins(), sorted(map(tuple, spark.sql(sql).collect()))))
+        return items.select(key, *[F.lit(None).cast(x).alias(c) for c, x in [
+            ("sql_executes", "boolean"), ("sql_error", "string"), ("n_result_rows", "bigint"), ("nonempty_result", "boolean"), ("expected_rows_json", "string"), ("sql_deterministic", "boolean")]])
+
+    monkeypatch.setattr(grounding.va, "execute_items", execute_items)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2000")
+        assert grounding.execute(spark, str(tmp_path)).count() > 0
+        assert joins() == (False, True)  # what Spark does without statistics
+        plain = sorted(map(tuple, spark.sql(sql).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        left = [x.name for x in spark.catalog.listTables() if not x.isTemporary]
+        for t in grounding.TABLES:
+            spark.catalog.dropTempView(t)
+    assert seen == [((True, False), plain)] and len(plain) > 1
+    assert not left and spark.conf.get("spark.sql.cbo.enabled") == "false"
