@@ -12,7 +12,9 @@ pay for it.
 Statements that differ in compared values only (``WHERE k = 17``, ``= 18``, …)
 are one lateral join of those values with the statement: Spark plans and
 compiles it once and reads each table once for all of them.  What fails so, or
-cannot be written so, is run statement by statement as above.
+cannot be written so, is run statement by statement as above.  Without a
+capture (cap 0) a form is first tried in one pass over the rows that it reads,
+however many statements it has; that also tells the failing ones (``forms``).
 
 The second run that determinism needs is a job of its own, as Spark would run
 what two halves of one plan share only once.  No result passes the driver: it
@@ -32,10 +34,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.cells import ROW_CAP
 from ..functions.text import col_of, is_readonly
 from ..session import materialize, scratch_path
+from . import forms
 
 BATCH, PARTS, THREADS = 64, 8, 8
 #: Statements of one form that share a lateral join, at least and at most; statements that the driver holds at a time, for each thread.
-LEAST, SHARED, HELD = 8, 128, 1024
+LEAST, SHARED, HELD = 8, 128, 8192
 REFUSED = "not run: the statement is not a plain query"
 
 _PARTS = {
@@ -185,22 +188,35 @@ class _Store:
 class _Job:
     """What a run of statements writes: one SELECT for each, all of them one plan, then the columns of the store's part."""
 
-    def __init__(self, select: Callable[[str, str, int], str], finish: Callable[[DataFrame], DataFrame] = lambda df: df, shared: Callable | None = None):
-        self.select, self.finish, self.shared = select, finish, shared
+    def __init__(
+        self, select: Callable[[str, str, int], str], finish: Callable[[DataFrame], DataFrame] = lambda df: df, shared: Callable | None = None, one_pass: bool = False
+    ):
+        self.select, self.finish, self.shared, self.one_pass = select, finish, shared, one_pass
 
     def together(self, spark: SparkSession, found: list[tuple[str, str, int]]) -> DataFrame:
         """The same of statements of one form."""
-        forms = [form_of(sql) for _, sql, _ in found]
-        return self.finish(spark.sql(self.shared(forms[0][0], [(x[0], f[1]) for x, f in zip(found, forms)], found[0][2])))
+        return self.finish(spark.sql(self.shared(*_asked(found), found[0][2])))
 
     def rows(self, spark: SparkSession, found: list[tuple[str, str, int]]) -> DataFrame:
         # one text is analysed once; frames put together one by one would be analysed at each step
         return self.finish(spark.sql("\nUNION ALL\n".join(self.select(*x) for x in found)))
 
 
+def _asked(found: list[tuple[str, str, int]]) -> tuple[str, list[tuple[str, tuple[str, ...]]]]:
+    """The form of statements that share one, and each one's values."""
+    got = [form_of(sql) for _, sql, _ in found]
+    return got[0][0], [(x[0], f[1]) for x, f in zip(found, got)]
+
+
 def _alike(statements: list[tuple[str, str]]) -> bool:
-    forms = {(f or (None,))[0] for f in (form_of(sql) for _, sql in statements)}
-    return len(statements) >= LEAST and len(forms) == 1 and None not in forms
+    found = {(f or (None,))[0] for f in (form_of(sql) for _, sql in statements)}
+    return len(statements) >= LEAST and len(found) == 1 and None not in found
+
+
+def _cut(statements: list, most: int) -> list[list]:
+    """Parts of about one size, none above ``most``."""
+    size = -(-len(statements) // -(-len(statements) // most))
+    return [statements[at : at + size] for at in range(0, len(statements), size)]
 
 
 def _run(store: _Store, statements: list[tuple[str, str]], jobs: dict[str, _Job]) -> list[tuple[str, str]]:
@@ -228,6 +244,7 @@ def _run(store: _Store, statements: list[tuple[str, str]], jobs: dict[str, _Job]
     elif alike:
         look(statements[1:])
         alike = False
+
     def attempt(job: _Job, part: str, some: list[tuple[str, str, int]], together: bool) -> tuple[list, list]:
         """(failures, smaller parts to run)."""
         try:
@@ -241,9 +258,32 @@ def _run(store: _Store, statements: list[tuple[str, str]], jobs: dict[str, _Job]
                 step, together = BATCH, False
             return [], [(some[at : at + step], together) for at in range(0, len(some), step)]
 
+    def in_one_pass(job: _Job, part: str) -> bool:
+        """Whether all statements of the form, those that fail too, were settled in one pass."""
+        try:
+            made = forms.together(spark, *_asked(left))
+            if made is None:
+                return False
+            made = materialize(made, "form")
+            bad = {r["sql_id"]: r["bad"] for r in made.where("bad > 0").select("sql_id", "bad").toLocalIterator()}
+        except Exception:  # what a statement fails with is found when it is run alone
+            return False
+        if bad:
+            # one of them run alone shows that such a row is a failure, and which
+            shown, _ = attempt(job, part, [next(x for x in left if x[0] in bad)], False)
+            if not shown:
+                return False
+            like = shown[0][1].split("\n")[0]
+            failed.extend(shown + [(i, f"fails in {n} places, as another statement of its form does: {like}") for i, n in bad.items() if i != shown[0][0]])
+        store.write(job.finish(made.where("bad = 0").select("sql_id", "rows")), part)
+        return True
+
     for part, job in jobs.items():
         # each run is analysed anew: rand() and the like draw their seeds then
-        todo = [(left, alike)] if left else []
+        if alike and left and job.one_pass and in_one_pass(job, part):
+            todo = []
+        else:
+            todo = [(some, alike) for some in _cut(left, SHARED if alike else BATCH)] if left else []
         while todo:
             # the parts of what failed run side by side, as many as the store has writers
             with ThreadPoolExecutor(min(len(todo), store.threads)) as pool:
@@ -255,20 +295,19 @@ def _run(store: _Store, statements: list[tuple[str, str]], jobs: dict[str, _Job]
     return failed
 
 
-def _batches(chunk: list[tuple[str, str]], share: Callable[[str], bool], threads: int, batch: int) -> list[list[tuple[str, str]]]:
+def _batches(chunk: list[tuple[str, str]], share: Callable[[str], bool], threads: int, batch: int, most: int = SHARED) -> list[list[tuple[str, str]]]:
     """Statements of one form together, if there are enough, and the others in batches."""
-    forms: dict[str, list[tuple[str, str]]] = {}
+    alike: dict[str, list[tuple[str, str]]] = {}
     rest: list[tuple[str, str]] = []
     for x in chunk:
         f = form_of(x[1]) if share(x[1]) else None
-        (forms.setdefault(f[0], []) if f else rest).append(x)
+        (alike.setdefault(f[0], []) if f else rest).append(x)
     out = []
-    for some in forms.values():
+    for some in alike.values():
         if len(some) < LEAST:
             rest += some
         else:
-            size = -(-len(some) // -(-len(some) // SHARED))
-            out += [some[at : at + size] for at in range(0, len(some), size)]
+            out += _cut(some, most)
     rest.sort(key=lambda x: x[1])
     size = min(batch, -(-len(rest) // threads))
     return out + [rest[at : at + size] for at in range(0, len(rest), size or 1)]
@@ -279,7 +318,8 @@ def _each(store: _Store, rows: Iterable, jobs: dict, threads: int, batch: int, s
     stream = iter(rows)
     with ThreadPoolExecutor(threads) as pool:
         while chunk := [(r["sql_id"], r["sql"]) for r in islice(stream, threads * max(batch, HELD))]:
-            parts = _batches(chunk, share, threads, batch)
+            # a form that is run in one pass is not cut beforehand
+            parts = _batches(chunk, share, threads, batch, len(chunk) if all(job.one_pass for job in jobs.values()) else SHARED)
             failed = [f for got in pool.map(lambda p: _run(store, p, jobs), parts) for f in got]
             if failed:
                 store.write(store.spark.createDataFrame(failed, _PARTS["failed"]).coalesce(1), "failed")
@@ -311,7 +351,7 @@ def run_statements(
         return cap == 0 or "order" not in sql.lower()
 
     shared = lambda *x: _shared_capture_sql(*x, cap)
-    first = _Job(lambda *x: _capture_sql(*x, cap), _captured, shared)
+    first = _Job(lambda *x: _capture_sql(*x, cap), _captured, shared, cap == 0 and not check)
     again = _Job(lambda *x: _capture_sql(*x, cap), lambda df: _captured(df).select("sql_id", F.col("n_result_rows").alias("n_again"), F.col("fp").alias("fp_again")), shared)
     _each(kept, pending.where("ro").orderBy("sql").toLocalIterator(), {"first": first} | ({"again": again} if check else {}), threads, batch, share)
     if check:

@@ -238,3 +238,68 @@ def test_cohorts_do_not_shuffle_their_table(spark, monkeypatch, tmp_path):
             spark.catalog.dropTempView(t)
     assert seen == [((True, False), plain)] and len(plain) > 1
     assert not left and spark.conf.get("spark.sql.cbo.enabled") == "false"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, rows that come twice, no number at some keys."""
+    rows = [(k % 40 if k % 7 else None, float("nan") if k == 11 else k / 2 if k % 5 else None, f"n{k % 6}" if k % 4 else str(k), None) for k in range(300)]
+    spark.createDataFrame(rows * 2, "k int, x double, name string, empty string").createOrReplaceTempView("cap_odd")
+
+
+IN_ONE_PASS = [
+    [f"SELECT SUM(name) AS s, COUNT(*) AS n FROM cap_odd WHERE k = {k}" for k in range(14)],
+    [f"SELECT AVG(CASE WHEN x > 3 THEN name END) FROM cap_odd WHERE 'n1' <> name AND k = {k}" for k in range(2, 14)],
+    [f"SELECT MIN(CAST(name AS INT)), MAX(x), SUM(k), COUNT(x) FROM cap_odd WHERE x <= {v}" for v in (0, 2, 1, 8, 9, 40, 140, 141, 150, 151)],
+    [f"SELECT 10 / (COUNT(*) - 2) AS share FROM cap_odd WHERE x > {v}" for v in range(142, 151)],
+    [f"WITH t AS (SELECT k AS kk FROM cap_odd WHERE x < {v}) SELECT COUNT(*), COUNT(kk), MAX(kk) FROM t" for v in range(12)],
+    [f"SELECT name, x, k FROM cap_odd WHERE k >= {v} ORDER BY x DESC NULLS LAST, name LIMIT 3" for v in range(32, 42)],
+    [f"SELECT * FROM cap_odd WHERE k < {v} ORDER BY x NULLS FIRST, k, name" for v in range(12)],
+    [f"SELECT k + 1 AS k1, name FROM cap_odd WHERE name = 'n{v}' ORDER BY k, x" for v in range(9)],
+    [f"SELECT SUM(x), MAX(empty) FROM cap_odd WHERE k = {v} AND name = 'n{v % 7}'" for v in range(4, 16)],
+]
+
+
+@pytest.mark.parametrize("alike", IN_ONE_PASS)
+def test_statements_in_one_pass(spark, odd, alike):
+    """Every statement's outcome is what it is alone, failures too."""
+    for sql, rows, bad in cp.forms.together(spark, *cp._asked([(s, s, 1) for s in alike])).collect():
+        try:
+            alone = [[None if c is None else c for c in r] for r in spark.sql(sql).limit(1).select([F.col(c).cast("string") for c in spark.sql(sql).columns]).collect()]
+        except Exception:
+            alone = None
+        assert (None if bad else rows) == alone, sql
+
+
+def test_failures_are_told_in_one_pass(spark, odd, monkeypatch):
+    """No join of values with rows is made, and one failing statement is run alone."""
+    joined, written = [], []
+    together, write = cp._Job.together, cp._Store.write
+    monkeypatch.setattr(cp._Job, "together", lambda self, *x: joined.append(x) or together(self, *x))
+    monkeypatch.setattr(cp._Store, "write", lambda self, df, part: written.append(part) or write(self, df, part))
+    got = run(spark, [f"SELECT SUM(name) AS s FROM cap_odd WHERE k = {k}" for k in range(40)], cap=0, check=False)
+    # a new store's empty part, the failure and the form
+    assert len(got) == 40 and not joined and written.count("first") == 3
+    assert {r["sql_executes"] for r in got.values()} == {True, False}
+    assert all(r["sql_executes"] or "CAST_INVALID_INPUT" in r["sql_error"] for r in got.values())
+
+
+OTHERWISE = [
+    [f"SELECT COUNT(*) AS n FROM cap_odd WHERE k = {k} AND k > 3 AND k + 1 < 900000000" for k in range(9)],
+    [f"SELECT name, COUNT(*) AS n FROM cap_odd WHERE k > {k} GROUP BY name HAVING COUNT(*) > 90" for k in range(9)],
+    [f"SELECT AVG(x) AS m FROM cap_odd WHERE k > {k} AND x < 9" for k in range(9)],
+    [f"SELECT COUNT(*) AS n FROM cap_odd WHERE k = {k} OR x < 3" for k in range(9)],
+    [f"SELECT COUNT(*) AS n FROM cap_odd WHERE NOT (k > {k})" for k in range(9)],
+    [f"SELECT COUNT(DISTINCT name) AS n FROM cap_odd WHERE k = {k}" for k in range(9)],
+    [f"SELECT MAX(k) AS m FROM cap_odd WHERE k < (SELECT MAX(a) FROM cap_t WHERE a < {k})" for k in range(9)],
+]
+
+
+@pytest.mark.parametrize("alike", OTHERWISE)
+def test_forms_that_are_not_one_pass(spark, odd, alike):
+    assert cp.forms.together(spark, *cp._asked([(s, s, 1) for s in alike])) is None
+
+
+def test_an_equal_value_decides_nothing_else(spark, odd):
+    got = run(spark, OTHERWISE[0], cap=0, check=False)
+    assert [json.loads(got[s]["expected_rows_json"])[0][0] == "0" for s in OTHERWISE[0]] == [k <= 3 for k in range(9)]
